@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import bpe, packing, quality, urls, warc
+from helixmill.llm import ann, bpe, langid, packing, quality, simhash, urls, warc
 from helixmill.llm.common import table
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -23,10 +23,22 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_of(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.length_histogram(bpe.encoded_lengths(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(urls.RULES), "action string, host string, path string")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
@@ -36,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op6_token_counts, op9_url_filters, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op6_token_counts, op7_language_id, op8_ann, op9_url_filters, op10_packing)}
 ORACLE = {"op2_quality": quality.ORACLE, "op9_url_filters": urls.ORACLE}
