@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import ann, bpe, langid, packing, quality, simhash, urls, warc
+from helixmill.llm import ann, bpe, langid, packing, quality, simhash, suffix, urls, warc
 from helixmill.llm.common import table
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.length_histogram(bpe.encoded_lengths(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
@@ -48,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op6_token_counts, op7_language_id, op8_ann, op9_url_filters, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op5_suffix_array, op6_token_counts, op7_language_id, op8_ann, op9_url_filters, op10_packing)}
 ORACLE = {"op2_quality": quality.ORACLE, "op9_url_filters": urls.ORACLE}
