@@ -36,17 +36,19 @@ def _fails(line: str) -> str:
     Navigation: separators | > » • are a fifth of its words or more, or it is a short line without a terminal
     mark. Punctuation: symbols are a tenth of its word characters or more, or a doubled exclamation mark comes
     with every third word or more. Boilerplate: one of the phrases, or a line of code braces."""
-    words = f"greatest(size(array_remove(split(translate({line}, '\\t\\n\\u000b\\f\\r', '     '), ' ', -1), '')), 1)"
-    separators = f"size(filter(split(translate({line}, '\\t\\n\\u000b\\f\\r', '     '), ' ', -1), w -> w in ('|', '>', '»', '•')))"
+    words = "greatest(size(filter(v.w, w -> w <> '')), 1)"
+    separators = "size(filter(v.w, w -> w in ('|', '>', '»', '•')))"
     bangs = f"((length({line}) - length(replace({line}, '!!', ''))) / 2)"
-    phrases = " or ".join(f"contains(lower({line}), '{p}')" for p in BOILERPLATE)
-    return (
+    phrases = " or ".join(f"contains(v.low, '{p}')" for p in BOILERPLATE)
+    rules = (
         f"({_count(line, '|>»•')} > 0 and 5 * {separators} >= {words})"
         f" or ({words} < {SHORT_LINE} and not rtrim(translate({line}, '\\t\\n\\u000b\\f\\r', '     ')) rlike '[.!?:;\"”…]$')"
         f" or 10 * {_count(line, _SYMBOLS)} >= {_chars(line)}"
         f" or (contains({line}, '!!') and 3 * {bangs} >= {words})"
         f" or {phrases} or ({_count(line, '{}')} > 1)"
     )
+    # v: the line's words and lower-cased text, made once
+    return f"exists(array(struct(split(translate({line}, '\\t\\n\\u000b\\f\\r', '     '), ' ', -1) as w, lower({line}) as low)), v -> {rules})"
 
 
 #: Words in 3-word windows that occur twice or more. __h: 64-bit hashes of the windows, in order. Sorted with their
@@ -92,7 +94,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns; text without its failing lines (a text whose lines all
     pass stays as it is, blank lines too), and n_chars, where there is one, its new length."""
-    d = measured(docs).where("__q.kept")
+    # the random column keeps the filter above what it reads: pushed below, it would measure each text twice
+    d = measured(docs).withColumn("__z", F.rand(0)).where("__q.kept and __z >= 0")
     same = F.length(F.translate("__q.text", _BLANKS + " ", "")) == F.col("__q.word_chars")
     new = F.when(same, F.col("text")).otherwise(F.col("__q.text"))
     return d.select(*(new.alias("text") if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
