@@ -16,13 +16,14 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from helixmill.llm.common import forget, prepare, written
@@ -31,40 +32,42 @@ CAPACITY, END_ID = 2048, 0
 #: The most records that are broadcast; beyond it the run stops with an error rather than dropping any.
 MAX_RECORDS = 4_000_000
 #: Pre-tokens whose ids a worker keeps.
-CACHE = 400_000
-#: Text for which the split pattern of ByteLevel means the same to any regex engine: Latin letters, no odd blanks.
-_PLAIN = regex.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏ]")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CACHE = 500_000
+#: Text in which the split pattern of ByteLevel means the same to any engine: up to Latin Extended-B, no odd blanks.
+_ODD = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024f]")
+_LETTER, _NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
 class PieceEncoder:
-    """Ids of a text by the tokenizers library. Byte-level BPE merges inside the matches of its split pattern only,
-    so matches are encoded once and remembered; texts with characters on which engines may differ go to the
-    library whole."""
+    """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers. Byte-level BPE merges inside
+    the matches of its split pattern only, so of a batch each new match is encoded once and remembered; texts with
+    characters on which engines may differ go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        if _PLAIN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        parts, known = _SPLIT.findall(text), self.known
-        try:
-            found = [known[p] for p in parts]
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            new = list({p for p in parts if p not in known})
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[p] = e.ids
-            found = [known[p] for p in parts]
-        return np.array([i for ids in found for i in ids], dtype=np.uint32)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.merger):
+            t.encode_special_tokens = True
+        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # for single matches
+        self.known: dict[str, bytes] = {}
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [None if _ODD.search(t) else _SPLIT.findall(t) for t in texts]
+        seen = set().union(*(p for p in parts if p))
+        new = list(seen - self.known.keys())
+        if len(self.known) + len(new) > CACHE:
+            self.known = {p: self.known[p] for p in seen if p in self.known}
+        self.known.update(zip(new, self._ids(self.merger, new)))
+        get = self.known.__getitem__
+        return [self._ids(self.tokenizer, [t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -88,10 +91,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         enc = encoder(tokenizer)
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(enc.encode(t.as_py() or ""), np.uint32(END_ID)).astype("<u4")
-                for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    for r, v in zip(rows, (d, k, start, length, zlib.crc32(ids[start : start + length].tobytes()))):
+            for d, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()])):
+                ids += END_ID.to_bytes(4, "little")
+                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                    for r, v in zip(rows, (d, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
                         r.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
