@@ -3,8 +3,12 @@
 Suffixes are classified (S: smaller than the next one, L: larger), the leftmost-S substrings (LMS) are sorted by one
 induction and named, the string of names is sorted recursively, and a second induction orders all suffixes. Over a
 small alphabet an induction handles a whole bucket at a time in numpy: what a bucket's suffixes induce is put into
-other buckets at once, what they induce in their own bucket (runs of one symbol) is the next turn. Over the names of
-the recursion, where buckets are about as many as suffixes, it goes suffix by suffix.
+other buckets at once, what they induce in their own bucket (runs of one symbol) is the next turn. In the string of
+names buckets are about as many as suffixes, which numpy can't take in such bites; there the recursion names ever
+longer LMS substrings, twice as many at a time, and goes on only with those whose names aren't unique yet.
+
+Symbol 1, if `ends` is set, ends a string: each occurrence counts as a symbol of its own, so no comparison runs from
+one string into the next.
 """
 
 from __future__ import annotations
@@ -15,8 +19,10 @@ import numpy as np
 BUCKETS = 1024
 
 
-def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
-    """t: symbols below sigma; its last one is 0 and occurs only there. Linear in len(t)."""
+def suffix_array(t: np.ndarray, sigma: int, ends: bool = False) -> np.ndarray:
+    """t: symbols below sigma, at most BUCKETS; its last one is 0 and occurs only there."""
+    if sigma > BUCKETS:
+        raise ValueError(f"{sigma} symbols; {BUCKETS} is the bound")
     n = len(t)
     if n <= 2:
         return np.arange(n - 1, -1, -1, dtype=np.int64)
@@ -24,15 +30,43 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[1:] = s[1:] & ~s[:-1]
     lms = np.flatnonzero(is_lms)
-    induce = _by_bucket if sigma <= BUCKETS else _one_by_one
-    sa = induce(t, s, lms, sigma)
+    sa = _by_bucket(t, s, lms, sigma)
     by = sa[is_lms[sa]]
+    new = _differs(t, lms, by)
+    if ends:
+        new |= t[by] == 1
     name = np.empty(n, np.int64)
-    name[by] = np.cumsum(_differs(t, lms, by)) - 1
-    names = int(name[by[-1]]) + 1
-    if names < len(lms):
-        by = lms[suffix_array(name[lms], names)]
-    return induce(t, s, by, sigma)
+    name[by] = np.cumsum(new) - 1
+    if not new.all():
+        by = lms[_by_name(name[lms])]
+    return _by_bucket(t, s, by, sigma)
+
+
+def _by_name(name: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names, whose last one occurs once and is the smallest."""
+    m = len(name)
+    by = np.argsort(name, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(name[by]) != 0)))
+    size = np.diff(np.append(first, m))
+    rank = np.empty(m, np.int64)
+    rank[by] = np.repeat(first, size)
+    open_ = by[np.repeat(size > 1, size)]
+    k = 1
+    while len(open_):
+        old = rank[open_]
+        key = old * m + rank[open_ + k]
+        to = np.argsort(key)
+        open_, key, old = open_[to], key[to], old[to]
+        group = np.flatnonzero(np.concatenate(([True], np.diff(old) != 0)))
+        start = np.repeat(group, np.diff(np.append(group, len(old))))
+        first = np.flatnonzero(np.concatenate(([True], np.diff(key) != 0)))
+        size = np.diff(np.append(first, len(key)))
+        rank[open_] = np.repeat(old[first] + first - start[first], size)
+        open_ = open_[np.repeat(size > 1, size)]
+        k *= 2
+    out = np.empty(m, np.int64)
+    out[rank] = np.arange(m)
+    return out
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -125,34 +159,7 @@ def _by_bucket(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     return sa
 
 
-def _one_by_one(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    count = np.bincount(t, minlength=sigma)
-    end = np.cumsum(count)
-    n, sa = len(t), [-1] * len(t)
-    tail, head = end.tolist(), (end - count).tolist()
-    text, small = t.tolist(), s.tolist()
-    for x in reversed(lms.tolist()):
-        c = text[x]
-        tail[c] -= 1
-        sa[tail[c]] = x
-    for i in range(n):
-        x = sa[i] - 1
-        if x >= 0 and not small[x]:
-            c = text[x]
-            sa[head[c]] = x
-            head[c] += 1
-    tail = end.tolist()
-    for i in range(n - 1, -1, -1):
-        x = sa[i] - 1
-        if x >= 0 and small[x]:
-            c = text[x]
-            tail[c] -= 1
-            sa[tail[c]] = x
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
-
-
-def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, ends: bool = False) -> np.ndarray:
     """For each place p of t, how many symbols the suffix at p shares with its predecessor in the suffix array. It drops
     by one from p - 1 to p wherever both suffixes follow the same symbol; only the other places are compared."""
     n = len(t)
@@ -162,6 +169,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     own = np.ones(n, bool)
     inner = (place > 0) & (previous > 0)
     own[inner] = t[place[inner] - 1] != t[previous[inner] - 1]
+    if ends:
+        own[1:] |= t[:-1] == 1
     shared = np.zeros(n, np.int64)
     i = np.flatnonzero(own & (previous >= 0))
     padded = np.concatenate([t.astype(np.uint16), np.arange(4, dtype=np.uint16)])

@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from helixmill.llm.common import prepare, written
@@ -124,6 +126,10 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(arrays), *(a.nbytes for a in arrays)], np.uint32).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
 
 
+def _squeezed(blob: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(blob)
+
+
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = np.frombuffer(blob, np.uint32, len(kinds) + 1)[1:]
     at, out = 4 * (len(kinds) + 1), []
@@ -187,31 +193,34 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     of documents and one tag, with a null doc_id."""
     parts = [_unpack(b, *_TAG_KINDS) for b in rows["blob"]]
     ids, hashes, n, tags, ids2, hashes2, n2, tags2, marks, marked = (np.concatenate(x) for x in zip(*parts))
-    known, weight = np.unique(marks), None
-    doc = np.repeat(np.arange(len(ids)), n.astype(np.int64))
     same = np.unique(ids, return_inverse=True)[1]
-    distinct, group, documents = _distinct_documents(tags, same[doc])
-    documents = documents.astype(np.int64)
+    row = np.repeat(np.arange(len(ids)), n.astype(np.int64))
+    tag_doc = np.unique(tags.astype(np.uint64) << np.uint64(32) | same[row].astype(np.uint64))  # documents of each tag, each once
+    of_tag = (tag_doc >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(of_tag) != 0))) if len(of_tag) else np.zeros(0, np.int64)
+    distinct, documents = of_tag[first], np.diff(np.append(first, len(tag_doc)))
+    known, weight = np.unique(marks).astype(np.int64), np.zeros(0, np.int64)
     if len(known):
-        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-        is_known = known[at] == distinct
         weight = np.bincount(np.searchsorted(known, marks), marked, len(known)).astype(np.int64)
-        documents = documents + np.where(is_known, weight[at], 0)
-        known_also = np.isin(known, distinct)
-    keep = documents[group] > 1
+        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        documents = documents + np.where(known[at] == distinct, weight[at], 0)
+    shared = distinct[documents > 1]
+    keep = np.isin(tags, shared.astype(np.uint32))
     out_id, out_hash, out_tags = [], [], []
 
     def give(ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, tags: np.ndarray) -> None:
-        by = np.argsort(owner, kind="stable")
-        there, first = np.unique(owner[by], return_index=True)
-        out_id.extend(ids[there].tolist())
-        out_hash.extend(hashes[there].tolist())
-        out_tags.extend(np.unique(x).tobytes() for x in np.split(tags[by], first[1:])) if len(there) else None
-
-    give(ids, hashes, doc[keep], tags[keep])
+        if len(owner):  # owners ascend
+            first = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0)))
+            out_id.extend(ids[owner[first]].tolist())
+            out_hash.extend(hashes[owner[first]].tolist())
+            raw, at = tags.tobytes(), (np.append(first, len(owner)) * 4).tolist()
+            out_tags.extend(raw[a:b] for a, b in zip(at, at[1:]))
+
+    give(ids, hashes, row[keep], tags[keep])
     give(ids2, hashes2, np.repeat(np.arange(len(ids2)), n2.astype(np.int64)), tags2)
+    known_also = np.isin(known, distinct)
     hot = [(t, d) for t, d in zip(distinct.tolist(), documents.tolist()) if d > HOT] if (documents > HOT).any() else []
-    if len(known):
+    if len(known) and not known_also.all():
         hot += [(t, d) for t, d in zip(known[~known_also].tolist(), weight[~known_also].tolist()) if d > HOT]
     for t, d in hot:
         out_id.append(None)
@@ -225,6 +234,7 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
     and occurrences (doc_id, hash, place, string). Of equal strings in the batch, documents after the first lose all
     windows; that is sent as occurrences of the string -1, of so many windows."""
     for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.column(3)))
         ids, hashes = (batch.column(k).to_numpy() for k in (0, 1))
         data, offsets = _bytes(batch.column(2))
         text, first, n_windows, m = runs(data, offsets)
@@ -267,7 +277,7 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
             local = np.where(gone[occ], -n_windows[occ], [here[x] for x in of[occ].tolist()])
             texts = [distinct[x] for x in mine.tolist()]
             docs, which = np.unique(text[occ], return_inverse=True)
-            blob = _pack(np.fromiter(map(len, texts), np.uint32, len(texts)), np.frombuffer(b"".join(texts), np.uint8), ids[docs], hashes[docs], which.astype(np.uint16), first[occ].astype(np.uint32), local.astype(np.int32))
+            blob = _squeezed(_pack(np.fromiter(map(len, texts), np.uint32, len(texts)), np.frombuffer(b"".join(texts), np.uint8), ids[docs], hashes[docs], which.astype(np.uint16), first[occ].astype(np.uint32), local.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
 
@@ -279,7 +289,7 @@ def _removed(rows: pd.DataFrame) -> pd.DataFrame:
     number: dict[bytes, int] = {}
     ids, hashes, place, string, gone_windows = [], [], [], [], []
     for blob in rows["blob"]:
-        lengths, data, doc_ids, doc_hashes, which, first, local = _unpack(blob, *_STRING_KINDS)
+        lengths, data, doc_ids, doc_hashes, which, first, local = _unpack(zstandard.ZstdDecompressor().decompress(blob), *_STRING_KINDS)
         raw, ends = data.tobytes(), np.cumsum(lengths.astype(np.int64)).tolist()
         mine = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends)], np.int64)
         ids.append(doc_ids[which])
@@ -297,8 +307,8 @@ def _removed(rows: pd.DataFrame) -> pd.DataFrame:
     joined = np.frombuffer(b"\0".join(strings) + b"\0\0", np.uint8).astype(np.int32) + 2
     ends = np.cumsum(sizes + 1) - 1
     joined[ends], joined[-1] = 1, 0
-    sa = suffix_array(joined, 258)
-    lcp = permuted_lcp(joined, sa)
+    sa = suffix_array(joined, 258, ends=True)
+    lcp = permuted_lcp(joined, sa, ends=True)
     left = np.zeros(len(joined), np.int64)
     left[: ends[-1] + 1] = np.repeat(ends, sizes + 1) - np.arange(ends[-1] + 1)
     owner = np.append(np.repeat(np.arange(len(strings)), sizes + 1), len(strings))
@@ -344,7 +354,8 @@ def intervals(docs: DataFrame) -> DataFrame:
     hot = shared.where("doc_id is null").orderBy(F.desc("hash")).limit(MAX_HOT).select("tags").collect()
     hot_tags = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r.tags for r in hot), np.uint32)).astype(np.int64))
     tags = shared.where("doc_id is not null").groupBy("doc_id", "hash").agg(F.collect_list("tags").alias("tags"))
-    text = keyed.join(tags.hint("shuffle_hash"), ["doc_id", "hash"]).select("doc_id", "hash", "text", "tags")
+    # a left join like the last one, so that one exchange of the texts serves both
+    text = keyed.join(tags.hint("shuffle_hash"), ["doc_id", "hash"], "left").select("doc_id", "hash", "text", "tags")
     strings = text.mapInArrow(lambda it: _strings(it, shards, hot_tags.value), "shard int, blob binary")
     spans = strings.groupBy("shard").applyInPandas(_removed, "doc_id long, hash long, spans binary")
     spans = spans.groupBy("doc_id", "hash").agg(F.collect_list("spans").alias("spans"))
