@@ -103,7 +103,7 @@ def _by_bucket(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     count = np.bincount(t, minlength=sigma)
     end = np.cumsum(count)
     start = end - count
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int64 if n >> 31 else np.int32)
     first = t[lms]
     many = np.bincount(first, minlength=sigma)
     by = np.argsort(first, kind="stable")

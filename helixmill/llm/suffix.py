@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from helixmill.llm.common import prepare, written
 from helixmill.llm.sais import permuted_lcp, suffix_array
 
-SPAN, GRAM = 50, 26
+SPAN, GRAM = 50, 32
 #: Tags of a bucket and text bytes behind a shard, about; documents that make a tag hot; the most hot tags, most
 #: frequent first (they are broadcast, 4 bytes each).
 BUCKET_TAGS, SHARD_TEXT, HOT, MAX_HOT = 3_000_000, 6_000_000, 20_000, 500_000
@@ -47,22 +47,21 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: One odd factor for each of the four words of a gram, and one to mix their sum.
+_WORDS = tuple(np.uint64(int(_FACTOR) * k % (1 << 64) | 1) for k in (1, 0x2545F491, 0x5851F42D, 0x14057B7E))
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on, by doubling."""
-    by_length, h, k = {}, (data.astype(np.uint64) + np.uint64(1)) * _FACTOR, 1
-    while k <= GRAM:
-        by_length[k] = h
-        if 2 * k > GRAM:
-            break
-        h = h[:-k] * np.uint64(pow(int(_FACTOR), k + 1, 1 << 64) | 1) + (h[k:] ^ (h[k:] >> np.uint64(32)))
-        k *= 2
-    n, out, at = len(data) - GRAM + 1, None, 0
-    for k in sorted(by_length, reverse=True):
-        if GRAM & k:
-            part = by_length[k][at : at + n]
-            out = part if out is None else out * _FACTOR + part
-            at += k
-    return out ^ (out >> np.uint64(29))
+    """A hash of the GRAM (32) bytes from each place on, from the four words of eight bytes there."""
+    n = len(data) - GRAM + 1
+    words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
+    out = words[:n] * _WORDS[0]
+    for k in range(1, 4):
+        out += words[8 * k : 8 * k + n] * _WORDS[k]
+    out ^= out >> np.uint64(31)
+    out *= _FACTOR
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def _window_minimum(h: np.ndarray, width: int) -> np.ndarray:
@@ -188,45 +187,66 @@ def _tags(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
 _TAG_KINDS = ("<i8", "<i8", "<u4", "<u4", "<i8", "<i8", "<u4", "<u4", "<u4", "<u4")
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Step 2, one bucket: a row (doc_id, hash, tags) for each document with shared tags; hot tags as rows of hash = number
-    of documents and one tag, with a null doc_id."""
+def _owned(ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, values: np.ndarray, width: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """For each bucket of documents a blob: ids, hashes, numbers of values, values (`width` for each entry of owner, which
+    ascends). A document's bucket follows from its hash."""
+    first = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0))) if len(owner) else np.zeros(0, np.int64)
+    docs = owner[first]
+    n = np.diff(np.append(first, len(owner)))
+    bucket = (hashes[docs].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    by, at = _split(bucket, buckets)
+    each = np.repeat(bucket, n)
+    value_by, value_at = _split(each, buckets)
+    for b in np.unique(bucket).tolist():
+        k = by[at[b] : at[b + 1]]
+        yield b, _pack(ids[docs[k]], hashes[docs[k]], (n[k] * width).astype(np.uint32), values[value_by[value_at[b] : value_at[b + 1]]].astype(np.uint32))
+
+
+_OWNED_KINDS = ("<i8", "<i8", "<u4", "<u4")
+
+
+def _gathered(rows: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of documents: (doc_id, hash, found), all values of a document as one blob."""
+    ids, hashes, n, values = (np.concatenate(x) for x in zip(*(_unpack(b, *_OWNED_KINDS) for b in rows["blob"])))
+    by = np.lexsort((hashes, ids))
+    new = np.concatenate(([True], (np.diff(ids[by]) != 0) | (np.diff(hashes[by]) != 0)))
+    group = np.empty(len(ids), np.int64)
+    group[by] = np.cumsum(new) - 1
+    n = n.astype(np.int64)
+    raw = values[np.argsort(np.repeat(group, n), kind="stable")].tobytes()
+    at = (np.concatenate(([0], np.cumsum(np.bincount(group, n).astype(np.int64)))) * 4).tolist()
+    return pd.DataFrame({"doc_id": ids[by[new]], "hash": hashes[by[new]], "found": [raw[a:b] for a, b in zip(at, at[1:])]})
+
+
+def _shared(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Step 2, one bucket of tags: blobs of documents' shared tags; hot tags as rows without a bucket: (tag, documents)."""
     parts = [_unpack(b, *_TAG_KINDS) for b in rows["blob"]]
     ids, hashes, n, tags, ids2, hashes2, n2, tags2, marks, marked = (np.concatenate(x) for x in zip(*parts))
-    same = np.unique(ids, return_inverse=True)[1]
-    row = np.repeat(np.arange(len(ids)), n.astype(np.int64))
-    tag_doc = np.unique(tags.astype(np.uint64) << np.uint64(32) | same[row].astype(np.uint64))  # documents of each tag, each once
-    of_tag = (tag_doc >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], np.diff(of_tag) != 0))) if len(of_tag) else np.zeros(0, np.int64)
-    distinct, documents = of_tag[first], np.diff(np.append(first, len(tag_doc)))
+    rank = np.empty(len(ids), np.int64)
+    order = np.argsort(ids, kind="stable")
+    rank[order] = np.arange(len(ids))  # rows with one doc_id are neighbours
+    ids, hashes, n_of = ids[order], hashes[order], n.astype(np.int64)
+    same = np.cumsum(np.concatenate(([True], np.diff(ids) != 0))) if len(ids) else np.zeros(0, np.int64)
+    pair = np.unique(tags.astype(np.uint64) << np.uint64(32) | np.repeat(rank, n_of).astype(np.uint64))
+    tag, row = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(tag) != 0))) if len(tag) else np.zeros(0, np.int64)
+    new_doc = np.ones(len(tag), np.int64)
+    new_doc[1:] = (tag[1:] != tag[:-1]) | (same[row[1:]] != same[row[:-1]])
+    distinct = tag[first]
+    documents = np.add.reduceat(new_doc, first) if len(first) else np.zeros(0, np.int64)
     known, weight = np.unique(marks).astype(np.int64), np.zeros(0, np.int64)
     if len(known):
         weight = np.bincount(np.searchsorted(known, marks), marked, len(known)).astype(np.int64)
         at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
         documents = documents + np.where(known[at] == distinct, weight[at], 0)
-    shared = distinct[documents > 1]
-    keep = np.isin(tags, shared.astype(np.uint32))
-    out_id, out_hash, out_tags = [], [], []
-
-    def give(ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, tags: np.ndarray) -> None:
-        if len(owner):  # owners ascend
-            first = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0)))
-            out_id.extend(ids[owner[first]].tolist())
-            out_hash.extend(hashes[owner[first]].tolist())
-            raw, at = tags.tobytes(), (np.append(first, len(owner)) * 4).tolist()
-            out_tags.extend(raw[a:b] for a, b in zip(at, at[1:]))
-
-    give(ids, hashes, row[keep], tags[keep])
-    give(ids2, hashes2, np.repeat(np.arange(len(ids2)), n2.astype(np.int64)), tags2)
-    known_also = np.isin(known, distinct)
-    hot = [(t, d) for t, d in zip(distinct.tolist(), documents.tolist()) if d > HOT] if (documents > HOT).any() else []
-    if len(known) and not known_also.all():
-        hot += [(t, d) for t, d in zip(known[~known_also].tolist(), weight[~known_also].tolist()) if d > HOT]
-    for t, d in hot:
-        out_id.append(None)
-        out_hash.append(d)
-        out_tags.append(np.array([t], np.uint32).tobytes())
-    return pd.DataFrame({"doc_id": pd.array(out_id, "Int64"), "hash": pd.Series(out_hash, dtype="int64"), "tags": out_tags})
+    keep = np.repeat(documents > 1, np.diff(np.append(first, len(tag))))
+    by_row = np.sort(row[keep] << 32 | tag[keep])
+    out = list(_owned(ids, hashes, by_row >> 32, by_row & 0xFFFFFFFF, 1, buckets))
+    out += _owned(ids2, hashes2, np.repeat(np.arange(len(ids2)), n2.astype(np.int64)), tags2, 1, buckets)
+    hot = list(zip(distinct[documents > HOT].tolist(), documents[documents > HOT].tolist()))
+    alone = ~np.isin(known, distinct) & (weight > HOT)
+    hot += zip(known[alone].tolist(), weight[alone].tolist())
+    return pd.DataFrame({"bucket": pd.array([b for b, _ in out] + [None] * len(hot), "Int32"), "tag": pd.array([None] * len(out) + [t for t, _ in hot], "Int64"), "documents": pd.array([None] * len(out) + [d for _, d in hot], "Int64"), "blob": [x for _, x in out] + [None] * len(hot)})
 
 
 def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -238,8 +258,7 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
         ids, hashes = (batch.column(k).to_numpy() for k in (0, 1))
         data, offsets = _bytes(batch.column(2))
         text, first, n_windows, m = runs(data, offsets)
-        blobs = batch.column(3).to_pylist()
-        wanted = [np.frombuffer(b"".join(x), np.uint32) for x in blobs]
+        wanted = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)]
         pairs = np.unique(np.repeat(np.arange(len(wanted), dtype=np.int64), [len(x) for x in wanted]) << 32 | np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
         tag = m.astype(np.uint32).astype(np.int64)
         own = text << 32 | tag
@@ -284,8 +303,8 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
 _STRING_KINDS = ("<u4", "u1", "<i8", "<i8", "<u2", "<u4", "<i4")
 
 
-def _removed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Step 4, one shard: rows (doc_id, hash, spans), spans being pairs of the first byte and the end of what goes."""
+def _removed(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Step 4, one shard: blobs of documents' spans, pairs of the first byte and the end of what goes."""
     number: dict[bytes, int] = {}
     ids, hashes, place, string, gone_windows = [], [], [], [], []
     for blob in rows["blob"]:
@@ -326,23 +345,23 @@ def _removed(rows: pd.DataFrame) -> pd.DataFrame:
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     goes = ~known[which] | (first_doc[base[which] + step] < doc[which])
     which, step = which[goes], step[goes]
-    if not len(which):
-        return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "hash": pd.Series([], dtype="int64"), "spans": []})
     doc, key, at = doc[which], key[which], place[which] + step
     by = np.lexsort((at, key, doc))
     doc, key, at = doc[by], key[by], at[by]
+    if not len(doc):
+        return pd.DataFrame({"bucket": pd.Series([], dtype="int32"), "blob": []})
     other = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(key) != 0)))
     start = np.flatnonzero(other | np.concatenate(([True], np.diff(at) > 1)))
     last = np.append(start[1:], len(at)) - 1
-    spans = np.stack([at[start], at[last] + SPAN], 1).astype("<u4")
-    owner_start = np.flatnonzero(other[start])
-    blobs = [x.tobytes() for x in np.split(spans, owner_start[1:])]
-    return pd.DataFrame({"doc_id": doc[start[owner_start]], "hash": key[start[owner_start]], "spans": blobs})
+    spans = np.stack([at[start], at[last] + SPAN], 1)
+    owner = (np.cumsum(other) - 1)[start]
+    out = list(_owned(doc[other], key[other], owner, spans, 2, buckets))
+    return pd.DataFrame({"bucket": pd.array([b for b, _ in out], "Int32"), "blob": [x for _, x in out]})
 
 
 def intervals(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, hash, text and spans: a list of blobs of (first byte, end) pairs that go, in no order, overlapping
-    maybe; null where nothing goes."""
+    """docs' doc_id, hash, text and spans: a blob of (first byte, end) pairs that go, in no order, overlapping maybe; null
+    where nothing goes."""
     spark = docs.sparkSession
     prepare(spark)
     keyed = _keyed(docs)
@@ -350,23 +369,24 @@ def intervals(docs: DataFrame) -> DataFrame:
     total = docs.where(f"doc_id is not null and octet_length(text) >= {SPAN}").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(8, -(-total * 2 // (SPAN - GRAM + 2) // BUCKET_TAGS)), max(8, -(-total // SHARD_TEXT))
     entries = usable.mapInArrow(lambda it: _tags(it, buckets), "bucket int, blob binary")
-    shared = written(entries.groupBy("bucket").applyInPandas(_shared, "doc_id long, hash long, tags binary"), "shared-tags")
-    hot = shared.where("doc_id is null").orderBy(F.desc("hash")).limit(MAX_HOT).select("tags").collect()
-    hot_tags = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r.tags for r in hot), np.uint32)).astype(np.int64))
-    tags = shared.where("doc_id is not null").groupBy("doc_id", "hash").agg(F.collect_list("tags").alias("tags"))
+    shared = written(entries.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, shards), "bucket int, tag long, documents long, blob binary"), "shared-tags")
+    hot = shared.where("bucket is null").groupBy("tag").agg(F.sum("documents").alias("n")).orderBy(F.desc("n"), "tag").limit(MAX_HOT).collect()
+    hot_tags = spark.sparkContext.broadcast(np.sort(np.array([r.tag for r in hot], np.int64)))
+    found = "doc_id long, hash long, found binary"
+    tags = shared.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInPandas(_gathered, found)
     # a left join like the last one, so that one exchange of the texts serves both
-    text = keyed.join(tags.hint("shuffle_hash"), ["doc_id", "hash"], "left").select("doc_id", "hash", "text", "tags")
+    text = keyed.join(tags.hint("shuffle_hash"), ["doc_id", "hash"], "left").select("doc_id", "hash", "text", "found")
     strings = text.mapInArrow(lambda it: _strings(it, shards, hot_tags.value), "shard int, blob binary")
-    spans = strings.groupBy("shard").applyInPandas(_removed, "doc_id long, hash long, spans binary")
-    spans = spans.groupBy("doc_id", "hash").agg(F.collect_list("spans").alias("spans"))
+    spans = strings.groupBy("shard").applyInPandas(lambda rows: _removed(rows, shards), "bucket int, blob binary")
+    spans = spans.groupBy("bucket").applyInPandas(_gathered, found).withColumnRenamed("found", "spans")
     return keyed.join(spans.hint("shuffle_hash"), ["doc_id", "hash"], "left").select("doc_id", "hash", "text", "spans")
 
 
-def merged(blobs: list[bytes] | None, n: int) -> list[tuple[int, int]]:
-    """Maximal removed stretches from blobs of pairs; ones that touch or overlap are one."""
-    if not blobs:
+def merged(blob: bytes | None) -> list[tuple[int, int]]:
+    """Maximal removed stretches from pairs of first byte and end; ones that touch or overlap are one."""
+    if not blob:
         return []
-    pairs = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pairs[:, 1])
     new = np.concatenate(([True], pairs[1:, 0] > reach[:-1]))
@@ -390,9 +410,9 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t, blobs in zip(b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
+            for t, blob in zip(b.column(1).cast(pa.binary()), b.column(2)):
                 raw = t.as_py() or b""
-                gone = merged(blobs, len(raw))
+                gone = merged(blob.as_py())
                 rows.append((len(raw), sum(e - a for a, e in gone), len(gone), hashlib.sha256(_kept(raw, gone)).hexdigest()))
             n, r, s, h = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -407,11 +427,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for t, blobs in zip(b.column(2).cast(pa.binary()), b.column(3).to_pylist()):
+            for t, blob in zip(b.column(2).cast(pa.binary()), b.column(3)):
                 raw = t.as_py()
-                gone = merged(blobs, len(raw)) if raw else []
+                gone = merged(blob.as_py()) if raw else []
                 texts.append(_kept(raw, gone).decode("utf-8", "ignore") if gone else raw if raw is None else raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([bool(x) for x in b.column(3).to_pylist()])], ["__hm_id", "__hm_hash", "__hm_text", "__hm_cut"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pc.is_valid(b.column(3))], ["__hm_id", "__hm_hash", "__hm_text", "__hm_cut"])
 
     cut = intervals(docs).mapInArrow(run, "__hm_id long, __hm_hash long, __hm_text string, __hm_cut boolean").where("__hm_cut").dropDuplicates(["__hm_id", "__hm_hash"])
     keyed = docs.withColumn("__hm_own", F.xxhash64("text"))
