@@ -159,20 +159,23 @@ def _by_bucket(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     return sa
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray, ends: bool = False) -> np.ndarray:
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
     """For each place p of t, how many symbols the suffix at p shares with its predecessor in the suffix array. It drops
-    by one from p - 1 to p wherever both suffixes follow the same symbol; only the other places are compared."""
+    by one from p - 1 to p wherever both suffixes follow the same symbol; only the other places are compared. wanted: the
+    places whose value counts, in stretches; what isn't wanted may be wrong, and a stretch follows no other's place."""
     n = len(t)
-    previous = np.full(n, -1, np.int64)
+    previous = np.full(n, -1, sa.dtype)
     previous[sa[1:]] = sa[:-1]
     place = np.arange(n)
     own = np.ones(n, bool)
     inner = (place > 0) & (previous > 0)
     own[inner] = t[place[inner] - 1] != t[previous[inner] - 1]
-    if ends:
-        own[1:] |= t[:-1] == 1
     shared = np.zeros(n, np.int64)
-    i = np.flatnonzero(own & (previous >= 0))
+    if wanted is None:
+        i = np.flatnonzero(own & (previous >= 0))
+    else:
+        own[1:] |= wanted[1:] & ~wanted[:-1]
+        i = np.flatnonzero(own & wanted & (previous >= 0))
     padded = np.concatenate([t.astype(np.uint16), np.arange(4, dtype=np.uint16)])
     words = np.ndarray((len(padded) - 3,), np.uint64, padded, 0, (2,))  # four symbols from each place on
     a, b, k = i, previous[i], 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from helixmill.llm.common import prepare, written
 from helixmill.llm.sais import permuted_lcp, suffix_array
 
-SPAN, GRAM = 50, 32
+SPAN, GRAM = 50, 20
 #: Tags of a bucket and text bytes behind a shard, about; documents that make a tag hot; the most hot tags, most
 #: frequent first (they are broadcast, 4 bytes each).
 BUCKET_TAGS, SHARD_TEXT, HOT, MAX_HOT = 3_000_000, 6_000_000, 20_000, 500_000
@@ -52,12 +52,12 @@ _WORDS = tuple(np.uint64(int(_FACTOR) * k % (1 << 64) | 1) for k in (1, 0x2545F4
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM (32) bytes from each place on, from the four words of eight bytes there."""
+    """A hash of the GRAM bytes from each place on, from the words of eight bytes that cover them."""
     n = len(data) - GRAM + 1
     words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
     out = words[:n] * _WORDS[0]
-    for k in range(1, 4):
-        out += words[8 * k : 8 * k + n] * _WORDS[k]
+    for k, at in enumerate([*range(8, GRAM - 8, 8), GRAM - 8], 1):
+        out += words[at : at + n] * _WORDS[k]
     out ^= out >> np.uint64(31)
     out *= _FACTOR
     out ^= out >> np.uint64(29)
@@ -138,6 +138,11 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _sorted_set(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts by key (below n), and where each key's part begins in it."""
     by = np.argsort(key, kind="stable")
@@ -147,7 +152,7 @@ def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _distinct_documents(tag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tags, each entry's tag index, and the number of documents of each tag."""
     tags, group = np.unique(tag, return_inverse=True)
-    pair = np.unique(group.astype(np.int64) << 32 | doc)
+    pair = _sorted_set(group.astype(np.int64) << 32 | doc)
     return tags, group, np.bincount(pair >> 32, minlength=len(tags))
 
 
@@ -227,7 +232,7 @@ def _shared(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     rank[order] = np.arange(len(ids))  # rows with one doc_id are neighbours
     ids, hashes, n_of = ids[order], hashes[order], n.astype(np.int64)
     same = np.cumsum(np.concatenate(([True], np.diff(ids) != 0))) if len(ids) else np.zeros(0, np.int64)
-    pair = np.unique(tags.astype(np.uint64) << np.uint64(32) | np.repeat(rank, n_of).astype(np.uint64))
+    pair = _sorted_set(tags.astype(np.uint64) << np.uint64(32) | np.repeat(rank, n_of).astype(np.uint64))
     tag, row = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], np.diff(tag) != 0))) if len(tag) else np.zeros(0, np.int64)
     new_doc = np.ones(len(tag), np.int64)
@@ -259,7 +264,7 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
         data, offsets = _bytes(batch.column(2))
         text, first, n_windows, m = runs(data, offsets)
         wanted = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)]
-        pairs = np.unique(np.repeat(np.arange(len(wanted), dtype=np.int64), [len(x) for x in wanted]) << 32 | np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
+        pairs = _sorted_set(np.repeat(np.arange(len(wanted), dtype=np.int64), [len(x) for x in wanted]) << 32 | np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
         tag = m.astype(np.uint32).astype(np.int64)
         own = text << 32 | tag
         k = np.minimum(np.searchsorted(pairs, own), max(len(pairs) - 1, 0))
@@ -327,11 +332,11 @@ def _removed(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     ends = np.cumsum(sizes + 1) - 1
     joined[ends], joined[-1] = 1, 0
     sa = suffix_array(joined, 258, ends=True)
-    lcp = permuted_lcp(joined, sa, ends=True)
-    left = np.zeros(len(joined), np.int64)
-    left[: ends[-1] + 1] = np.repeat(ends, sizes + 1) - np.arange(ends[-1] + 1)
-    owner = np.append(np.repeat(np.arange(len(strings)), sizes + 1), len(strings))
-    order = sa[left[sa] >= SPAN]  # places where a whole window starts
+    whole = np.zeros(len(joined), bool)  # places where a whole window starts
+    whole[: ends[-1] + 1] = np.repeat(ends, sizes + 1) - np.arange(ends[-1] + 1) >= SPAN
+    lcp = permuted_lcp(joined, sa, whole)
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
+    order = sa[whole[sa]]
     new = np.flatnonzero(lcp[order] < SPAN) if len(order) else np.zeros(0, np.int64)
     if len(new) and new[0]:
         new = np.insert(new, 0, 0)
