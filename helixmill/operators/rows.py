@@ -70,8 +70,8 @@ def remainder(full: DataFrame, part: DataFrame, key: str) -> DataFrame:
 def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """n_rows, n_duplicates (rows beyond the first of a key, nulls being equal), n_distinct (keys without nulls)."""
     full = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"), F.count_if(full).alias("n_distinct"))
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    return per_key.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"), F.count_if(full).alias("n_distinct"))
 
 
 def duplicate_examples(df: DataFrame, keys: list[str], order: list[str], per_group: int = 2, limit: int = 10) -> DataFrame:
