@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from helixmill.functions import sequence as seq
+from helixmill.functions.ids import positive_id
 from helixmill.operators import intervals, metrics, rows, sampling
 from helixmill.plans.adapters import load, with_
+from helixmill.sources import genomic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -554,3 +556,97 @@ def batch_assign(spark, d):
 def softmax_probability(spark, d):
     t = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 1000).alias("k")).agg(F.count("*").alias("n"), F.avg("l_tax").alias("a"), F.avg("l_discount").alias("b"))
     return t.select("k", "n", F.round(seq.positive_probability(F.col("a"), F.col("b")), 9).alias("p"))
+
+
+# -- liftover, overlaps, contigs, genome windows ----------------------------------------------------------------------
+
+_BLOCKS = "blocks as (select concat('chr', cast(1 + p_partkey % 22 as varchar)) as src_chrom, (p_partkey * 97) % 100000 as src_start, (p_partkey * 97) % 100000 + p_size * 20 as src_end, concat('chr', cast(1 + p_partkey % 19 as varchar)) as dst_chrom, p_partkey * 50 as dst_start, case when p_partkey % 3 = 0 then '-' else '+' end as dst_strand, p_partkey as score from part)"
+
+
+@query(f"""{_D}, {_BLOCKS}, hit as (select s.chrom as src_chrom, s.pos as src_pos, s.strand as src_strand, b.dst_chrom, b.dst_start, b.dst_strand, b.src_start, row_number() over (partition by s.chrom, s.pos, s.strand order by b.score desc) as rn from distinct_sites s join blocks b on s.chrom = b.src_chrom and s.pos >= b.src_start and s.pos < b.src_end)
+select src_chrom, src_pos, src_strand, dst_chrom as chrom, case when dst_strand = '-' then dst_start - (src_pos - src_start) else dst_start + (src_pos - src_start) end as pos, case when dst_strand = '-' then translate(src_strand, '+-', '-+') else src_strand end as strand from hit where rn = 1""")
+def liftover(spark, d):
+    """Sites through chain blocks: the block of the highest score decides; on a minus block strands flip."""
+    blocks = spark.read.parquet(f"{d}/part.parquet").selectExpr("concat('chr', cast(1 + p_partkey % 22 as string)) as src_chrom", "(p_partkey * 97) % 100000 as src_start", "(p_partkey * 97) % 100000 + p_size * 20 as src_end", "concat('chr', cast(1 + p_partkey % 19 as string)) as dst_chrom", "p_partkey * 50 as dst_start", "case when p_partkey % 3 = 0 then '-' else '+' end as dst_strand", "p_partkey as score")
+    return intervals.lifted(_distinct(spark, d).select(*KEYS, F.col("strand").alias("src_strand")), blocks).select("src_chrom", "src_pos", "src_strand", "chrom", "pos", "strand")
+
+
+@query(f"{with_('genes')}, q as (select chrom, key, pos as a_start, pos + 40 as a_end from (select 'chr' || cast(1 + o_custkey % 22 as varchar) as chrom, o_orderkey as key, cast((o_orderkey * 53 + o_custkey) % 100000 as bigint) as pos from orders)) select q.key, q.chrom, g.gene_id from q join genes g on q.chrom = g.chrom and q.a_start < g.g_end and g.g_start < q.a_end")
+def gene_overlaps(spark, d):
+    spans = load(spark, d, "candidates").select("key", "chrom", F.col("pos").alias("a_start"), (F.col("pos") + 40).alias("a_end"))
+    genes = load(spark, d, "genes").select("chrom", F.col("g_start").alias("b_start"), F.col("g_end").alias("b_end"), "gene_id")
+    return genomic.overlapping(spans, genes).select("key", "chrom", "gene_id")
+
+
+@query(f"with t as ({_CHROMS}) select p_partkey, case c when 'chr1' then '1' when '2' then '2' when 'MT' then 'chrM' when 'chrX' then 'chrX' end as contig from t")
+def contig_resolve(spark, d):
+    """Names resolved against the contigs 1, 2, chrX and chrM."""
+    contigs = spark.createDataFrame([("1",), ("2",), ("chrX",), ("chrM",)], "contig string")
+    return genomic.resolved_contigs(_chroms(spark, d).select("p_partkey", F.col("c").alias("chrom")), contigs).select("p_partkey", F.col("chrom").alias("contig"))
+
+
+_GENOME = """genome as (select concat('chr', cast(k as varchar)) as chrom, string_agg(md5(concat(cast(k as varchar), ':', cast(i as varchar))), '' order by i) as raw from (select unnest(range(1, 23)) as k), (select unnest(range(0, 400)) as i) group by k),
+letters as (select chrom, translate(raw, '0123456789abcdef', 'ACGTACGTACGTACGT') as s from genome)"""
+
+
+def _genome(spark, size):
+    """A made-up genome of 22 contigs of 12,800 bases, as chunks."""
+    parts = spark.range(1, 23).withColumnRenamed("id", "k").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(399)))).withColumn("raw", F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col("i").cast("string"))))
+    per = size // 32
+    chunks = parts.groupBy("k", F.floor(F.col("i") / per).alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "raw"))), lambda x: x["raw"]), "").alias("raw"))
+    return chunks.select(F.concat(F.lit("chr"), F.col("k").cast("string")).alias("chrom"), "chunk", F.translate("raw", "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
+
+
+def _placed(spark, d):
+    return _distinct(spark, d).select("chrom", (F.col("pos") % 12800).alias("pos"), "strand").distinct()
+
+
+_PLACED = f"{_D}, {_GENOME}, placed as (select distinct chrom, pos % 12800 as pos, strand from distinct_sites)"
+
+
+@query(f"{_PLACED}, w as (select p.chrom, pos, strand, substr(s, cast(greatest(pos - 101, 0) + 1 as int), cast(least(pos + 102, 12800) - greatest(pos - 101, 0) as int)) as w from placed p join letters using (chrom)) select chrom, pos, strand, md5(case when strand = '-' then reverse(translate(w, 'ACGT', 'TGCA')) else w end) as digest, length(w) as n from w")
+def pipeline_windows(spark, d):
+    """203 bases around each site, reverse-complemented on minus, cut off at the contig's ends."""
+    t = genomic.pipeline_windows(_placed(spark, d), _genome(spark, 1024), size=1024)
+    return t.select(*KEYS, F.md5("sequence").alias("digest"), F.length("sequence").cast("long").alias("n"))
+
+
+@query(f"{_PLACED}, w as (select p.chrom, pos, strand, substr(s, cast(greatest(pos - 200, 0) + 1 as int), cast(least(pos + 100, 12800) - greatest(pos - 200, 0) as int)) as w from placed p join letters using (chrom)) select chrom, pos, strand, md5(case when strand = '-' then reverse(translate(w, 'ACGT', 'TGCA')) else w end) as digest, length(w) as n from w")
+def generator_windows(spark, d):
+    t = genomic.generator_windows(_placed(spark, d), _genome(spark, 1024), size=1024)
+    return t.select(*KEYS, F.md5("sequence").alias("digest"), F.length("sequence").cast("long").alias("n"))
+
+
+@query(f"{_PLACED}, w as (select p.chrom, pos, strand, substr(s, cast(greatest(pos - 50, 1) as int), cast(least(pos + 49, 12800) - greatest(pos - 50, 1) + 1 as int)) as w from placed p join letters using (chrom) where pos > 0), r as (select chrom, pos, strand, translate(case when strand = '-' then reverse(translate(w, 'ACGT', 'TGCA')) else w end, 'T', 'U') as s from w) select chrom, pos, strand, md5(s) as digest, cast({_N.format('A')} as int) as a_count, cast({_N.format('U')} as int) as u_count from r")
+def feature_windows(spark, d):
+    t = genomic.feature_windows(_placed(spark, d).where("pos > 0"), _genome(spark, 1024), size=1024).withColumn("b", seq.composition(F.col("sequence")))
+    return t.select(*KEYS, F.md5("sequence").alias("digest"), F.col("b.A_count").alias("a_count"), F.col("b.U_count").alias("u_count"))
+
+
+@query()
+def positive_ids(spark, d):
+    """BLAKE2b ids of the sites: no SQL function of DuckDB gives them; tests compare with hashlib."""
+    return _distinct(spark, d).select(*KEYS, positive_id(F.col("chrom"), F.col("pos"), F.col("strand"), F.col("sequence")).alias("id"))
+
+
+@query("select 'R' as source, count(*) as n_rows, count(distinct p_brand) as n_distinct from part union all select coalesce(nullif(trim(p_type), ''), 'none'), count(*), count(distinct p_brand) from part group by 1")
+def source_counts(spark, d):
+    """Counts by source with a default for missing names."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    named = p.withColumn("source", F.coalesce(F.nullif(F.trim("p_type"), F.lit("")), F.lit("none")))
+    total = p.agg(F.lit("R").alias("source"), F.count("*").alias("n_rows"), F.countDistinct("p_brand").alias("n_distinct"))
+    return total.unionByName(named.groupBy("source").agg(F.count("*").alias("n_rows"), F.countDistinct("p_brand").alias("n_distinct")))
+
+
+@query("select label, count(*) as n, min(doc_id) as first_doc from (select text, quality as label, min(l.doc_id) as doc_id from documents d join labels l using (doc_id) group by text, quality) group by label")
+def labelled_text_dedup(spark, d):
+    """Within-label de-duplication of the labelled documents by text."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    return rows.keep_first(t, ["text", "label"], ["doc_id"]).groupBy("label").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"{_LABELLED}, c as (select chrom, count(*) as n_rows, count(*) filter (label = 1) as n_pos from labelled group by chrom) select metric, cast(value as double) as value from (select 'n_chroms' as metric, count(*) as value from c union all select 'n_rows', sum(n_rows) from c union all select 'n_pos', sum(n_pos) from c)")
+def dataset_report(spark, d):
+    """A (metric, value) report."""
+    c = _labelled(spark, d).groupBy("chrom").agg(F.count("*").alias("n_rows"), F.sum("label").alias("n_pos")).agg(F.count("*").alias("n_chroms"), F.sum("n_rows").alias("n_rows"), F.sum("n_pos").alias("n_pos"))
+    return c.select(F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value")) for x in c.columns))).alias("x")).select("x.*")

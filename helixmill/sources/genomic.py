@@ -208,7 +208,8 @@ def feature_windows(points: DataFrame, chunks: DataFrame, up: int = 50, down: in
 def resolved_contigs(points: DataFrame, contigs: DataFrame) -> DataFrame:
     """points whose chrom is spelt as among contigs (column contig): as it is, without or with chr, then the spellings of the
     mitochondrion; null where none fits."""
-    options = F.array_distinct(F.array("chrom", F.regexp_replace("chrom", "^chr", ""), F.concat(F.lit("chr"), "chrom"), F.when(F.col("chrom").isin("chrM", "chrMT"), "MT"), F.when(F.col("chrom").isin("chrM", "chrMT"), "M"), F.when(F.col("chrom").isin("M", "MT"), "chrM")))
+    c = F.trim("chrom")
+    options = F.array_distinct(F.array(c, F.regexp_replace(c, "^chr", ""), F.when(~c.startswith("chr"), F.concat(F.lit("chr"), c)), F.when(c == "chrM", "MT"), F.when(c == "chrM", "M"), F.when(c.isin("M", "MT"), "chrM")))
     names = points.select("chrom").distinct().select("chrom", F.posexplode(options).alias("k", "contig"))
     found = names.join(contigs, "contig").groupBy("chrom").agg(F.min_by("contig", "k").alias("contig"))
     return points.join(found, "chrom", "left").withColumn("chrom", F.col("contig")).drop("contig")
