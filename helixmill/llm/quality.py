@@ -22,33 +22,36 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _BLANKS, _SPACES), " ", -1), "")
 
 
-def _chars(line: str) -> str:
-    """SQL: the word characters of a line."""
-    return f"length(translate({line}, '\\t\\n\\u000b\\f\\r ', ''))"
-
-
 def _count(line: str, chars: str) -> str:
     return f"(length({line}) - length(translate({line}, '{chars}', '')))"
 
 
+#: SQL: whether any of the phrases is in the lower-cased text `low`.
+_PHRASES = " or ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
+
+
 def _fails(line: str) -> str:
     """SQL: whether a line fails.
     Navigation: separators | > » • are a fifth of its words or more, or it is a short line without a terminal
     mark. Punctuation: symbols are a tenth of its word characters or more, or a doubled exclamation mark comes
-    with every third word or more. Boilerplate: one of the phrases, or a line of code braces."""
+    with every third word or more. Boilerplate: one of the phrases, or a line of code braces.
+    What a whole text lacks (__s symbols, __b phrases) isn't looked for in its lines."""
+    odd = " or ".join(f"contains({line}, '{c}')" for c in ("\\t", "\\u000b", "\\f", "\\r"))
+    plain = f"if({odd}, translate({line}, '\\t\\u000b\\f\\r', '    '), {line})"
     words = "greatest(size(filter(v.w, w -> w <> '')), 1)"
     separators = "size(filter(v.w, w -> w in ('|', '>', '»', '•')))"
     bangs = f"((length({line}) - length(replace({line}, '!!', ''))) / 2)"
-    phrases = " or ".join(f"contains(v.low, '{p}')" for p in BOILERPLATE)
+    chars = f"(length({line}) - size(v.w) + 1)"  # the words are cut at each blank
     rules = (
-        f"({_count(line, '|>»•')} > 0 and 5 * {separators} >= {words})"
-        f" or ({words} < {SHORT_LINE} and not rtrim(translate({line}, '\\t\\n\\u000b\\f\\r', '     ')) rlike '[.!?:;\"”…]$')"
-        f" or 10 * {_count(line, _SYMBOLS)} >= {_chars(line)}"
+        f"((size(v.w) < {SHORT_LINE} or array_contains(v.w, '')) and {words} < {SHORT_LINE} and not rtrim(array_join(v.w, ' ')) rlike '[.!?:;\"”…]$')"
+        f" or ((__s > 0 or contains({line}, '»') or contains({line}, '•')) and {separators} > 0 and 5 * {separators} >= {words})"
+        f" or (__s > 0 and 10 * {_count(line, _SYMBOLS)} >= {chars})"
         f" or (contains({line}, '!!') and 3 * {bangs} >= {words})"
-        f" or {phrases} or ({_count(line, '{}')} > 1)"
+        f" or (__b and exists(array(lower({line})), low -> {_PHRASES}))"
+        f" or ((contains({line}, '{{') or contains({line}, '}}')) and {_count(line, '{}')} > 1)"
     )
-    # v: the line's words and lower-cased text, made once
-    return f"exists(array(struct(split(translate({line}, '\\t\\n\\u000b\\f\\r', '     '), ' ', -1) as w, lower({line}) as low)), v -> {rules})"
+    # v: the line's words, cut once
+    return f"exists(array(struct(split({plain}, ' ', -1) as w)), v -> {rules})"
 
 
 #: Words in 3-word windows that occur twice or more. __h: 64-bit hashes of the windows, in order. Sorted with their
@@ -65,13 +68,15 @@ def measured(docs: DataFrame) -> DataFrame:
     by 64-bit hashes within one document: at 100,000 words the chance of a false repeat is below 1e-9."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("__w", words_of(F.col("text"))).withColumn("__l", F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _BLANKS + " ", "")) > 0))
+    symbols = (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long")
+    d = d.withColumns({"__s": symbols, "__b": F.expr(_PHRASES.replace("low,", "lower(text),"))})
     hashes = F.expr("if(size(__w) >= 3, transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])), cast(array() as array<bigint>))")
     d = d.select(
         *docs.columns,
         F.size("__w").cast("long").alias("__n"),
         hashes.alias("__h"),
         F.length(F.translate(text, _BLANKS + " ", "")).cast("long").alias("__c"),
-        (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("__s"),
+        "__s",
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("__d"),
         F.expr(f"filter(__l, x -> not ({_fails('x')}))").alias("__k"),
         (F.size("__l") > 0).alias("__any"),
