@@ -145,7 +145,8 @@ def read_archive(data: bytes) -> Iterator[dict]:
 def roles(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """page_id, url, html, row, digest and `response` (page_id, row) of the record that a row's payload is a response
     in; it is the row itself for responses. Equal payloads are found by SHA-1 and length. Copies are counted
-    before the shuffle, and the join is left to the adaptive plan, which splits a skewed digest."""
+    before the shuffle, and the join is left to the adaptive plan, which splits a skewed digest. `row` is the place in
+    the scan, so pages should be a table read from files: then a task that is run again numbers its rows alike."""
     made = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
     made = made.withColumns({"digest": F.unhex(F.sha1("html")), "n": F.octet_length("html")})
     largest = made.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max(F.struct("page_id", "row")).alias("response"))

@@ -10,7 +10,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from helixmill.llm import ann, components, sais, simhash, suffix, urls, warc
+from helixmill.llm import ann, components, sais, similar, simhash, suffix, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -113,6 +113,63 @@ def test_simhash_documents(spark):
     assert simhash.components_of(df.where("false")).collect() == []
 
 
+def shingles(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("crowd, rows", [(64, 200_000), (2, 30)])
+def test_similar_documents(spark, monkeypatch, crowd, rows):
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "SHARD_ROWS", rows)
+    rng = random.Random(21)
+    vocabulary = words(rng, 3000).split()
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts, family = [], []
+    for f in range(12):
+        base = prose(300)
+        for k in range(6):
+            w = list(base)
+            for _ in range(k):  # up to five words changed of 300: similarity 0.84 and more to the first
+                w[rng.randrange(300)] = "new%d" % rng.randrange(10**6)
+            texts.append(" ".join(w))
+            family.append(f)
+    hot = prose(300)
+    for k in range(120):
+        w = list(hot)
+        w[rng.randrange(300)] = "hot%d" % k
+        texts.append(" ".join(w))
+        family.append(99)
+    for k in range(60):
+        texts.append(" ".join(prose(200)))
+        family.append(1000 + k)
+    first = {}
+    for i, f in enumerate(family):
+        first.setdefault(f, i)
+    n = len(texts)
+    df = docs(spark, [*texts, texts[0], None, ""]).union(spark.createDataFrame([(None, texts[3], "en", "s", 0), (0, texts[0], "en", "s", 0)], DOCS)).withColumn("words", F.lit("clash"))
+    kept = similar.one_of_each(df.repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*first.values(), n + 1]) and kept.columns == df.columns
+    few = similar.one_of_each(docs(spark, ["one", "ONE", "two words here", "x y z"]))
+    assert sorted(r.doc_id for r in few.collect()) == [0, 2, 3]
+    assert similar.one_of_each(df.where("false")).collect() == []
+    assert all(len(shingles(texts[0]) & shingles(texts[k])) / len(shingles(texts[0]) | shingles(texts[k])) >= 0.8 for k in range(6))
+
+
+def test_search_and_across_equal_brute_force():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (4, 2)).astype(np.uint64)
+    fps = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (4, 2)).astype(np.uint64)) for _ in range(10)])
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2) <= 4
+    reach = np.linalg.matrix_power(near.astype(float), len(fps)) > 0
+    group, links = similar._search(fps, 4)
+    assert all(((group == group[i]) == reach[i]).all() for i in range(len(fps)))
+    assert all(near[u, v] for u, v in links) and len(links) == len(fps) - len(set(group.tolist()))
+    a = base ^ np.uint64(1)
+    got = {(u, int(group[v])) for u, v in similar._across(a, fps, 4)}
+    assert got == {(u, int(group[v])) for u in range(4) for v in np.flatnonzero(np.bitwise_count(a[u] ^ fps).sum(1) <= 4)}
+
+
 @pytest.mark.parametrize("ends", [False, True])
 def test_suffix_array(ends):
     rng = random.Random(3)
@@ -283,8 +340,9 @@ def test_pipeline_on_the_smallest_table(spark):
         assert new.columns == columns, name
         assert new.join(docs, "doc_id", "left_anti").count() == 0 and new.select("doc_id").distinct().count() == new.count()
         if name == "SimHash near-dedup":
-            own = [plain_fingerprint(r.text) for r in new.collect()]
-            assert all((a ^ b).bit_count() > 4 for i, a in enumerate(own) for b in own[:i])
+            sets = [shingles(r.text) for r in new.collect()]
+            close = sum(len(a & b) >= 0.85 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+            assert close == 0
         if name == "suffix-array dedup":
             before = plain_removal([(r.doc_id, r.text) for r in docs.collect()])
             lost = {d for d, n, removed, *_ in before if n and n == removed}
