@@ -57,12 +57,13 @@ def prepare(spark: SparkSession) -> None:
     if app not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         folder = tempfile.mkdtemp(prefix="helixmill-ship-")
-        target = os.path.join(folder, "helixmill_llm.zip")
+        target = os.path.join(folder, "helixmill.zip")
         with zipfile.ZipFile(target, "w") as z:
-            for sub in ("helixmill", "helixmill/llm"):
-                for f in sorted(os.listdir(os.path.join(root, sub))):
+            for place, _, names in sorted(os.walk(os.path.join(root, "helixmill"))):
+                for f in sorted(names):
                     if f.endswith(".py"):
-                        z.write(os.path.join(root, sub, f), f"{sub}/{f}")
+                        whole = os.path.join(place, f)
+                        z.write(whole, os.path.relpath(whole, root))
         spark.sparkContext.addPyFile(target)
         _shipped.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
