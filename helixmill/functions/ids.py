@@ -8,12 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
-def _blake2b(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
-
-
 def blake2b64(text: Column) -> Column:
-    return F.pandas_udf(_blake2b, "string")(text)
+    def digests(values: pd.Series) -> pd.Series:  # nested, so that it travels with the plan
+        return values.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
+
+    return F.pandas_udf(digests, "string")(text)
 
 
 def positive_id(chrom: Column, pos: Column, strand: Column, sequence: Column) -> Column:
