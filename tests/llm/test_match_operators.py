@@ -165,6 +165,8 @@ def test_search_and_across_equal_brute_force():
     group, links = similar._search(fps, 4)
     assert all(((group == group[i]) == reach[i]).all() for i in range(len(fps)))
     assert all(near[u, v] for u, v in links) and len(links) == len(fps) - len(set(group.tolist()))
+    stars = similar._stars(np.array([5, 9, 7, 20]), np.array([7, 5, 3, 21]))
+    assert sorted(zip(stars.u.tolist(), stars.v.tolist())) == [(5, 3), (7, 3), (9, 3), (21, 20)]
     a = base ^ np.uint64(1)
     got = {(u, int(group[v])) for u, v in similar._across(a, fps, 4)}
     assert got == {(u, int(group[v])) for u in range(4) for v in np.flatnonzero(np.bitwise_count(a[u] ^ fps).sum(1) <= 4)}
