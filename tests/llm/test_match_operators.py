@@ -156,6 +156,43 @@ def test_similar_documents(spark, monkeypatch, crowd, rows):
     assert all(len(shingles(texts[0]) & shingles(texts[k])) / len(shingles(texts[0]) | shingles(texts[k])) >= 0.8 for k in range(6))
 
 
+def threshold_pairs(changed, n=60):
+    """Pairs of texts of 300 shingles, of which the last `changed` differ, so of similarity (300 - c) / (300 + c)."""
+    rng = random.Random(8)
+    word = lambda: "%06x" % rng.randrange(1 << 24)
+    out = []
+    for _ in range(n):
+        base = [word() for _ in range(304)]
+        out += [" ".join(base), " ".join(base[: 304 - changed] + [word() for _ in range(changed)])]
+    return out
+
+
+def test_similar_documents_at_the_threshold(spark):
+    inside, outside, far = threshold_pairs(33), threshold_pairs(34), threshold_pairs(50)  # 0.802, 0.796, 0.714
+    kept = {r.doc_id for r in similar.one_of_each(docs(spark, inside)).collect()}
+    assert kept >= set(range(0, 120, 2)) and len(kept) <= 62  # a pair is found with a probability of 0.99
+    for texts in (outside, far):
+        assert similar.one_of_each(docs(spark, texts)).count() == 120
+
+
+def test_grouped_equals_brute_force():
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, np.uint64)]
+    for size in (1, 4, 10, 40, 100):
+        for _ in range(6):
+            base = rng.integers(0, 2**63, 2 * size).astype(np.uint64)
+            sets += [np.unique(np.concatenate([base[k : k + size], base[: k // 3]])) for k in range(0, size, max(1, size // 20))]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    label = list(range(len(sets)))
+    for i, a in enumerate(map(set, sets)):
+        for j in range(i):
+            b = set(sets[j])
+            if a and b and 5 * len(a & b) >= 4 * len(a | b):
+                label = [label[j] if x == label[i] else x for x in label]
+    first = {}
+    assert similar._grouped(sets).tolist() == [first.setdefault(x, i) for i, x in enumerate(label)]
+
+
 def test_search_and_across_equal_brute_force():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, (4, 2)).astype(np.uint64)
