@@ -175,6 +175,17 @@ def test_similar_documents_at_the_threshold(spark):
         assert similar.one_of_each(docs(spark, texts)).count() == 120
 
 
+@pytest.mark.parametrize("rows", [2_000_000, 30_000_000])
+def test_similar_documents_whatever_the_size(spark, monkeypatch, rows):
+    few, shape = similar.shape(1), similar.shape
+    assert all(shape(n)[2] >= similar.COMPARED for n in (0, 1, 1000, rows, 10**12)) and shape(rows)[:3] != few[:3]
+    monkeypatch.setattr(similar, "shape", lambda n: (*shape(rows)[:3], 3))
+    inside, outside = threshold_pairs(30), threshold_pairs(43)  # 0.818, 0.749
+    kept = {r.doc_id for r in similar.one_of_each(docs(spark, inside)).collect()}
+    assert kept >= set(range(0, 120, 2)) and len(kept) <= 61
+    assert similar.one_of_each(docs(spark, outside)).count() == 120
+
+
 def test_grouped_equals_brute_force():
     rng = np.random.default_rng(3)
     sets = [np.zeros(0, np.uint64)]
