@@ -69,6 +69,11 @@ def whole_number(key: Column, seed: str, n: Column | int) -> Column:
     return seven % (F.lit(n) if isinstance(n, int) else n)
 
 
+def place_number(key: Column, seed: str, n: Column) -> Column:
+    """As whole_number for an n of any size: the first 13 hex digits of draw(), modulo n."""
+    return F.conv(F.substring(draw(key, seed), 1, 13), 16, 10).cast("long") % n
+
+
 def first_attempt(candidates: DataFrame, keys: list[str], attempt: str = "attempt") -> DataFrame:
     """Of the attempts that passed, each key's first."""
     rest = [c for c in candidates.columns if c not in (*keys, attempt)]

@@ -141,12 +141,12 @@ def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = No
         tries = todo.withColumn("attempt", F.explode(F.sequence(F.lit(turn * attempts), F.lit((turn + 1) * attempts - 1))))
         key = F.concat_ws(":", *(F.col(c).cast("string") for c in (*SITE, "n", "attempt")), F.lit(str(seed)))
         if mask is None:
-            drawn = tries.withColumns({"new": sampling.whole_number(key, "place", 1 << 27) % F.col("length"), "region": F.lit("")})
+            drawn = tries.withColumns({"new": sampling.place_number(key, "place", F.col("length")), "region": F.lit("")})
         else:
             of = m.select("chrom", "n_r").distinct()
             drawn = tries.join(of, "chrom", "left").withColumn("r", F.when(F.col("n_r") > 0, sampling.whole_number(key, "region", F.col("n_r")))).join(m.drop("n_r"), ["chrom", "r"], "left")
             lo, width = F.coalesce("start", F.lit(0)), F.coalesce(F.col("end") - F.col("start"), F.col("length"))
-            drawn = drawn.withColumns({"new": lo + sampling.whole_number(key, "place", 1 << 27) % width, "region": F.coalesce("region", F.lit(""))})
+            drawn = drawn.withColumns({"new": lo + sampling.place_number(key, "place", width), "region": F.coalesce("region", F.lit(""))})
         fine = intervals.outside(drawn.select(*SITE, "n", "attempt", "new", "region"), buffers, ["chrom"], "new")
         if motif_aware and chunks is not None:
             at = fine.select("chrom", F.col("pos").alias("own"), F.col("new").alias("pos"), "strand", "n", "attempt", "region")

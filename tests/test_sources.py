@@ -104,6 +104,16 @@ def test_generator(spark, tmp_path):
     assert masked and all(4000 <= r.pos < 4100 and r.region_id == "m" for r in masked)
 
 
+def test_generator_reaches_all_of_a_long_chromosome(spark):
+    points = spark.createDataFrame([("chr1", 1000 * i, "+", "a") for i in range(1, 41)], "chrom string, pos long, strand string, name string")
+    sizes = spark.createDataFrame([("chr1", 1 << 29)], "chrom string, length long")
+    mask = spark.createDataFrame([("chr1", 1 << 20, 1 << 29, "m")], "chrom string, start long, end long, region string")
+    for m in (None, mask):
+        neg = [r.pos for r in pipelines.generated(points, sizes, None, m, k=5).collect() if r.label == 0]
+        assert len(neg) == 200 and all(0 <= p < 1 << 29 for p in neg)
+        assert all(any(q * (1 << 27) <= p < (q + 1) * (1 << 27) for p in neg) for q in range(4))
+
+
 def test_features(spark, tmp_path):
     chunks = genomic.fasta_chunks(spark, fasta(tmp_path), 512)
     contigs = spark.createDataFrame([("chr1",), ("chr2",)], "contig string")
