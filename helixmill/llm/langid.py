@@ -2,8 +2,8 @@
 
 Symbols are lower-cased letters; a run of anything else is one word boundary (0). A gram is a symbol with the four
 before it in the same word, filled up with boundaries. Training counts the grams of all training documents; the
-model of a language is built from its most frequent grams (MAX_GRAMS, a bound on the broadcast model; what falls
-below backs off) and kept as sorted arrays of 64-bit hashes. A text gets the language of the lowest cross-entropy
+model of a language is built from all its grams, none left out, and kept as sorted arrays of 64-bit hashes. So it grows
+with the distinct grams of five letters, not with the documents. A text gets the language of the lowest cross-entropy
 per symbol. The score is calibrated by the cross-entropies of training documents of that language: 1/2 where it
 reaches their mean plus LIMIT standard deviations for a text of that length, and below that the text is rejected.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from helixmill.llm.common import prepare, written
 
 ORDER = 5
-#: Grams kept for each language and in all, and labelled documents used to calibrate: bounds of the model.
-MAX_GRAMS, MAX_ALL_GRAMS, CALIBRATION_DOCS = 150_000, 2_000_000, 3_000
+#: Labelled documents used to calibrate.
+CALIBRATION_DOCS = 3_000
 LIMIT = 12.0
 UNKNOWN = "und"
 HELD_OUT = 2
@@ -247,19 +247,11 @@ def fit(docs: DataFrame) -> Identifier:
     fold and teach nothing. No such documents: an identifier that knows no language."""
     training = folded(docs).where(f"fold <> {HELD_OUT} and lang is not null and text is not null")
     counted = written(count_grams(training), "grams")
-    # the least count that a language's grams must have, from the numbers of grams by count: a short table
-    sizes = counted.groupBy("lang", "n").count().toPandas().sort_values(["lang", "n"], ascending=[True, False])
-    most = min(MAX_GRAMS, MAX_ALL_GRAMS // max(1, sizes["lang"].nunique()))
-    least = {}
-    for lang, g in sizes.groupby("lang"):
-        fits = g["count"].cumsum() <= most
-        least[lang] = int(g["n"][fits].min()) if fits.any() else int(g["n"].iloc[0]) + 1
     models = {}
-    for lang, n in least.items():
-        rows = counted.where((F.col("lang") == lang) & (F.col("n") >= n)).select("gram", "n").orderBy("gram").toPandas()
-        if len(rows):
-            points = np.frombuffer("".join(rows["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, ORDER).T
-            models[lang] = Model(np.ascontiguousarray(points), rows["n"].to_numpy(np.float64))
+    for r in counted.select("lang").distinct().orderBy("lang").collect():
+        rows = counted.where(F.col("lang") == r.lang).select("gram", "n").orderBy("gram").toArrow()
+        points = [np.frombuffer("".join(c.to_pylist()).encode("utf-32-le"), np.uint32) for c in rows["gram"].chunks]
+        models[r.lang] = Model(np.ascontiguousarray(np.concatenate(points).reshape(-1, ORDER).T), rows["n"].to_numpy().astype(np.float64))
     known = Identifier(models)
     if not models:
         return known

@@ -149,6 +149,18 @@ def test_kneser_ney_sums_to_one():
         assert 0.75 < np.exp(-m.cost(np.ascontiguousarray(grid))).sum() <= 1.0001  # the rest is for unseen symbols
 
 
+def test_language_models_keep_all_grams(spark, monkeypatch):
+    for cap in ("MAX_GRAMS", "MAX_ALL_GRAMS"):
+        monkeypatch.setattr(langid, cap, 40, raising=False)
+    known = langid.fit(spark.createDataFrame(corpora(), DOCS))
+    for lang, model in zip(known.languages, known.models):
+        texts = [t for i, t, x, *_ in corpora() if x == lang and zlib.crc32(str(i).encode()) % 4 != langid.HELD_OUT]
+        rows = langid.grams(langid.symbols(texts)[0])
+        h, first, n = np.unique(langid.hashed(rows, langid.ORDER), return_index=True, return_counts=True)
+        assert len(h) > 40 and model.orders[-1][0].tolist() == h.tolist()
+        assert np.allclose(model.cost(rows), langid.Model(rows[:, first], n.astype(float)).cost(rows))
+
+
 def test_pieces_of_long_texts():
     old, langid.SLICE = langid.SLICE, 50
     try:
