@@ -43,15 +43,14 @@ _encoders: dict[str, "PieceEncoder"] = {}
 class PieceEncoder:
     """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers. Byte-level BPE merges inside
     the matches of its split pattern only, so of a batch each new match is encoded once and remembered; texts with
-    characters on which engines may differ go to the library whole."""
+    characters on which engines may differ, or with an added token of the tokenizer's, go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.tokenizer, self.merger):
-            t.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # for single matches
         self.known: dict[str, bytes] = {}
 
@@ -60,7 +59,7 @@ class PieceEncoder:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if _ODD.search(t) else _SPLIT.findall(t) for t in texts]
+        parts = [None if _ODD.search(t) or any(a in t for a in self.added) else _SPLIT.findall(t) for t in texts]
         seen = set().union(*(p for p in parts if p))
         new = list(seen - self.known.keys())
         if len(self.known) + len(new) > CACHE:

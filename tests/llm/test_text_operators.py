@@ -181,6 +181,15 @@ def test_piece_encoder_equals_library():
     assert got == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_piece_encoder_knows_added_tokens():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y <|endoftext|>", "a<|endoftext|", "no token", *(t or "" for t in odd_texts())]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.PieceEncoder(JSON).encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [64, 50256, 65]
+
+
 @pytest.mark.parametrize("n, expected", [(1, [(0, 1)]), (8, [(0, 8)]), (9, [(0, 1), (1, 8)]), (16, [(0, 8), (8, 8)])])
 def test_cut(n, expected):
     assert packing.cut(n, 8) == expected
