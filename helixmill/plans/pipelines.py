@@ -60,8 +60,9 @@ def positives(a: DataFrame, b: DataFrame, tol: int = 12) -> dict[str, DataFrame]
 
 def negatives(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
     """Twice as many negatives as positives in three buckets: windows shifted inside the positive's UTR, places uniform in
-    UTRs, and such places with a hexamer nearby. A bucket that falls short isn't filled up; a site is taken once,
-    earlier buckets first. Draws are by hash: the same rows on every run."""
+    UTRs, and such places with a hexamer nearby. The last two draw in rounds for
+    what is missing, 20 and 40 times their target at most; a bucket that falls short isn't filled up by another. A site is
+    taken once, earlier buckets first. Draws are by hash: the same rows on every run."""
     pos = held(pos)
     n = pos.count()
     want = sampling.bucket_targets(n)
@@ -80,21 +81,30 @@ def negatives(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, seed: int = 42
     shifted = held(sampling.first_attempt(intervals.clear_of(moved, sites, ["chrom"], 50, "new"), SITE))
     shifted = sampling.hash_rank(shifted.withColumn("key", key(*SITE)), "key", seed).where(F.col("rank") <= want["window"]).select("chrom", F.col("new").alias("pos"), "strand", "gene_name", F.lit("window_shift").alias("source"), F.lit(0).alias("bucket"))
 
-    def uniform(name: str, tries: int, target: int, spare: int) -> DataFrame:
+    def uniform(name: str, tries: int, start: int, stop: int) -> DataFrame:
         n_u = long.agg(F.count("*").alias("n_u"))
-        draws = pos.sparkSession.range(target * spare).withColumnRenamed("id", "i").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).crossJoin(F.broadcast(n_u)).where("n_u > 0")
+        draws = pos.sparkSession.range(start, stop).withColumnRenamed("id", "i").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).crossJoin(F.broadcast(n_u)).where("n_u > 0")
         kk = key("i", "attempt")
         placed = draws.withColumn("u_no", sampling.whole_number(kk, f"{name}-utr", F.col("n_u"))).withColumn("at", sampling.whole_number(kk, f"{name}-place", 1 << 27)).join(long, "u_no")
         placed = placed.withColumn("new", F.col("u_start") + margin + F.col("at") % (F.col("u_end") - F.col("u_start") - 2 * margin)).select("i", "attempt", "chrom", "new", "strand", "gene_name", "u_start", "u_end")
         return intervals.clear_of(placed, sites, ["chrom"], 50, "new")
 
-    def taken(t: DataFrame, target: int, source: str, bucket: int) -> DataFrame:
-        first = held(sampling.first_attempt(t, ["i"]).orderBy("i").limit(target))
-        return first.select("chrom", F.col("new").alias("pos"), "strand", "gene_name", F.lit(source).alias("source"), F.lit(bucket).alias("bucket"))
-
-    plain = taken(uniform("random", 4, want["random"], 2), want["random"], "random_utr", 1)
-    near = genomic.windows(uniform("motif", 8, want["motif"], 4).withColumn("pos", F.col("new")), chunks, F.greatest(F.col("new") - 50, F.col("u_start")), F.least(F.col("new") + 50, F.col("u_end")), size)
-    motif = taken(near.where(seq.has_hexamer(F.col("dna"))).drop("dna", "pos", "u_start", "u_end"), want["motif"], "motif_matched", 2)
+    def bucket(name: str, tries: int, bound: int, source: str, number: int, before: DataFrame) -> DataFrame:
+        target, stop, found, n_found = want[name], 0, None, 0
+        while n_found < target and stop < bound * target:
+            start, stop = stop, min(max(2 * target, 2 * stop), bound * target)
+            t = uniform(name, tries, start, stop)
+            if name == "motif":
+                near = genomic.windows(t.withColumn("pos", F.col("new")), chunks, F.greatest(F.col("new") - 50, F.col("u_start")), F.least(F.col("new") + 50, F.col("u_end")), size)
+                t = near.where(seq.has_hexamer(F.col("dna"))).drop("dna", "pos")
+            t = sampling.first_attempt(t.drop("u_start", "u_end"), ["i"]).withColumnRenamed("new", "pos").join(before.select(*SITE), SITE, "left_anti")
+            found = held(rows.keep_first(t if found is None else found.unionByName(t), SITE, ["i"]))
+            n_found = found.count()
+        first = found.orderBy("i").limit(target) if found is not None else pos.sparkSession.createDataFrame([], "chrom string, pos long, strand string, gene_name string")
+        return held(first.select(*SITE, "gene_name", F.lit(source).alias("source"), F.lit(number).alias("bucket")))
+
+    plain = bucket("random", 4, 20, "random_utr", 1, shifted)
+    motif = bucket("motif", 8, 40, "motif_matched", 2, shifted.unionByName(plain))
     every = held(rows.keep_first(shifted.unionByName(plain).unionByName(motif), SITE, ["bucket", "gene_name"]).drop("bucket"))
     out = genomic.pipeline_windows(every, chunks, half, size)
     return out.select(negative_id(F.col("chrom"), F.col("pos"), F.col("strand"), F.col("gene_name")).alias("id"), *SITE, "gene_name", "source", "sequence", F.lit(0).alias("label"))
