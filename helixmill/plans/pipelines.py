@@ -136,19 +136,20 @@ def test_samples(full: DataFrame, half: DataFrame, n: int = 100, seed: int = 42)
     return {"remainder": rest.drop("stable_key"), "positives": some.where("label = 1").drop("stable_key", "rank"), "negatives": some.where("label = 0").drop("stable_key", "rank"), "sample": some.drop("stable_key")}
 
 
-def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = None, mask: DataFrame | None = None, k: int = 1, distance: int = 200, up: int = 200, down: int = 100, motif_aware: bool = False, reach: int = 40, motifs: tuple = seq.UPSTREAM_MOTIFS, attempts: int = 32, rounds: int = 4, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
+def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = None, mask: DataFrame | None = None, k: int = 1, distance: int = 200, up: int = 200, down: int = 100, motif_aware: bool = False, reach: int = 40, motifs: tuple = seq.UPSTREAM_MOTIFS, attempts: int = 32, most: int = 5000, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
     """Positive points (chrom, pos, strand, name) and k negatives for each, anywhere on its chromosome or in the mask's regions
-    there, outside the buffers of `distance` around positives. Each round draws `attempts` places for what is still
-    missing; after `rounds` a negative that found none is left out. Without a genome sequences are empty and motifs
+    there, outside the buffers of `distance` around positives. The first round draws `attempts` places, each
+    further one twice as many, for what is still missing; after `most` a negative that found none is left out. Without a genome sequences are empty and motifs
     aren't asked for."""
     buffers = held(intervals.merged(points.select("chrom", (F.col("pos") - distance).alias("start"), (F.col("pos") + distance + 1).alias("end")), ["chrom"]))
     have = points.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(sizes, "chrom").select(*SITE, "n", "length").distinct()
+    todo = held(have)
     if mask is not None:
         m = mask.select("chrom", "start", "end", "region").withColumns({"r": F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end", "region")) - 1, "n_r": F.count("*").over(Window.partitionBy("chrom"))})
-    done = None
-    for turn in range(rounds):
-        todo = have if done is None else have.join(done.select(*SITE, "n"), [*SITE, "n"], "left_anti")
-        tries = todo.withColumn("attempt", F.explode(F.sequence(F.lit(turn * attempts), F.lit((turn + 1) * attempts - 1))))
+    done, stop = None, 0
+    while done is None or (stop < most and not todo.isEmpty()):
+        start, stop = stop, min(2 * stop + attempts, most)
+        tries = todo.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
         key = F.concat_ws(":", *(F.col(c).cast("string") for c in (*SITE, "n", "attempt")), F.lit(str(seed)))
         if mask is None:
             drawn = tries.withColumns({"new": sampling.place_number(key, "place", F.col("length")), "region": F.lit("")})
@@ -164,6 +165,7 @@ def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = No
             fine = seen.where(seq.upstream_motif(F.col("dna"), reach, F.col("strand"), reach, motifs)).select("chrom", F.col("own").alias("pos"), "strand", "n", "attempt", F.col("pos").alias("new"), "region")
         found = held(sampling.first_attempt(fine, [*SITE, "n"]))
         done = found if done is None else done.unionByName(found)
+        todo = held(todo.join(found.select(*SITE, "n"), [*SITE, "n"], "left_anti"))
     neg = done.select("chrom", F.col("new").alias("pos"), "strand", F.lit(0).alias("label"), F.lit("").alias("source_id"), F.col("region").alias("region_id"), F.lit("motif" if motif_aware and chunks is not None else "").alias("notes"))
     pos = points.select(*SITE, F.lit(1).alias("label"), F.col("name").alias("source_id"), F.lit("").alias("region_id"), F.lit("").alias("notes"))
     both = pos.unionByName(neg)

@@ -115,6 +115,14 @@ def test_generator(spark, tmp_path):
     assert masked and all(4000 <= r.pos < 4100 and r.region_id == "m" for r in masked)
 
 
+def test_generator_goes_on_for_misses(spark):
+    points = spark.createDataFrame([("chr1", p, "+", "a") for p in range(200, 40_000, 401)], "chrom string, pos long, strand string, name string")
+    sizes = spark.createDataFrame([("chr1", 40_300)], "chrom string, length long")  # the buffers leave a few places at its end
+    neg = [r.pos for r in pipelines.generated(points, sizes).collect() if r.label == 0]
+    free = [p for p in range(40_300) if all(abs(p - q) > 200 for q in range(200, 40_000, 401))]
+    assert 0 < len(free) < 400 and len(neg) == points.count() and set(neg) <= set(free)
+
+
 def test_generator_reaches_all_of_a_long_chromosome(spark):
     points = spark.createDataFrame([("chr1", 1000 * i, "+", "a") for i in range(1, 41)], "chrom string, pos long, strand string, name string")
     sizes = spark.createDataFrame([("chr1", 1 << 29)], "chrom string, length long")
