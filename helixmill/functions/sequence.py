@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The motifs that are searched for.
-DNA_HEXAMERS = ("AATAAA", "ATTAAA", "AGTAAA", "TATAAA", "CATAAA", "GATAAA", "AATATA", "AATACA", "AATAGA", "AAAAAG", "ACTAAA", "AATGAA")
+DNA_HEXAMERS = ("AATAAA", "ATTAAA", "AGTAAA", "TATAAA", "CATAAA", "GATAAA", "AATACA", "AATAGA", "AATATA", "AATGAA", "ACTAAA", "AAGAAA")
 RNA_CANONICAL = "AAUAAA"
-RNA_VARIANTS = ("AAUAAA", "AUUAAA", "AGUAAA", "UAUAAA", "CAUAAA", "GAUAAA", "AAUAUA", "AAUACA", "AAUAGA", "AAAAAG", "ACUAAA", "AAGAAA", "AAUGAA")
+RNA_VARIANTS = ("AAUAAA", "AUUAAA", "AGUAAA", "AAGAAA", "AACAAA", "AAUAUA", "AAUUAA", "AAUAAG", "UAUAAA", "GAUAAA", "CAUAAA", "ACUAAA", "AAUGAA")
 UPSTREAM_MOTIFS = ("AAUAAA", "AUUAAA", "AGUAAA")
 
 
@@ -32,6 +32,15 @@ def kmer_text(seq: Column, k: int = 6) -> Column:
     return F.array_join(kmers(seq, k), " ")
 
 
+def kmer_tokens(seq: Column, max_length: int, k: int = 6, first: str = "[CLS]", last: str = "[SEP]", pad: str = "[PAD]") -> Column:
+    """The fallback tokenization as a model takes it: a struct of tokens (k-mers between first and last, cut off and filled up
+    with pad to max_length) and attention_mask (1 for what isn't pad)."""
+    own = F.concat(F.array(F.lit(first)), F.slice(kmers(seq, k), 1, max_length - 2), F.array(F.lit(last)))
+    fill = lambda x, n: F.array_repeat(F.lit(x), (F.lit(max_length) - n).cast("int"))
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(own)), fill(0, F.size(own)))
+    return F.struct(F.concat(own, fill(pad, F.size(own))).alias("tokens"), mask.alias("attention_mask"))
+
+
 def sliding_windows(seq: Column, width: int = 300, stride: int = 100) -> Column:
     """Windows of the cleaned sequence: none of an empty one, itself where it fits, else each whole window."""
     s = clean(seq)
@@ -93,22 +102,17 @@ def positive_probability(first: Column, second: Column) -> Column:
 
 
 def stable_key(columns: list[str], ids: tuple = ("uid", "site_id", "id")) -> Column:
-    """A key for rows whose columns vary: the first filled id column, else chrom, pos and strand, else chrom, start, end and
-    strand, else a hash of sequence, label and strand."""
-    strand = normal_strand(F.col("strand")) if "strand" in columns else F.lit("")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in columns else F.lit("")
-    filled = lambda c: F.trim(F.col(c).cast("string")) != ""
-    options = [F.when(filled(c), F.concat(F.lit("ID::"), F.trim(F.col(c).cast("string")))) for c in ids if c in columns]
-    strand = F.coalesce(strand, F.lit(""))
-    for mark, parts in (("CSP::", ("chrom", "pos")), ("CSE::", ("chrom", "start", "end"))):
-        if set(parts) <= set(columns):
-            whole = F.lit(True)
-            for p in parts:
-                whole = whole & F.col(p).isNotNull()
-            pieces = [F.col("chrom").cast("string"), strand, *(F.col(p).cast("string") for p in parts[1:])]
-            options.append(F.when(whole, F.concat(F.lit(mark), F.concat_ws("::", *pieces))))
-    last = F.concat(F.lit("HASH::"), F.sha1(F.concat_ws("::", F.upper(text("sequence")), text("label"), strand)))
-    return F.coalesce(*options, last)
+    """A key for rows whose columns vary: the first id column that is neither null nor empty, as it is; else chrom, strand and
+    pos; else chrom, strand and start, end (or Start, End); else a hash of sequence, label and strand. Coordinates that
+    are no whole numbers don't count. In keys a null strand or label is nan; without such a column strand is None, label NA."""
+    text = lambda c, absent: F.coalesce(F.col(c).cast("string"), F.lit("nan")) if c in columns else F.lit(absent)
+    strand = F.coalesce(normal_strand(F.col("strand")), F.lit("nan")) if "strand" in columns else F.lit("None")
+    options = [F.when(F.col(c).cast("string") != "", F.concat(F.lit("ID::"), F.col(c).cast("string"))) for c in ids if c in columns]
+    for mark, parts in (("CSP::", ["pos"]), ("CSE::", ["start", "end"]), ("CSE::", ["Start", "End"])):
+        if {"chrom", *parts} <= set(columns):  # a null part makes the whole null
+            options.append(F.concat(F.lit(mark), F.col("chrom").cast("string"), F.lit("::"), strand, *(x for p in parts for x in (F.lit("::"), F.expr(f"cast(try_cast(`{p}` as bigint) as string)")))))
+    sequence = F.upper(text("sequence", ""))
+    return F.coalesce(*options, F.concat(F.lit("HASH::"), F.sha1(F.concat_ws("::", sequence, text("label", "NA"), strand))))
 
 
 # The spellings of strands and chromosomes.
@@ -132,11 +136,12 @@ def with_chr(chrom: Column) -> Column:
 
 
 def chrom_style(chrom: Column, prefixed: Column | bool = True) -> Column:
-    """With or without chr, the mitochondrion as chrM or M (MT, unprefixed, counts as it)."""
-    c = F.when(chrom.isin(*MITOCHONDRIA), "chrM").when(chrom == "MT", "M").otherwise(chrom)
-    bare = F.when(c.startswith("chr"), F.substring(c, 4, 1 << 20)).otherwise(c)
-    want = F.lit(prefixed) if isinstance(prefixed, bool) else prefixed
-    return F.when(want, F.concat(F.lit("chr"), bare)).otherwise(bare)
+    """With or without chr. The mitochondrion becomes chrM once it has its prefix (of any of its spellings), or M (of MT,
+    whatever its case)."""
+    own = chrom.startswith("chr")
+    full, bare = F.when(own, chrom).otherwise(F.concat(F.lit("chr"), chrom)), F.when(own, F.substring(chrom, 4, 1 << 20)).otherwise(chrom)
+    full, bare = F.when(full.isin(*MITOCHONDRIA), "chrM").otherwise(full), F.when(F.upper(bare) == "MT", "M").otherwise(bare)
+    return F.when(F.lit(prefixed) if isinstance(prefixed, bool) else prefixed, full).otherwise(bare)
 
 
 def is_alternative(chrom: Column) -> Column:
@@ -162,7 +167,7 @@ def label_number(label: Column) -> Column:
 
 def attribute(text: Column, key: str) -> Column:
     """Of GTF (key "value") or GFF (key=value) attributes; empty where there is none."""
-    quoted = F.regexp_extract(text, rf'(?:^|[;\s]){key} "([^"]*)"', 1)
+    quoted = F.regexp_extract(text, rf'(?:^|[;\s]){key}\s+"([^"]*)"', 1)
     plain = F.regexp_extract(text, rf"(?:^|[;\s]){key}=([^;]*)", 1)
     return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(plain, F.lit("")), F.lit(""))
 

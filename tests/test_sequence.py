@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,34 @@ def test_hexamer_on_either_strand(spark):
     assert one(spark, "CCCCCCCC", seq.has_hexamer) is False
 
 
+@pytest.mark.parametrize("motif", ["AATAAA", "ATTAAA", "AGTAAA", "TATAAA", "CATAAA", "GATAAA", "AATACA", "AATAGA", "AATATA", "AATGAA", "ACTAAA", "AAGAAA"])
+def test_each_hexamer(spark, motif):
+    assert one(spark, "CC" + motif + "CC", seq.has_hexamer) is True
+    assert one(spark, "CC" + motif[::-1].translate(str.maketrans("ACGT", "TGCA")) + "CC", seq.has_hexamer) is True
+
+
+@pytest.mark.parametrize("motif", ["AAAAAG", "AACAAA", "GGTAAA"])
+def test_other_hexamers(spark, motif):
+    assert one(spark, "CC" + motif + "CC", seq.has_hexamer) is False
+
+
+@pytest.mark.parametrize("motif", ["AAUAAA", "AUUAAA", "AGUAAA", "AAGAAA", "AACAAA", "AAUAUA", "AAUUAA", "AAUAAG", "UAUAAA", "GAUAAA", "CAUAAA", "ACUAAA", "AAUGAA"])
+def test_each_variant(spark, motif):
+    m = one(spark, "C" * 20 + motif + "C" * 74, seq.scan_motifs)
+    assert (m.canonical, m.n, m.any) == (int(motif == "AAUAAA"), 1, 1)
+
+
+@pytest.mark.parametrize("motif", ["AAUACA", "AAUAGA", "AAAAAG"])
+def test_other_variants(spark, motif):
+    assert one(spark, "C" * 20 + motif + "C" * 74, seq.scan_motifs).any == 0
+
+
+def test_kmer_tokens(spark):
+    t = one(spark, "ACGTACG", lambda s: seq.kmer_tokens(s, 6))
+    assert t.tokens == ["[CLS]", "ACGTAC", "CGTACG", "[SEP]", "[PAD]", "[PAD]"] and t.attention_mask == [1, 1, 1, 1, 0, 0]
+    assert one(spark, "ACGTACGTAC", lambda s: seq.kmer_tokens(s, 4)).tokens == ["[CLS]", "ACGTAC", "CGTACG", "[SEP]"]
+
+
 def test_composition(spark):
     c = one(spark, "AUGCN", seq.composition)
     assert (c.A_count, c.U_count, c.G_count, c.C_count, c.N_count) == (1, 1, 1, 1, 1)
@@ -67,12 +97,19 @@ def test_sources(spark):
 def test_stable_key(spark):
     df = spark.createDataFrame([("7", "chr1", 5, "plus", "A", "1"), (None, "chr1", 5, "plus", "A", "1"), (None, None, 5, "plus", "A", "1")], "id string, chrom string, pos long, strand string, sequence string, label string")
     keys = [r.k for r in df.select(seq.stable_key(df.columns).alias("k")).collect()]
-    assert keys[0] == "ID::7" and keys[1] == "CSP::chr1::+::5" and keys[2].startswith("HASH::")
+    digest = lambda x: "HASH::" + hashlib.sha1(x.encode()).hexdigest()
+    assert keys[0] == "ID::7" and keys[1] == "CSP::chr1::+::5" and keys[2] == digest("A::1::+")
+    df = spark.createDataFrame([("chr1", 5, 9, "a"), ("chr1", None, 9, "a")], "chrom string, Start long, End long, sequence string")
+    assert [r.k for r in df.select(seq.stable_key(df.columns).alias("k")).collect()] == ["CSE::chr1::None::5::9", digest("A::NA::None")]
+    df = spark.createDataFrame([(" x ",), ("",)], "id string")
+    assert [r.k for r in df.select(seq.stable_key(df.columns).alias("k")).collect()] == ["ID:: x ", digest("::NA::None")]
 
 
 def test_chromosome_styles(spark):
     assert one(spark, "MT", seq.chrom_style) == "chrM"
     assert one(spark, "chrMT", lambda c: seq.chrom_style(c, False)) == "M"
+    assert [one(spark, c, seq.chrom_style) for c in ("mt", "Mt", "m", "chrm", "M", "chr1", "2")] == ["chrM"] * 5 + ["chr1", "chr2"]
+    assert [one(spark, c, lambda x: seq.chrom_style(x, False)) for c in ("mt", "Mt", "chrmt", "m", "chr1")] == ["M", "M", "M", "m", "1"]
     assert one(spark, "chrUn_KI270742v1", seq.is_alternative) is True
 
 
@@ -84,6 +121,4 @@ def test_cleavage_positions(spark):
 
 
 def test_blake2b(spark):
-    import hashlib
-
     assert one(spark, "chr1|5|+|ACGT", blake2b64) == hashlib.blake2b(b"chr1|5|+|ACGT", digest_size=8).hexdigest()
