@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from helixmill.functions.sequence import sources_of
+
 TILE = 1 << 16
 
 
@@ -16,45 +18,58 @@ def _tile(pos: Column, width: int) -> Column:
     return F.floor(pos / width)
 
 
-def _earlier(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+def _whole(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with __k, its keys as one struct: such structs are equal where both have a null, so rows with a null key stay through
+    joins, and joins and windows share one partitioning."""
+    return df.withColumn("__k", F.struct(*keys))
+
+
+def _earlier():
+    return Window.partitionBy("__k").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def islands(df: DataFrame, keys: list[str], pos: str = "pos", tol: int = 12, tile: int = TILE) -> DataFrame:
     """df with cluster_start: the first position of the row's cluster. A new cluster starts where the gap to the position
-    before is over tol (single linkage). Null positions are left out."""
-    t = df.where(F.col(pos).isNotNull()).withColumn("tile", _tile(F.col(pos), tile))
-    edges = t.groupBy(*keys, "tile").agg(F.max(pos).alias("__hi")).withColumn("__before", F.lag("__hi").over(Window.partitionBy(*keys).orderBy("tile"))).drop("__hi")
-    t = t.join(edges, [*keys, "tile"])
-    inside = Window.partitionBy(*keys, "tile").orderBy(pos)
+    before is over tol (single linkage). Null positions are left out; rows with a null key cluster among themselves."""
+    t = _whole(df.where(F.col(pos).isNotNull()), keys).withColumn("tile", _tile(F.col(pos), tile))
+    edges = t.groupBy("__k", "tile").agg(F.max(pos).alias("__hi")).withColumn("__before", F.lag("__hi").over(Window.partitionBy("__k").orderBy("tile"))).drop("__hi")
+    t = t.join(edges, ["__k", "tile"])
+    inside = Window.partitionBy("__k", "tile").orderBy(pos)
     t = t.withColumn("__prev", F.coalesce(F.lag(pos).over(inside), "__before"))
     t = t.withColumn("__new", F.when(F.col("__prev").isNull() | (F.col(pos) - F.col("__prev") > tol), F.col(pos)))
-    starts = t.groupBy(*keys, "tile").agg(F.max("__new").alias("__last"))
-    starts = starts.withColumn("__open", F.last("__last", ignorenulls=True).over(_earlier(keys))).drop("__last")
+    starts = t.groupBy("__k", "tile").agg(F.max("__new").alias("__last"))
+    starts = starts.withColumn("__open", F.last("__last", ignorenulls=True).over(_earlier())).drop("__last")
     here = F.max("__new").over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    return t.join(starts, [*keys, "tile"]).withColumn("cluster_start", F.coalesce(here, "__open")).drop("tile", "__before", "__prev", "__new", "__open")
+    return t.join(starts, ["__k", "tile"]).withColumn("cluster_start", F.coalesce(here, "__open")).drop("__k", "tile", "__before", "__prev", "__new", "__open")
 
 
-def representatives(df: DataFrame, keys: list[str], order: list[str], pos: str = "pos") -> DataFrame:
-    """Of each cluster the row nearest to its median position, ties by position, then by `order`; with n_sites."""
-    group = [*keys, "cluster_start"]
-    middle = df.groupBy(*group).agg(F.median(pos).alias("__median"), F.count("*").alias("n_sites"))
-    rest = [c for c in df.columns if c not in group]
-    best = df.join(middle, group).groupBy(*group, "n_sites").agg(F.min(F.struct(F.abs(F.col(pos) - F.col("__median")).alias("__d"), F.col(pos).alias("__p"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), *rest)).alias("__best"))
-    return best.select(*group, "n_sites", *(F.col(f"__best.{c}").alias(c) for c in rest))
+def representatives(df: DataFrame, keys: list[str], order: list[str], pos: str = "pos", sources: str | None = None) -> DataFrame:
+    """Of each cluster the row nearest to its median position, ties by position, then by `order`; with n_sites, and, where
+    `sources` names a column, in it the sources of all its rows."""
+    t = _whole(df, [*keys, "cluster_start"])
+    names = [sources_of(F.col(sources)).alias("__sources")] if sources else []
+    middle = t.groupBy("__k").agg(F.median(pos).alias("__median"), F.count("*").alias("n_sites"), *names)
+    more = ["n_sites", *(["__sources"] if sources else [])]
+    best = t.join(middle, "__k").groupBy("__k").agg(F.min(F.struct(F.abs(F.col(pos) - F.col("__median")).alias("__d"), F.col(pos).alias("__p"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), *df.columns, *more)).alias("__best"))
+    of = lambda c: F.col("__best.__sources" if c == sources else f"__best.{c}").alias(c)
+    return best.select(*(of(c) for c in [*keys, "cluster_start", "n_sites"]), *(of(c) for c in df.columns if c not in (*keys, "cluster_start")))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], pos: str, start: str, take: list[str], order: list[str], tile: int = TILE) -> DataFrame:
     """left with a struct `asof` of `take` from the last row of right, by (start, *order), whose start is at or before pos;
-    null where there is none. One shuffle of both sides, by keys and tile."""
+    null where there is none. A null key or position matches nothing, but its row stays; rows of right with one are left
+    out. One shuffle of both sides, by keys and tile."""
     value = F.struct(F.col(start).alias("__s"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), *(c for c in take if c != start))
-    r = right.select(*keys, F.col(start).alias("__at"), value.alias("__v"))
+    r = right.na.drop(subset=[*keys, start]).select(*keys, F.col(start).alias("__at"), value.alias("__v"))
     columns = F.struct(*left.columns).alias("__l")
-    both = left.select(*keys, F.col(pos).alias("__at"), columns).unionByName(r, allowMissingColumns=True).withColumn("tile", _tile(F.col("__at"), tile))
-    carried = both.groupBy(*keys, "tile").agg(F.max("__v").alias("__last")).withColumn("__open", F.max("__last").over(_earlier(keys))).drop("__last")
-    here = F.max("__v").over(Window.partitionBy(*keys, "tile").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__here", here).where("__l is not null").join(carried, [*keys, "tile"])
-    found = F.coalesce("__here", "__open")
+    both = left.select(*keys, F.col(pos).alias("__at"), columns).unionByName(r, allowMissingColumns=True)
+    both = _whole(both, keys).drop(*keys).withColumn("tile", _tile(F.col("__at"), tile))
+    carried = both.groupBy("__k", "tile").agg(F.max("__v").alias("__last")).withColumn("__open", F.max("__last").over(_earlier())).drop("__last")
+    carried = carried.where("tile is not null").withColumnRenamed("tile", "__tile")
+    here = F.max("__v").over(Window.partitionBy("__k", "tile").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("__here", here).where("__l is not null").withColumnRenamed("__k", "__own")
+    out = out.join(carried, (F.col("__own") == F.col("__k")) & (F.col("tile") == F.col("__tile")), "left")
+    found = F.when(F.col("__at").isNotNull(), F.coalesce("__here", "__open"))
     fields = [found["__s"].alias(start), *(found[c].alias(c) for c in take if c != start)]
     return out.select("__l.*", F.when(found.isNotNull(), F.struct(*fields)).alias("asof"))
 
@@ -77,9 +92,10 @@ def band_pairs(a: DataFrame, b: DataFrame, keys: list[str], tol: int, pos: str =
 def clear_of(points: DataFrame, sites: DataFrame, keys: list[str], radius: int, pos: str = "pos") -> DataFrame:
     """Anti-join: the points with no site within radius."""
     width = radius + 1
-    s = sites.select(*keys, F.col(pos).alias("__site")).distinct().withColumn("__bin", F.explode(F.array(*(_tile(F.col("__site"), width) + d for d in (-1, 0, 1)))))
+    own = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    s = sites.select(*own, F.col(pos).alias("__site")).distinct().withColumn("__near", F.explode(F.array(*(_tile(F.col("__site"), width) + d for d in (-1, 0, 1)))))
     p = points.withColumn("__bin", _tile(F.col(pos), width))
-    on = [p[k] == s[k] for k in (*keys, "__bin")] + [F.abs(p[pos] - s["__site"]) <= radius]
+    on = [F.col(k) == F.col(f"__key{i}") for i, k in enumerate(keys)] + [F.col("__bin") == F.col("__near"), F.abs(F.col(pos) - F.col("__site")) <= radius]
     return p.join(s, on, "left_anti").drop("__bin")
 
 
@@ -94,22 +110,25 @@ def neighbours(df: DataFrame, keys: list[str], tol: int, pos: str = "pos", tile:
 
 
 def merged(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", tile: int = TILE) -> DataFrame:
-    """keys, start, end: half-open spans merged where the next starts at or before the highest end so far."""
-    t = spans.withColumn("tile", _tile(F.col(start), tile))
-    reach = t.groupBy(*keys, "tile").agg(F.max(end).alias("__hi")).withColumn("__before", F.max("__hi").over(_earlier(keys))).drop("__hi")
-    inside = Window.partitionBy(*keys, "tile").orderBy(start, end)
-    t = t.join(reach, [*keys, "tile"]).withColumn("__high", F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), "__before"))
+    """keys, start, end: half-open spans merged where the next starts at or before the highest end so far. Spans with a null
+    key merge among themselves; those with a null start or end are left out."""
+    t = _whole(spans.na.drop(subset=[start, end]), keys).withColumn("tile", _tile(F.col(start), tile))
+    reach = t.groupBy("__k", "tile").agg(F.max(end).alias("__hi")).withColumn("__before", F.max("__hi").over(_earlier())).drop("__hi")
+    inside = Window.partitionBy("__k", "tile").orderBy(start, end)
+    t = t.join(reach, ["__k", "tile"]).withColumn("__high", F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), "__before"))
     t = t.withColumn("__new", F.when(F.col("__high").isNull() | (F.col(start) > F.col("__high")), F.col(start)))
-    opened = t.groupBy(*keys, "tile").agg(F.max("__new").alias("__last")).withColumn("__open", F.max("__last").over(_earlier(keys))).drop("__last")
-    t = t.join(opened, [*keys, "tile"]).withColumn("__from", F.coalesce(F.max("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__open"))
-    return t.groupBy(*keys, "__from").agg(F.max(end).alias(end)).withColumnRenamed("__from", start).select(*keys, start, end)
+    opened = t.groupBy("__k", "tile").agg(F.max("__new").alias("__last")).withColumn("__open", F.max("__last").over(_earlier())).drop("__last")
+    t = t.join(opened, ["__k", "tile"]).withColumn("__from", F.coalesce(F.max("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__open"))
+    return t.groupBy("__k", "__from").agg(F.max(end).alias(end)).select(*(F.col("__k")[k].alias(k) for k in keys), F.col("__from").alias(start), end)
 
 
 def outside(points: DataFrame, spans: DataFrame, keys: list[str], pos: str = "pos", tile: int = 1 << 12) -> DataFrame:
     """Anti-join: the points in none of the half-open spans."""
-    s = spans.where(F.col("end") > F.col("start")).withColumn("__tile", F.explode(F.sequence(_tile(F.col("start"), tile), _tile(F.col("end") - 1, tile))))
+    own = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    s = spans.where(F.col("end") > F.col("start")).select(*own, F.col("start").alias("__start"), F.col("end").alias("__end"))
+    s = s.withColumn("__span", F.explode(F.sequence(_tile(F.col("__start"), tile), _tile(F.col("__end") - 1, tile))))
     p = points.withColumn("__tile", _tile(F.col(pos), tile))
-    on = [p[k] == s[k] for k in (*keys, "__tile")] + [s["start"] <= p[pos], p[pos] < s["end"]]
+    on = [F.col(k) == F.col(f"__key{i}") for i, k in enumerate(keys)] + [F.col("__tile") == F.col("__span"), F.col("__start") <= F.col(pos), F.col(pos) < F.col("__end")]
     return p.join(s, on, "left_anti").drop("__tile")
 
 

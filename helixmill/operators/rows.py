@@ -21,6 +21,12 @@ def shaped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*((F.expr(f"try_cast(`{c}` as {t})") if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()))
 
 
+def numeric(df: DataFrame, columns: list[str], fill: int | None = None) -> DataFrame:
+    """df with the columns as whole numbers; what doesn't cast is null, or `fill`."""
+    number = lambda c: F.expr(f"try_cast(`{c}` as bigint)")
+    return df.withColumns({c: number(c) if fill is None else F.coalesce(number(c), F.lit(fill)) for c in columns})
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by `order` (then by the remaining columns). As a minimum of structs it is summed up
     before the shuffle, which a row number is not."""

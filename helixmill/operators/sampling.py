@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from helixmill.plans.stages import held
+
 DIGITS = 2
 
 
@@ -35,14 +37,15 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 def balanced(df: DataFrame, key: str, fraction: float, seed: int, label: str = "label") -> DataFrame:
     """As many rows of label 1 as of 0: `fraction` of all rows, rounded half to even, made even and at least 2; fewer if
-    a class has fewer. An error if a class is empty."""
-    n = {r[label]: r["count"] for r in df.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    a class has fewer. An error if a class is empty. df is held, as it is read for the counts and for the ranks."""
+    df = held(df.where(F.col(label).isin(0, 1)))
+    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     total = sum(n.values())
     want = max(2, round(total * fraction) // 2 * 2)
     each = min(n.get(0, 0), n.get(1, 0), want // 2)
     if each <= 0:
         raise ValueError(f"nothing to balance: {n}")
-    return hash_rank(df.where(F.col(label).isin(0, 1)), key, seed, [label]).where(F.col("rank") <= each).drop("rank")
+    return hash_rank(df, key, seed, [label]).where(F.col("rank") <= each).drop("rank")
 
 
 def per_class(df: DataFrame, key: str, n: int, seed: int, label: str = "label") -> DataFrame:
@@ -80,6 +83,16 @@ def first_attempt(candidates: DataFrame, keys: list[str], attempt: str = "attemp
     return candidates.groupBy(*keys).agg(F.min(F.struct(attempt, *rest)).alias("v")).select(*keys, F.col(f"v.{attempt}").alias(attempt), *(F.col(f"v.{c}").alias(c) for c in rest))
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with consecutive numbers (from 0) in the order of columns: sorted by ranges, not in one task. Held in between, so
+    that the ranges counted are the ranges numbered."""
+    t = held(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, own = F.shiftrightunsigned("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = t.groupBy(part).agg(F.count("*").alias("__n"))  # one row a range
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    return t.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__base") + own).drop("__id", "__part", "__base")
+
+
 def bucket_targets(n: int) -> dict[str, int]:
     """Negatives for n positives: twice as many, half of them shifted windows, 35 % random, the rest with motifs."""
     total = int(2 * n)

@@ -31,6 +31,23 @@ def test_islands_equal_brute_force(spark, tile):
     assert got == expected
 
 
+def test_null_keys(spark):
+    t = spark.createDataFrame([("chr1", 10, "+"), (None, 10, "+"), (None, 15, "+"), ("chr1", None, "+"), ("chr1", 12, None)], "chrom string, pos long, strand string")
+    got = intervals.representatives(intervals.islands(t, ["chrom", "strand"]), ["chrom", "strand"], []).collect()
+    assert sorted((str(r.chrom), str(r.strand), r.pos, r.n_sites) for r in got) == [("None", "+", 10, 2), ("chr1", "+", 10, 1), ("chr1", "None", 12, 1)]
+    genes = spark.createDataFrame([("chr1", 5, "A"), (None, 5, "B"), ("chr1", None, "C")], "chrom string, g_start long, gene string")
+    joined = intervals.asof(t, genes, ["chrom"], "pos", "g_start", ["gene"], ["gene"]).collect()
+    assert sorted((str(r.chrom), str(r.pos), r["asof"] and r["asof"].gene) for r in joined) == sorted([("chr1", "10", "A"), ("None", "10", None), ("None", "15", None), ("chr1", "None", None), ("chr1", "12", "A")], key=lambda x: x[:2])
+    spans = spark.createDataFrame([(None, 1, 5), (None, 4, 9), ("c", 1, 2), ("c", None, 4)], "chrom string, start long, end long")
+    assert sorted((str(r.chrom), r.start, r.end) for r in intervals.merged(spans, ["chrom"]).collect()) == [("None", 1, 9), ("c", 1, 2)]
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(x,) for x in random.Random(1).sample(range(1000), 500)], "a long")
+    got = {r.a: r.n for r in sampling.numbered(df, ["a"], "n").collect()}
+    assert got == {a: i for i, a in enumerate(sorted(got))} and len(got) == 500
+
+
 def test_neighbours(spark):
     near = lambda p, **k: [r.n_near for r in intervals.neighbours(sites(spark, p), ["chrom", "strand"], 12, **k).orderBy("pos").collect()]
     assert near([10, 15, 40]) == [1, 1, 0] and near([10, 10]) == [0, 0]
