@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from helixmill.functions import sequence as seq
 from helixmill.functions.ids import positive_id
 from helixmill.operators import intervals, metrics, rows, sampling
+from helixmill.plans import pipelines
 from helixmill.plans.adapters import load, with_
+from helixmill.plans.stages import held
 from helixmill.sources import genomic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,10 +75,8 @@ names as (select chrom, strand, cl, string_agg(distinct source, ',' order by sou
 select chrom, strand, cluster_start, n_sites, pos, sequence, sources as source from best join names using (chrom, strand, cl)""")
 def cluster_nearby(spark, d):
     keys = ["chrom", "strand"]
-    t = intervals.islands(_distinct(spark, d), keys)
-    names = t.groupBy(*keys, "cluster_start").agg(seq.sources_of(F.col("source")).alias("source"))
-    best = intervals.representatives(t, keys, ORDER).drop("source")
-    return best.join(names, [*keys, "cluster_start"]).select(*keys, "cluster_start", "n_sites", "pos", "sequence", "source")
+    t = held(intervals.islands(held(_distinct(spark, d)), keys))
+    return intervals.representatives(t, keys, ORDER, sources="source").select(*keys, "cluster_start", "n_sites", "pos", "sequence", "source")
 
 
 @query(f"{with_('sites')}, base as (select chrom, pos, strand, case when source = 'R' then 1 else 0 end as label, source, min(sequence) as sequence from sites group by all), {_islands_sql('chrom, strand, label')} select chrom, strand, label, cluster_start, n_sites, pos, sequence from best")
@@ -102,7 +102,7 @@ inside as (select s.chrom, s.pos, s.strand, arg_min(g.gene_id, g.ord) as gene_id
 
 
 def _asof(spark, d):
-    near = intervals.asof(_distinct(spark, d), load(spark, d, "genes"), ["chrom"], "pos", "g_start", ["g_end", "gene_id"], ["g_end", "gene_id"])
+    near = intervals.asof(held(_distinct(spark, d).select(*KEYS)), load(spark, d, "genes"), ["chrom"], "pos", "g_start", ["g_end", "gene_id"], ["g_end", "gene_id"])
     return near.withColumn("near", F.when(F.col("pos") <= F.col("asof.g_end"), F.col("asof.gene_id")))
 
 
@@ -124,7 +124,7 @@ def gene_fallback(spark, d):
 
 @query(f"{_ASOF} select n.chrom, n.pos, n.strand, coalesce(case when n.pos <= n.g_end then n.gene_id end, i.gene_id, '') as gene_id from near n left join inside i using (chrom, pos, strand)")
 def annotate_full(spark, d):
-    near = _asof(spark, d).select(*KEYS, "near")
+    near = held(_asof(spark, d).select(*KEYS, "near"))
     missed = _first_containing(near.where("near is null"), load(spark, d, "genes"))
     return near.join(missed, KEYS, "left").select(*KEYS, F.coalesce("near", "inside", F.lit("")).alias("gene_id"))
 
@@ -336,13 +336,15 @@ fine as (select * from placed m where not exists (select 1 from positives p wher
 select cast(i as bigint) as i, cast(min(attempt) as int) as attempt, arg_min(chrom, attempt) as chrom, cast(arg_min(pos, attempt) as bigint) as pos, arg_min(strand, attempt) as strand, arg_min(utr_id, attempt) as utr_id from fine group by i"""
 
 
-_MOTIF_SQL = " and regexp_matches(translate(concat(md5(concat(cast(utr_id as varchar), ':', cast(m.pos as varchar))), md5(concat(cast(m.pos as varchar), 'x'))), '0123456789abcdef', 'AAAATAATATAAATTA'), 'AATAAA|ATTAAA')"
+#: Made-up surroundings of a place: 64 bases, half of them A.
+_AROUND = "translate(concat(md5(concat(cast(utr_id as {0}), ':', cast({1}pos as {0}))), md5(concat(cast({1}pos as {0}), 'x'))), '0123456789abcdef', 'AACGTAATAGTAACTA')"
+_MOTIF_SQL = f" and (regexp_matches({_AROUND.format('varchar', 'm.')}, 'AATAAA|ATTAAA|AGTAAA|TATAAA|CATAAA|GATAAA|AATACA|AATAGA|AATATA|AATGAA|ACTAAA|AAGAAA') or regexp_matches(reverse(translate({_AROUND.format('varchar', 'm.')}, 'ACGT', 'TGCA')), 'AATAAA|ATTAAA|AGTAAA|TATAAA|CATAAA|GATAAA|AATACA|AATAGA|AATATA|AATGAA|ACTAAA|AAGAAA'))"
 
 
 def _uniform(spark, d, tries: int, target: int = 2000):
     """target draws of a UTR (weighted by record) and a place in it, a few tries each."""
     utrs = load(spark, d, "utrs").where(F.col("u_end") - F.col("u_start") > 203 + 2 * 60)
-    numbered = utrs.withColumn("u_no", F.row_number().over(Window.orderBy("utr_id")) - 1)  # a reference table: UTRs, not rows
+    numbered = sampling.numbered(utrs, ["utr_id"], "u_no")
     n = utrs.agg(F.count("*").alias("n_u"))
     draws = spark.range(target).withColumnRenamed("id", "i").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     key = F.concat_ws(":", F.col("i").cast("string"), F.col("attempt").cast("string"))
@@ -358,22 +360,28 @@ def uniform_utr_neg(spark, d):
 
 @query(_uniform_sql(8, _MOTIF_SQL))
 def motif_neg(spark, d):
-    """As uniform_utr_neg, of places whose (made-up) surroundings hold a hexamer."""
-    around = F.translate(F.concat(F.md5(F.concat(F.col("utr_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))), F.md5(F.concat(F.col("pos").cast("string"), F.lit("x")))), "0123456789abcdef", "AAAATAATATAAATTA")
-    return sampling.first_attempt(_uniform(spark, d, 8).where(around.rlike("AATAAA|ATTAAA")), ["i"])
+    """As uniform_utr_neg, of places whose (made-up) surroundings hold a hexamer on either strand."""
+    return sampling.first_attempt(_uniform(spark, d, 8).where(seq.has_hexamer(F.expr(_AROUND.format("string", "")))), ["i"])
 
 
 @query(f"""{_BUFFERS}, pos as (select distinct chrom, pos, strand from sites where source = 'R'),
 tries as (select chrom, pos, strand, attempt, concat(chrom, ':', cast(pos as varchar), ':', strand, ':', cast(attempt as varchar)) as k from pos, (select unnest(range(0, 32)) as attempt)),
 drawn as (select *, {_HEX.format('k', 'whole')} % 100000 as new_pos from tries),
-fine as (select * from drawn c where not exists (select 1 from merged m where m.chrom = c.chrom and m."start" <= c.new_pos and c.new_pos < m."end"))
-select chrom, pos, strand, cast(min(attempt) as int) as attempt, cast(arg_min(new_pos, attempt) as bigint) as new_pos from fine group by chrom, pos, strand""")
+fine as (select * from drawn c where not exists (select 1 from merged m where m.chrom = c.chrom and m."start" <= c.new_pos and c.new_pos < m."end")),
+missed as (select * from pos p where not exists (select 1 from fine f where f.chrom = p.chrom and f.pos = p.pos and f.strand = p.strand)),
+late as (select chrom, pos, strand, attempt, concat(chrom, ':', cast(pos as varchar), ':', strand, ':', cast(attempt as varchar)) as k from missed, (select unnest(range(32, 5000)) as attempt)),
+placed as (select *, {_HEX.format('k', 'whole')} % 100000 as new_pos from late),
+every as (select * from fine union all select * from placed c where not exists (select 1 from merged m where m.chrom = c.chrom and m."start" <= c.new_pos and c.new_pos < m."end"))
+select chrom, pos, strand, cast(min(attempt) as int) as attempt, cast(arg_min(new_pos, attempt) as bigint) as new_pos from every group by chrom, pos, strand""")
 def whole_chrom_neg(spark, d):
-    """A place anywhere on the positive's chromosome outside the merged buffers; the first of 32 draws that is."""
-    tries = _positives(spark, d).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    key = F.concat_ws(":", "chrom", F.col("pos").cast("string"), "strand", F.col("attempt").cast("string"))
-    drawn = tries.withColumn("new_pos", sampling.whole_number(key, "whole", 100000))
-    return sampling.first_attempt(intervals.outside(drawn, _buffers(spark, d), ["chrom"], "new_pos"), KEYS)
+    """A place anywhere on the positive's chromosome outside the merged buffers; the first of 5,000 draws that is, in rounds."""
+    buffers = held(_buffers(spark, d))
+
+    def draw(tries):
+        key = F.concat_ws(":", "chrom", F.col("pos").cast("string"), "strand", F.col("attempt").cast("string"))
+        return intervals.outside(tries.withColumn("new_pos", sampling.whole_number(key, "whole", 100000)), buffers, ["chrom"], "new_pos")
+
+    return pipelines.drawn_in_rounds(_positives(spark, d), KEYS, draw)
 
 
 @query(f"""{_D} select chrom, pos, strand, case when source = 'R' then 1 else 0 end as label, case when source = 'N' then 'unknown' else source end as source, upper(sequence) as sequence from distinct_sites""")
@@ -433,10 +441,8 @@ def revcomp(spark, d):
     return _parts(spark, d).select("p_partkey", seq.reverse_complement(F.col("s")).alias("rc"))
 
 
-_HEXAMERS = "|".join(seq.DNA_HEXAMERS)
-
-
-@query(f"with t as ({_PARTS}) select p_partkey, (regexp_matches(s, '{_HEXAMERS}') or regexp_matches(reverse(translate(s, 'ACGT', 'TGCA')), '{_HEXAMERS}')) as has_hexamer from t")
+# Of these queries the SQL spells out its motifs: it shares no constant with the functions that it checks.
+@query(f"with t as ({_PARTS}) select p_partkey, regexp_matches(concat(s, '-', reverse(translate(s, 'ACGT', 'TGCA'))), 'AATAAA|ATTAAA|AGTAAA|TATAAA|CATAAA|GATAAA|AATACA|AATAGA|AATATA|AATGAA|ACTAAA|AAGAAA') as has_hexamer from t")
 def hexamer_flag(spark, d):
     return _parts(spark, d).select("p_partkey", seq.has_hexamer(F.col("s")).alias("has_hexamer"))
 
@@ -447,10 +453,7 @@ def upstream_motif(spark, d):
     return _parts(spark, d).select("p_partkey", seq.upstream_motif(F.col("s"), 40, strand).alias("motif"))
 
 
-_VARIANTS = ", ".join(f"'{m}'" for m in seq.RNA_VARIANTS)
-
-
-@query(f"with t as (select p_partkey, substr(translate(s, 'T', 'U'), 11, 30) as w from ({_PARTS})), n as (select *, cast(len(list_filter(range(1, length(w) - 4), lambda i: substr(w, i, 6) in ({_VARIANTS}))) as int) as n from t) select p_partkey, case when contains(w, 'AAUAAA') then 1 else 0 end as canonical, n as n_motifs, case when n > 0 then 1 else 0 end as any_motif from n")
+@query(f"with t as (select p_partkey, substr(translate(s, 'T', 'U'), 11, 30) as w from ({_PARTS})), n as (select *, cast(len(list_filter(range(1, length(w) - 4), lambda i: substr(w, i, 6) in ('AAUAAA', 'AUUAAA', 'AGUAAA', 'AAGAAA', 'AACAAA', 'AAUAUA', 'AAUUAA', 'AAUAAG', 'UAUAAA', 'GAUAAA', 'CAUAAA', 'ACUAAA', 'AAUGAA'))) as int) as n from t) select p_partkey, case when contains(w, 'AAUAAA') then 1 else 0 end as canonical, n as n_motifs, case when n > 0 then 1 else 0 end as any_motif from n")
 def pas_scan(spark, d):
     t = _parts(spark, d).withColumn("m", seq.scan_motifs(F.translate("s", "T", "U")))
     return t.select("p_partkey", "m.canonical", F.col("m.n").alias("n_motifs"), F.col("m.any").alias("any_motif"))
@@ -466,15 +469,15 @@ def base_composition(spark, d):
     return t.select("p_partkey", *(F.col(f"c.{x}").alias(x) for x in (*(f"{b}_{k}" for b in "AUGC" for k in ("count", "pct")), "GC_pct", "N_count")))
 
 
-_CHROMS = "select p_partkey, case p_partkey % 7 when 0 then 'chr1' when 1 then '2' when 2 then 'MT' when 3 then 'chrMT' when 4 then 'GL000192.1' when 5 then 'chrUn_KI270742v1' else 'chrX' end as c, case p_partkey % 5 when 0 then '1' when 1 then 'Minus' when 2 then 'pos' when 3 then '.' else '-' end as s from part"
+_CHROMS = "select p_partkey, case p_partkey % 10 when 0 then 'chr1' when 1 then '2' when 2 then 'MT' when 3 then 'chrMT' when 4 then 'GL000192.1' when 5 then 'chrUn_KI270742v1' when 6 then 'mt' when 7 then 'chrm' when 8 then 'm' else 'chrX' end as c, case p_partkey % 5 when 0 then '1' when 1 then 'Minus' when 2 then 'pos' when 3 then '.' else '-' end as s from part"
 
 
 def _chroms(spark, d):
     t = spark.read.parquet(f"{d}/part.parquet").select("p_partkey")
-    return t.withColumns({"c": F.expr("case p_partkey % 7 when 0 then 'chr1' when 1 then '2' when 2 then 'MT' when 3 then 'chrMT' when 4 then 'GL000192.1' when 5 then 'chrUn_KI270742v1' else 'chrX' end"), "s": F.expr("case p_partkey % 5 when 0 then '1' when 1 then 'Minus' when 2 then 'pos' when 3 then '.' else '-' end")})
+    return t.withColumns({"c": F.expr("case p_partkey % 10 when 0 then 'chr1' when 1 then '2' when 2 then 'MT' when 3 then 'chrMT' when 4 then 'GL000192.1' when 5 then 'chrUn_KI270742v1' when 6 then 'mt' when 7 then 'chrm' when 8 then 'm' else 'chrX' end"), "s": F.expr("case p_partkey % 5 when 0 then '1' when 1 then 'Minus' when 2 then 'pos' when 3 then '.' else '-' end")})
 
 
-@query(f"""with t as ({_CHROMS}) select p_partkey, case when c in ('MT', 'chrMT') then 'chrM' when starts_with(c, 'chr') then c else concat('chr', c) end as chrom, case when c in ('MT', 'chrMT') then 'M' when starts_with(c, 'chr') then substr(c, 4) else c end as bare,
+@query(f"""with t as ({_CHROMS}) select p_partkey, case when c in ('MT', 'chrMT', 'mt', 'chrm', 'm') then 'chrM' when starts_with(c, 'chr') then c else concat('chr', c) end as chrom, case when c in ('MT', 'chrMT', 'mt') then 'M' when starts_with(c, 'chr') then substr(c, 4) else c end as bare,
 contains(c, '_') or starts_with(replace(c, 'chr', ''), 'GL') or starts_with(replace(c, 'chr', ''), 'KI') as alternative, case when starts_with(c, 'chr') then c else concat('chr', c) end in ('chr1', 'chr2', 'chrX') as canonical from t""")
 def chrom_normalise(spark, d):
     c = F.col("c")

@@ -16,7 +16,10 @@ from helixmill.sources import genomic
 SITE = ["chrom", "pos", "strand"]
 #: The columns and types of a labelled dataset.
 DATASET = {"id": "string", "chrom": "string", "pos": "bigint", "strand": "string", "gene_name": "string", "source": "string", "sequence": "string", "label": "int"}
-FEATURES = ["chrom", "start", "end", "strand", "source", "feature", "gene_id", "transcript_id", "cut", "sequence", "canonical_pas", "pas_count", "any_pas", "A_count", "U_count", "G_count", "C_count", "A_pct", "U_pct", "G_pct", "C_pct", "GC_pct", "N_count"]
+# The columns of the feature table.
+FEATURES = ["Chromosome", "Start_1based", "End_1based", "Strand", "Score_or_ReadCount", "gene_id", "gene_name", "transcript_id", "Feature_type", "transcript_biotype", "presence_AAUAAA", "pas_variant_count", "presence_any_PAS_variant", "A", "U", "G", "C", "A_pct", "U_pct", "G_pct", "C_pct", "GC_pct", "N_count"]
+#: The window of negatives where no positive has a sequence.
+WINDOW = 101
 
 
 def annotated_sites(sites: DataFrame, genes: DataFrame, chunks: DataFrame, source: str, match_strand: bool = False, size: int = genomic.CHUNK) -> DataFrame:
@@ -52,25 +55,32 @@ def positives(a: DataFrame, b: DataFrame, tol: int = 12) -> dict[str, DataFrame]
     merged = held(rows.merge_by_coordinates(rows.keep_first(a, SITE, order), rows.keep_first(b, SITE, order), SITE, ["sequence"]))
     keys = ["chrom", "strand"]
     islands = held(intervals.islands(merged, keys, tol=tol))
-    names = islands.groupBy(*keys, "cluster_start").agg(seq.sources_of(F.col("source")).alias("source"))
-    clustered = intervals.representatives(islands, keys, ["sequence"]).drop("source").join(names, [*keys, "cluster_start"]).drop("cluster_start", "n_sites")
+    clustered = intervals.representatives(islands, keys, ["sequence"], sources="source").drop("cluster_start", "n_sites")
     out = clustered.select(positive_id(F.col("chrom"), F.col("pos"), F.col("strand"), F.col("sequence")).alias("id"), *SITE, "gene_name", "source", "sequence")
     return {"merged": merged, "clustered": clustered, "unique": rows.one_per_sequence(merged, SITE), "positives": out}
 
 
+def sequence_length(pos: DataFrame) -> int:
+    """The length of the first sequence, by site, that isn't blank; WINDOW where there is none."""
+    if "sequence" not in pos.columns:
+        return WINDOW
+    first = pos.where(F.trim("sequence") != "").agg(F.min(F.struct(*SITE, F.length(F.trim("sequence")).alias("n")))["n"]).first()[0]
+    return first or WINDOW
+
+
 def negatives(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
     """Twice as many negatives as positives in three buckets: windows shifted inside the positive's UTR, places uniform in
     UTRs, and such places with a hexamer nearby. The last two draw in rounds for
     what is missing, 20 and 40 times their target at most; a bucket that falls short isn't filled up by another. A site is
-    taken once, earlier buckets first. Draws are by hash: the same rows on every run."""
+    taken once, earlier buckets first. Windows are as long as the positives' sequences. Draws are by hash: the same rows on
+    every run."""
     pos = held(pos)
     n = pos.count()
     want = sampling.bucket_targets(n)
-    half = 101
-    margin = max(60, (2 * half + 1) // 2 + 1)
+    length = sequence_length(pos)
+    margin = max(60, length // 2 + 1)
     p = pos.select(*SITE).distinct()
-    long = utrs.where(F.col("u_end") - F.col("u_start") > 2 * half + 1 + 120).withColumn("u_no", F.row_number().over(Window.orderBy("chrom", "u_start", "u_end", "strand", "gene_name")) - 1)
-    long = held(long)
+    long = held(sampling.numbered(utrs.where(F.col("u_end") - F.col("u_start") > length + 120), ["chrom", "u_start", "u_end", "strand", "gene_name"], "u_no"))
     key = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c), F.lit(str(seed)))
 
     own = intervals.containing(p, long, ["chrom", "strand"], "pos", "u_start", "u_end").groupBy(*SITE).agg(F.min_by(F.struct("u_start", "u_end", "gene_name"), "u_no").alias("u"))
@@ -86,7 +96,7 @@ def negatives(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, seed: int = 42
         draws = pos.sparkSession.range(start, stop).withColumnRenamed("id", "i").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).crossJoin(F.broadcast(n_u)).where("n_u > 0")
         kk = key("i", "attempt")
         placed = draws.withColumn("u_no", sampling.whole_number(kk, f"{name}-utr", F.col("n_u"))).withColumn("at", sampling.whole_number(kk, f"{name}-place", 1 << 27)).join(long, "u_no")
-        placed = placed.withColumn("new", F.col("u_start") + margin + F.col("at") % (F.col("u_end") - F.col("u_start") - 2 * margin)).select("i", "attempt", "chrom", "new", "strand", "gene_name", "u_start", "u_end")
+        placed = placed.withColumn("new", F.col("u_start") + margin + F.col("at") % (F.col("u_end") - F.col("u_start") - 2 * margin + 1)).select("i", "attempt", "chrom", "new", "strand", "gene_name", "u_start", "u_end")
         return intervals.clear_of(placed, sites, ["chrom"], 50, "new")
 
     def bucket(name: str, tries: int, bound: int, source: str, number: int, before: DataFrame) -> DataFrame:
@@ -106,7 +116,7 @@ def negatives(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, seed: int = 42
     plain = bucket("random", 4, 20, "random_utr", 1, shifted)
     motif = bucket("motif", 8, 40, "motif_matched", 2, shifted.unionByName(plain))
     every = held(rows.keep_first(shifted.unionByName(plain).unionByName(motif), SITE, ["bucket", "gene_name"]).drop("bucket"))
-    out = genomic.pipeline_windows(every, chunks, half, size)
+    out = genomic.pipeline_windows(every, chunks, length // 2, size, length - length // 2)
     return out.select(negative_id(F.col("chrom"), F.col("pos"), F.col("strand"), F.col("gene_name")).alias("id"), *SITE, "gene_name", "source", "sequence", F.lit(0).alias("label"))
 
 
@@ -136,20 +146,31 @@ def test_samples(full: DataFrame, half: DataFrame, n: int = 100, seed: int = 42)
     return {"remainder": rest.drop("stable_key"), "positives": some.where("label = 1").drop("stable_key", "rank"), "negatives": some.where("label = 0").drop("stable_key", "rank"), "sample": some.drop("stable_key")}
 
 
+def drawn_in_rounds(todo: DataFrame, keys: list[str], draw: Callable[[DataFrame], DataFrame], attempts: int = 32, most: int = 5000) -> DataFrame:
+    """For each row of todo the first attempt that draw() lets pass: its columns are keys, attempt and what was drawn. The first
+    round makes `attempts` of them, each further one twice as many, for what is still missing; a row that none of `most`
+    passes for is left out."""
+    todo, done, stop = held(todo), None, 0
+    while done is None or (stop < most and not todo.isEmpty()):
+        start, stop = stop, min(2 * stop + attempts, most)
+        tries = todo.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
+        found = held(sampling.first_attempt(draw(tries), keys))
+        done = found if done is None else done.unionByName(found)
+        todo = held(todo.join(found.select(*keys), keys, "left_anti"))
+    return done
+
+
 def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = None, mask: DataFrame | None = None, k: int = 1, distance: int = 200, up: int = 200, down: int = 100, motif_aware: bool = False, reach: int = 40, motifs: tuple = seq.UPSTREAM_MOTIFS, attempts: int = 32, most: int = 5000, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
     """Positive points (chrom, pos, strand, name) and k negatives for each, anywhere on its chromosome or in the mask's regions
-    there, outside the buffers of `distance` around positives. The first round draws `attempts` places, each
-    further one twice as many, for what is still missing; after `most` a negative that found none is left out. Without a genome sequences are empty and motifs
-    aren't asked for."""
+    there, outside the buffers of `distance` around positives, drawn in rounds. Points on chromosomes without a size get none,
+    nor do those with a null. Without a genome sequences are empty and motifs aren't asked for."""
     buffers = held(intervals.merged(points.select("chrom", (F.col("pos") - distance).alias("start"), (F.col("pos") + distance + 1).alias("end")), ["chrom"]))
-    have = points.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(sizes, "chrom").select(*SITE, "n", "length").distinct()
-    todo = held(have)
+    todo = points.select(*SITE).na.drop().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(sizes.select("chrom", "length"), "chrom").distinct()
     if mask is not None:
-        m = mask.select("chrom", "start", "end", "region").withColumns({"r": F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end", "region")) - 1, "n_r": F.count("*").over(Window.partitionBy("chrom"))})
-    done, stop = None, 0
-    while done is None or (stop < most and not todo.isEmpty()):
-        start, stop = stop, min(2 * stop + attempts, most)
-        tries = todo.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
+        own = Window.partitionBy("chrom")
+        m = held(mask.select("chrom", "start", "end", "region").withColumns({"r": F.row_number().over(own.orderBy("start", "end", "region")) - 1, "n_r": F.count("*").over(own)}))
+
+    def draw(tries: DataFrame) -> DataFrame:
         key = F.concat_ws(":", *(F.col(c).cast("string") for c in (*SITE, "n", "attempt")), F.lit(str(seed)))
         if mask is None:
             drawn = tries.withColumns({"new": sampling.place_number(key, "place", F.col("length")), "region": F.lit("")})
@@ -163,9 +184,9 @@ def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = No
             at = fine.select("chrom", F.col("pos").alias("own"), F.col("new").alias("pos"), "strand", "n", "attempt", "region")
             seen = genomic.windows(at, chunks, F.col("pos") - reach, F.col("pos"), size)
             fine = seen.where(seq.upstream_motif(F.col("dna"), reach, F.col("strand"), reach, motifs)).select("chrom", F.col("own").alias("pos"), "strand", "n", "attempt", F.col("pos").alias("new"), "region")
-        found = held(sampling.first_attempt(fine, [*SITE, "n"]))
-        done = found if done is None else done.unionByName(found)
-        todo = held(todo.join(found.select(*SITE, "n"), [*SITE, "n"], "left_anti"))
+        return fine
+
+    done = drawn_in_rounds(todo, [*SITE, "n"], draw, attempts, most)
     neg = done.select("chrom", F.col("new").alias("pos"), "strand", F.lit(0).alias("label"), F.lit("").alias("source_id"), F.col("region").alias("region_id"), F.lit("motif" if motif_aware and chunks is not None else "").alias("notes"))
     pos = points.select(*SITE, F.lit(1).alias("label"), F.col("name").alias("source_id"), F.lit("").alias("region_id"), F.lit("").alias("notes"))
     both = pos.unionByName(neg)
@@ -174,15 +195,15 @@ def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = No
 
 
 def site_features(features: DataFrame, chunks: DataFrame, contigs: DataFrame, size: int = genomic.CHUNK) -> DataFrame:
-    """The 23-column feature table of 1-based features (GTF rows, BED rows as such)."""
-    t = features.where(F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("end") >= F.col("start")))
-    t = genomic.resolved_contigs(t, contigs).withColumn("pos", F.when(F.col("strand") == "-", F.col("start")).otherwise(F.col("end")))
+    """The 23-column feature table of 1-based features (GTF rows, BED rows as such). Rows without chrom, start, end or strand,
+    or with an end before the start, are left out; contigs that the genome lacks give a null Chromosome and no bases."""
+    t = features.na.drop(subset=["chrom", "start", "end", "strand"]).where("end >= start")
+    t = genomic.resolved_contigs(t, contigs).withColumn("pos", F.when(F.col("strand") == "+", F.col("end")).otherwise(F.col("start")))
     t = genomic.feature_windows(t, chunks, size=size)
     t = t.withColumns({"m": seq.scan_motifs(F.col("sequence")), "b": seq.composition(F.col("sequence"))})
-    named = {"cut": F.col("pos"), "canonical_pas": F.col("m.canonical"), "pas_count": F.col("m.n"), "any_pas": F.col("m.any")} | {c: F.col(f"b.{c}") for c in FEATURES[13:]}
-    for c in ("gene_id", "transcript_id"):
-        named[c] = F.col(c) if c in t.columns else seq.attribute(F.col("attributes"), c)
-    return t.select(*((named[c] if c in named else F.col(c)).alias(c) for c in FEATURES))
+    named = [F.col("chrom"), F.col("start"), F.col("end"), F.col("strand"), F.col("score"), F.col("gene_id"), F.col("gene_name"), F.col("transcript_id"), F.col("feature"), F.col("transcript_biotype"), F.col("m.canonical"), F.col("m.n"), F.col("m.any")]
+    named += [F.col(f"b.{c}") for c in ("A_count", "U_count", "G_count", "C_count", "A_pct", "U_pct", "G_pct", "C_pct", "GC_pct", "N_count")]
+    return t.select(*(c.alias(name) for c, name in zip(named, FEATURES)))
 
 
 def model_windows(df: DataFrame, width: int = 203, stride: int = 100) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from helixmill.functions import sequence as seq
+from helixmill.operators.rows import shaped
 
 BED6 = "chrom string, start long, `end` long, name string, score string, strand string"
 GTF = "chrom string, source string, feature string, start long, `end` long, score string, strand string, frame string, attributes string"
@@ -18,12 +19,30 @@ CHUNK = 1 << 14
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with line: consecutive numbers in the order of the files. Two passes; the second adds to each partition's own
-    numbers those of the partitions before it (one row a partition)."""
-    t = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftrightunsigned("__id", 33))
-    counts = t.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    return t.join(F.broadcast(before), "__part").withColumn("line", F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__base")
+    """df (rows read from files) with line: consecutive numbers in the order of file names and of places in them. Two passes; the
+    second adds to a row's place in its block of a file the rows of the blocks before it (one row a block). Spark deals
+    blocks to tasks by size, so the order of tasks isn't that of the files."""
+    t = df.withColumns({"__id": F.monotonically_increasing_id(), "__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.file_block_start")})
+    blocks = t.groupBy("__file", "__at").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    earlier = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("__file", "__at", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__base"))
+    return t.join(F.broadcast(before), ["__file", "__at"]).withColumn("line", F.col("__base") + F.col("__id")).drop("__id", "__file", "__at", "__base")
+
+
+def has_chr_prefix(names: DataFrame, column: str = "chrom") -> bool:
+    """Whether any name starts with chr."""
+    return not names.where(F.col(column).startswith("chr")).isEmpty()
+
+
+def chrom_mapper(sizes: DataFrame, names: DataFrame) -> DataFrame:
+    """raw, chrom: the distinct chromosome names of `names` and their spelling in the style of `sizes`."""
+    prefixed = has_chr_prefix(sizes)
+    return names.select(F.col("chrom").alias("raw")).distinct().select("raw", seq.chrom_style(F.col("raw"), prefixed).alias("chrom"))
+
+
+def peeked(names: DataFrame, most: int = 2000) -> DataFrame:
+    """At most `most` distinct chromosome names: all of them in any genome, and no long list where a file isn't one."""
+    return names.select("chrom").where("chrom is not null").distinct().limit(most)
 
 
 def bed6(spark: SparkSession, path: str) -> DataFrame:
@@ -66,19 +85,26 @@ def bed_regions(spark: SparkSession, path: str, prefixed: bool = True, primary_o
     return t.withColumn("region", F.coalesce(F.nullif(F.col("name"), F.lit("")), F.concat(F.lit("region_"), k.cast("string")))).select("chrom", "start", "end", "region")
 
 
+# What rows of a BED file are called among features.
+BED_SOURCE, BED_FEATURE, BED_ATTRIBUTES = "PolyASite2", "polyA_site", 'name "%s"; dataset "human_polyAsite";'
+
+
 def bed_as_features(spark: SparkSession, path: str) -> DataFrame:
-    """BED as 1-based GTF-like rows."""
+    """BED as 1-based feature rows, their names in attributes; gene and transcript are empty."""
     t = bed6(spark, path).withColumn("start", F.col("start") + 1)
-    return t.select("chrom", F.lit("BED").alias("source"), F.lit("polyA_site").alias("feature"), "start", "end", "score", seq.default_strand(F.col("strand")).alias("strand"), F.lit(".").alias("frame"), F.format_string('gene_id "%s"; transcript_id "%s";', F.col("name"), F.col("name")).alias("attributes"))
+    text = F.format_string(BED_ATTRIBUTES, F.coalesce("name", F.lit("")))
+    empty = [F.lit("").alias(c) for c in ("gene_id", "gene_name", "transcript_id", "transcript_biotype")]
+    return t.select("chrom", F.lit(BED_SOURCE).alias("source"), F.lit(BED_FEATURE).alias("feature"), "start", "end", "score", "strand", text.alias("attributes"), *empty)
 
 
 def gtf(spark: SparkSession, path: str, features: tuple[str, ...] | None = None) -> DataFrame:
-    """GTF rows (1-based, both ends in) with gene_id, gene_name, gene_type (gene_biotype where missing) and transcript_id."""
+    """GTF rows (1-based, both ends in) with gene_id, gene_name, gene_type (gene_biotype where missing), transcript_id and
+    transcript_biotype."""
     t = spark.read.schema(GTF).csv(path, sep="\t", comment="#", quote="")
     t = t.where(F.col("feature").isin(*features)) if features else t
     a = F.col("attributes")
     kind = F.coalesce(F.nullif(seq.attribute(a, "gene_type"), F.lit("")), seq.attribute(a, "gene_biotype"))
-    return t.withColumns({"gene_id": seq.attribute(a, "gene_id"), "gene_name": seq.attribute(a, "gene_name"), "gene_type": kind, "transcript_id": seq.attribute(a, "transcript_id")})
+    return t.withColumns({"gene_id": seq.attribute(a, "gene_id"), "gene_name": seq.attribute(a, "gene_name"), "gene_type": kind, "transcript_id": seq.attribute(a, "transcript_id"), "transcript_biotype": seq.attribute(a, "transcript_biotype")})
 
 
 def genes(spark: SparkSession, path: str, canonical_only: bool = True) -> DataFrame:
@@ -99,14 +125,15 @@ PAS_COLUMNS = {"chrom": ("chr", "chrom", "chromosome"), "pos": ("pos", "position
 
 
 def pas_table(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, pos, strand of a headed TSV, its columns found by name, whatever their case: pos, or else start, end and strand."""
+    """chrom, pos, strand of a headed TSV, its columns found by name, whatever their case: pos, or else start and end. An error
+    without chromosome, strand or position columns."""
     t = spark.read.csv(path, sep="\t", header=True, comment="#", inferSchema=False)
     names = {c.strip().lower(): c for c in t.columns}
     found = {k: next((names[a] for a in aliases if a in names), None) for k, aliases in PAS_COLUMNS.items()}
-    if not found["chrom"] or not (found["pos"] or (found["start"] and found["end"] and found["strand"])):
-        raise ValueError(f"no position columns among {t.columns}")
+    if not (found["chrom"] and found["strand"]) or not (found["pos"] or (found["start"] and found["end"])):
+        raise ValueError(f"no chromosome, strand or position columns among {t.columns}")
     number = lambda k: F.expr(f"try_cast(`{found[k]}` as bigint)")
-    strand = seq.normal_strand(F.col(f"`{found['strand']}`")) if found["strand"] else F.lit("+")
+    strand = seq.normal_strand(F.col(f"`{found['strand']}`"))
     pos = number("pos") if found["pos"] else seq.cleavage_pipeline(number("start"), number("end"), strand)
     return t.select(seq.with_chr(F.col(f"`{found['chrom']}`")).alias("chrom"), pos.alias("pos"), strand.alias("strand")).na.drop(subset=["chrom", "pos"])
 
@@ -181,9 +208,9 @@ def windows(points: DataFrame, chunks: DataFrame, start: Column, end: Column, si
     return p.join(got, "__row", "left").withColumn("dna", F.coalesce("dna", F.lit(""))).drop("__row", "__from", "__to")
 
 
-def pipeline_windows(points: DataFrame, chunks: DataFrame, half: int = 101, size: int = CHUNK) -> DataFrame:
-    """[pos - half, pos + half + 1), reverse-complemented on minus: 203 bases away from a contig's ends."""
-    t = windows(points, chunks, F.col("pos") - half, F.col("pos") + half + 1, size)
+def pipeline_windows(points: DataFrame, chunks: DataFrame, left: int = 101, size: int = CHUNK, right: int = 102) -> DataFrame:
+    """[pos - left, pos + right), reverse-complemented on minus: 203 bases away from a contig's ends."""
+    t = windows(points, chunks, F.col("pos") - left, F.col("pos") + right, size)
     return t.withColumn("sequence", F.when(F.col("strand") == "-", seq.reverse_complement(F.col("dna"))).otherwise(F.col("dna"))).drop("dna")
 
 
@@ -198,10 +225,10 @@ def generator_windows(points: DataFrame, chunks: DataFrame, up: int = 200, down:
 
 
 def feature_windows(points: DataFrame, chunks: DataFrame, up: int = 50, down: int = 49, size: int = CHUNK) -> DataFrame:
-    """RNA of 1-based [cut - up, cut + down], reverse-complemented on minus."""
+    """RNA of 1-based [cut - up, cut + down], reverse-complemented where the strand isn't +."""
     t = windows(points, chunks, F.greatest(F.col("pos") - up, F.lit(1)) - 1, F.col("pos") + down, size)
     dna = F.upper("dna")
-    rna = F.translate(F.when(F.col("strand") == "-", seq.reverse_complement(dna)).otherwise(dna), "T", "U")
+    rna = F.translate(F.when(F.col("strand") == "+", dna).otherwise(seq.reverse_complement(dna)), "T", "U")
     return t.withColumn("sequence", rna).drop("dna")
 
 
@@ -232,6 +259,21 @@ def overlapping(a: DataFrame, b: DataFrame, tile: int = 1 << 14) -> DataFrame:
     return both.where(F.col("__tile") == F.floor(F.greatest("a_start", "b_start") / tile)).drop("__tile")
 
 
+def headed_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """A headed CSV. With columns (name: type) exactly these, in this order: those that the file lacks are null, and so are
+    values that don't cast. Without, types are inferred."""
+    read = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    return shaped(read.csv(path), columns) if columns else read.option("inferSchema", True).csv(path)
+
+
+def training_rows(spark: SparkSession, path: str) -> DataFrame:
+    """sequence, label and, where there is one, chrom of a headed CSV, rows with a null among them left out; only these
+    columns are parsed."""
+    t = spark.read.option("header", True).csv(path)
+    kept = [c for c in ("sequence", "label", "chrom") if c in t.columns]
+    return t.select(*(F.expr("try_cast(label as int)").alias(c) if c == "label" else F.col(c) for c in kept)).na.drop("any")
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     (df.select(*columns) if columns else df).write.mode("overwrite").option("header", True).csv(path)
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from helixmill.plans import catalogue
+from helixmill.plans import catalogue, files  # noqa: F401  files registers its queries
 
 DATA = "/root/testdata/sf0.001"
 

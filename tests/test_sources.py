@@ -1,6 +1,7 @@
 import gzip
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixmill.plans import pipelines
@@ -65,6 +66,8 @@ def test_chain_and_sizes(spark, tmp_path):
 def test_pas_table(spark, tmp_path):
     p = write(tmp_path, "p.tsv", "Chromosome\tStart\tEnd\tStr\n1\t5\t9\t+\nchr1\t5\t9\tminus\n1\tx\ty\t+\n")
     assert sorted(tuple(r) for r in genomic.pas_table(spark, p).collect()) == [("chr1", 5, "-"), ("chr1", 9, "+")]
+    with pytest.raises(ValueError):
+        genomic.pas_table(spark, write(tmp_path, "q.tsv", "Chromosome\tPos\n1\t5\n"))
 
 
 def test_pipelines_end_to_end(spark, tmp_path):
@@ -133,15 +136,39 @@ def test_generator_reaches_all_of_a_long_chromosome(spark):
         assert all(any(q * (1 << 27) <= p < (q + 1) * (1 << 27) for p in neg) for q in range(4))
 
 
+@pytest.mark.parametrize("kind", ["parquet", "bed"])
+def test_generator_reads_files(spark, tmp_path, kind):
+    points = spark.createDataFrame([("chr1", 1000, "+", "a"), ("chr1", 3000, "-", "b")], "chrom string, pos long, strand string, name string")
+    sizes = spark.createDataFrame([("chr1", 5000)], "chrom string, length long")
+    if kind == "parquet":
+        points.write.parquet(str(tmp_path / "p"))
+        filed = spark.read.parquet(str(tmp_path / "p"))
+    else:
+        filed = genomic.bed_points(spark, write(tmp_path, "p.bed", "chr1\t990\t1001\ta\t0\t+\nchr1\t3000\t3009\tb\t0\t-\n"))
+    got = lambda p: sorted(tuple(r) for r in pipelines.generated(p, sizes, k=3).collect())
+    assert got(filed) == got(points) and len(got(filed)) == 8
+
+
+def test_negatives_are_as_long_as_the_positives(spark, tmp_path):
+    chunks = genomic.fasta_chunks(spark, fasta(tmp_path), 512)
+    utrs = spark.createDataFrame([("chr1", "+", 100, 4800, "N1")], "chrom string, strand string, u_start long, u_end long, gene_name string")
+    for sequence, n in (("ACGT" * 10, 40), (" ", 101)):
+        pos = spark.createDataFrame([("chr1", 1000, "+", "N1", "A", sequence)], "chrom string, pos long, strand string, gene_name string, source string, sequence string")
+        assert {len(r.sequence) for r in pipelines.negatives(pos, utrs, chunks, size=512).collect()} == {n}
+
+
 def test_features(spark, tmp_path):
     chunks = genomic.fasta_chunks(spark, fasta(tmp_path), 512)
     contigs = spark.createDataFrame([("chr1",), ("chr2",)], "contig string")
     p = write(tmp_path, "b.bed", "1\t1000\t1010\tx\t0\t+\nchr2\t300\t310\ty\t0\t-\n")
     t = pipelines.site_features(genomic.bed_as_features(spark, p), chunks, contigs, size=512)
     assert t.columns == pipelines.FEATURES and len(t.columns) == 23
-    rows = {r.chrom: r for r in t.collect()}
-    assert rows["chr1"].cut == 1010 and rows["chr2"].cut == 301 and rows["chr1"].gene_id == "x"
-    assert all(len(r.sequence) == 100 and "T" not in r.sequence for r in rows.values())
+    rows = {r.Chromosome: r for r in t.collect()}
+    assert (rows["chr1"].Start_1based, rows["chr1"].End_1based, rows["chr1"].gene_id) == (1001, 1010, "")
+    for chrom, cut in (("chr1", 1010), ("chr2", 301)):
+        part = GENOME[chrom][cut - 51 : cut + 49]
+        rna = (part if chrom == "chr1" else revcomp(part)).replace("T", "U")
+        assert [rows[chrom][b] for b in "AUGC"] == [rna.count(b) for b in "AUGC"] and rows[chrom].GC_pct == rna.count("G") + rna.count("C")
 
 
 def test_windows_scores_and_reports(spark):
