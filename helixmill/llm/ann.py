@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from helixmill.llm.common import prepare, written
 
 TOP, QUERY_STEP = 10, 100
-#: The fit: vectors of the sample, and the most lists (the bound of what is broadcast: lists x dimension floats).
-SAMPLE, MAX_LISTS, MAX_FLOATS = 40_000, 8192, 1 << 24
+#: The fit: vectors of the sample, and the floats of all centroids (the bound of what is broadcast). There are 3 sqrt(n) lists
+#: as far as these go: to 40,000, which is to 178 million vectors; beyond, lists get longer.
+SAMPLE, MAX_FLOATS = 40_000, 1 << 24
 REPLICAS, BOUNDARY = 4, 1.12
 MIN_PROBES, MAX_PROBES, RATIO = 12, 96, 1.6
 DEGREE, BEAM = 24, 128
@@ -120,7 +121,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sized(df: DataFrame, key: str) -> DataFrame:
-    """The number of blocks for each list: a table of MAX_LISTS rows at most."""
+    """The number of blocks for each list: a table of a row a list."""
     return df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(key))
 
 
@@ -144,7 +145,7 @@ def nearest(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataF
     sample = _matrix(picked.column(0).combine_chunks())
     if not len(sample):
         sample = _matrix(entries.select("vector").limit(64).toArrow().column(0).combine_chunks())
-    lists = max(1, min(MAX_LISTS, MAX_FLOATS // dimension, len(sample), round(3 * math.sqrt(n))))
+    lists = max(1, min(MAX_FLOATS // dimension, len(sample), round(3 * math.sqrt(n))))
     shared = spark.sparkContext.broadcast(Graph(centroids(sample, lists)))
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,7 @@ def nearest(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(ids[within].astype(np.int32)), *(c.take(pa.array(again)) for c in part.columns)], ["list", "query_id", "vector"])
 
     asked = written(base.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), "vector").mapInArrow(probing, f"list int, query_id long, vector {kind}"), "asked")
-    sizes = written(_sized(posted, "vb").join(_sized(asked, "qb"), "list"), "list-sizes")  # MAX_LISTS rows at most
+    sizes = written(_sized(posted, "vb").join(_sized(asked, "qb"), "list"), "list-sizes")  # a row a list
     own = lambda df, mine, other, key: df.join(F.broadcast(sizes), "list").withColumns({mine: F.pmod(F.xxhash64(key), F.col(mine)).cast("int"), other: F.explode(F.expr(f"sequence(0, {other} - 1)"))})
     left = own(posted, "vb", "qb", "vector").select("list", "vb", "qb", "vector", "ids")
     right = own(asked, "qb", "vb", "query_id").select("list", "vb", "qb", "query_id", "vector")

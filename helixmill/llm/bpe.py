@@ -20,7 +20,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
-from helixmill.llm.common import prepare
+from helixmill.llm.common import prepare, written
 
 CHUNK = 8192
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
@@ -112,7 +112,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 
 #: Lengths are summed up in blocks of so many, so that no task orders all distinct lengths.
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -132,10 +132,11 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     docs_ge (documents of at least L), tokens_ge (their tokens), total_tokens, truncated_tokens (the sum of
     min(length, L)) and quantile (the share of documents of at most L).
 
-    Partial sums come before the shuffle, so a length that a third of all documents share is one row a task.
-    The suffix sums run in blocks of BLOCK lengths; only the blocks' totals, one row for 1024 lengths, meet in
-    one task. Null lengths take no part; no rows give no rows."""
-    hist = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    Partial sums come before the shuffle, so a length that a third of all documents share is one row a task. The counts
+    are written, as blocks and lengths both read them: documents are encoded once. The suffix sums run in blocks of
+    BLOCK lengths; only the blocks' totals, one row each, meet in one task. Null lengths take no part; no rows give
+    no rows."""
+    hist = written(lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("docs")), "lengths").withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     tokens = F.col("docs") * F.col("n_tokens")
     later, whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = hist.groupBy("block").agg(F.sum("docs").alias("d"), F.sum(tokens).alias("t"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -35,14 +39,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors."""
+    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors. It goes when the driver's JVM
+    ends, if forget() doesn't come first."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    passing(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._helixmill_path = path
     return out
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Have the file or folder deleted when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for df in tables:
@@ -57,6 +69,7 @@ def prepare(spark: SparkSession) -> None:
     if app not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         folder = tempfile.mkdtemp(prefix="helixmill-ship-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         target = os.path.join(folder, "helixmill.zip")
         with zipfile.ZipFile(target, "w") as z:
             for place, _, names in sorted(os.walk(os.path.join(root, "helixmill"))):
@@ -70,5 +83,23 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give freed memory back to the system. A worker is used again by later stages, and what its allocators keep for themselves
+    would add up with theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def trimmed(batches: Iterable) -> Iterator:
+    """The same items; memory is given back after the last one."""
+    try:
+        yield from batches
+    finally:
+        trim()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

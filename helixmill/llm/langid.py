@@ -4,8 +4,13 @@ Symbols are lower-cased letters; a run of anything else is one word boundary (0)
 before it in the same word, filled up with boundaries. Training counts the grams of all training documents; the
 model of a language is built from all its grams, none left out, and kept as sorted arrays of 64-bit hashes. So it grows
 with the distinct grams of five letters, not with the documents. A text gets the language of the lowest cross-entropy
-per symbol. The score is calibrated by the cross-entropies of training documents of that language: 1/2 where it
-reaches their mean plus LIMIT standard deviations for a text of that length, and below that the text is rejected.
+per symbol.
+
+Rejection is calibrated on a sample of training documents that the models have not seen. How far a text's cross-entropy
+lies above the mean of its language, in standard deviations for a text of its length, is compared with theirs: its
+tail share is the part of the sample that lies as far or further (beyond the sample an exponential tail goes on). The score
+is a power of the tail share that is 1/2 at REJECTED; a text with less is rejected, so about that part of documents
+like those learnt from is.
 """
 
 from __future__ import annotations
@@ -15,14 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from helixmill.llm.common import prepare, written
+from helixmill.llm.common import forget, prepare, trimmed, written
 
 ORDER = 5
-#: Labelled documents used to calibrate.
-CALIBRATION_DOCS = 3_000
-LIMIT = 12.0
+#: Labelled documents used to calibrate, and the most that they are of all; the part of such documents to be rejected.
+CALIBRATION_DOCS, CALIBRATION_SHARE, REJECTED = 3_000, 0.2, 0.001
 UNKNOWN = "und"
 HELD_OUT = 2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -47,21 +51,23 @@ def letters() -> np.ndarray:
 SLICE = 1 << 19
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
-    """All texts in groups of about SLICE code points: pieces, and the text each is of. A longer text is cut at a blank, or,
-    where none comes within another SLICE, anywhere (the context starts anew there)."""
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[tuple[str, int, bool]], list[int]]]:
+    """All texts in groups of about SLICE code points: pieces, and the text each is of. A piece is code points, how many of them
+    come first for context only, and whether its last word ends with it. A longer text is cut at a blank, or, where none
+    comes within another SLICE, anywhere; then the next piece repeats what its first grams look back on."""
     group, owners, size = [], [], 0
     for i, t in enumerate(texts):
-        t, at = t or "", 0
+        t, at, lead = t or "", 0, 0
         while at < len(t):
-            end = len(t)
+            end = blank = len(t)
             if end - at > SLICE:
                 blank = t.find(" ", at + SLICE, at + 2 * SLICE)
                 end = blank if blank > 0 else min(end, at + 2 * SLICE)
-            group.append(t[at:end])
+            ends = end in (blank, len(t))
+            group.append((t[at - lead : end], lead, ends))
             owners.append(i)
             size += end - at
-            at = end
+            at, lead = end, 0 if ends else ORDER - 1
             if size >= SLICE:
                 yield group, owners
                 group, owners, size = [], [], 0
@@ -69,19 +75,21 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
         yield group, owners
 
 
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts, each text's words ended by a 0, and the text each symbol is of."""
-    parts = [np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32) for t in texts]
+def symbols(group: list[tuple[str, int, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all pieces, each piece's words ended by a 0, the piece each symbol is of, and whether it counts (not if it
+    is context, or a 0 that only keeps pieces apart)."""
+    parts = [np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t, _, _ in group]
     sizes = np.array([len(p) + 1 for p in parts], np.int64)
-    points = np.zeros(int(sizes.sum()), np.uint32)
-    at = np.cumsum(sizes) - sizes
-    for a, p in zip(at.tolist(), parts):
+    points, counts = np.zeros(int(sizes.sum()), np.uint32), np.ones(int(sizes.sum()), bool)
+    for a, p, (_, lead, ends) in zip((np.cumsum(sizes) - sizes).tolist(), parts, group):
         points[a : a + len(p)] = p
+        counts[a : a + lead] = False
+        counts[a + len(p)] = ends
     sym = letters()[np.minimum(points, 0x10FFFF)]
     keep = sym != 0
     keep[1:] |= sym[:-1] != 0  # of a run of boundaries the first, which ends a word
     keep[0] = sym[0] != 0
-    return sym[keep], np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[keep]
+    return sym[keep], np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[keep], counts[keep]
 
 
 def grams(sym: np.ndarray) -> np.ndarray:
@@ -179,12 +187,12 @@ def count_grams(training: DataFrame) -> DataFrame:
             texts = b.column(0).to_pylist()
             for lang in set(langs):
                 for group, _ in pieces([t for t, x in zip(texts, langs) if x == lang]):
-                    sym, _ = symbols(group)
-                    if not len(sym):
+                    sym, _, counts = symbols(group)
+                    rows = grams(sym)[:, counts]
+                    if not rows.shape[1]:
                         continue
-                    rows = grams(sym)
                     parts = held.setdefault(lang, [])
-                    parts.append(merged([(hashed(rows, ORDER), rows, np.ones(len(sym), np.int64))]))
+                    parts.append(merged([(hashed(rows, ORDER), rows, np.ones(rows.shape[1], np.int64))]))
                     if len(parts) > 8:
                         parts[:] = [merged(parts)]
                         if len(parts[0][0]) > 400_000:
@@ -193,29 +201,46 @@ def count_grams(training: DataFrame) -> DataFrame:
             if parts:
                 yield out(lang, merged(parts))
 
-    made = training.select("text", "lang").mapInArrow(run, "lang string, gram string, n long")
+    made = training.select("text", "lang").mapInArrow(lambda it: trimmed(run(it)), "lang string, gram string, n long")
     return made.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Identifier:
-    """Models by language and their calibration."""
+    """Models by language; for each the mean, standard deviation and variance a symbol of calibration texts; and the ascending
+    deviations of all calibration texts."""
 
-    def __init__(self, models: dict[str, Model], calibration: dict[str, tuple[float, float, float]] | None = None):
+    def __init__(self, models: dict[str, Model], calibration: dict[str, tuple[float, float, float]] | None = None, tail: np.ndarray | None = None):
         self.languages = sorted(models)
         self.models = [models[x] for x in self.languages]
         self.calibration = calibration or {}
+        self.tail = np.zeros(0) if tail is None else tail
+
+    def deviations(self, best: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Standard deviations above the mean of language number `best`, for a text of n symbols."""
+        mu, sd, one = np.array([self.calibration.get(x, (0.0, 1e9, 0.0)) for x in self.languages]).T[:, best]
+        return (mean - mu) / np.maximum(np.sqrt(sd * sd + one / np.maximum(n, 1)), 1e-6)
+
+    def scores(self, z: np.ndarray) -> np.ndarray:
+        """The score of deviations: the tail share to the power that makes REJECTED 1/2; 1 without a calibration."""
+        m = len(self.tail)
+        if not m:
+            return np.ones(len(z))
+        share = (m - np.searchsorted(self.tail, z) + 1) / (m + 1)
+        top = self.tail[-max(1, m // 50) :]
+        beyond = np.maximum(z - top[-1], 0) / max(float((top - top[0]).mean()), 0.25)
+        return (share * np.exp(-np.minimum(beyond, 500))) ** (np.log(2) / -np.log(REJECTED))
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of each text, cross-entropies (text x language) and variances of the costs (text x language)."""
         n = np.zeros(len(texts))
         mean, spread = np.zeros((len(texts), len(self.models))), np.zeros((len(texts), len(self.models)))
         for group, owners in pieces(texts):
-            sym, part = symbols(group)
-            if not len(sym):
+            sym, part, counts = symbols(group)
+            if not counts.any():
                 continue
-            owner = np.array(owners)[part]
+            owner = np.array(owners)[part[counts]]
             n += np.bincount(owner, minlength=len(texts))
-            rows = grams(sym)
+            rows = grams(sym)[:, counts]
             code, distinct = pd.factorize(hashed(rows, ORDER))
             first = np.zeros(len(distinct), np.int64)
             first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
@@ -232,52 +257,60 @@ class Identifier:
         n, mean, _ = self.entropies(texts)
         if not self.models:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        best = mean.argmin(1)
-        score = np.zeros(len(texts))
-        for k, lang in enumerate(self.languages):
-            mu, sd, one = self.calibration.get(lang, (0.0, 1e9, 0.0))
-            i = np.flatnonzero((best == k) & (n > 0))
-            s = np.sqrt(sd * sd + one / np.maximum(n[i], 1))
-            score[i] = 1 / (1 + np.exp(np.clip((mean[i, k] - mu) / np.maximum(s, 1e-6) - LIMIT, -60, 60)))
+        best, k = mean.argmin(1), np.arange(len(texts))
+        score = np.where(n > 0, self.scores(self.deviations(best, mean[k, best], n)), 0.0)
         return [self.languages[k] if m else UNKNOWN for k, m in zip(best.tolist(), n.tolist())], score
 
 
+def for_calibration(n: int) -> Column:
+    """Which of n training documents calibrate."""
+    return F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= min(CALIBRATION_SHARE, CALIBRATION_DOCS / max(n, 1))
+
+
 def fit(docs: DataFrame) -> Identifier:
     """Learn from text and non-null lang of the documents that are not held out; documents with a null doc_id have no
     fold and teach nothing. No such documents: an identifier that knows no language."""
     training = folded(docs).where(f"fold <> {HELD_OUT} and lang is not null and text is not null")
-    counted = written(count_grams(training), "grams")
-    models = {}
-    for r in counted.select("lang").distinct().orderBy("lang").collect():
-        rows = counted.where(F.col("lang") == r.lang).select("gram", "n").orderBy("gram").toArrow()
-        points = [np.frombuffer("".join(c.to_pylist()).encode("utf-32-le"), np.uint32) for c in rows["gram"].chunks]
-        models[r.lang] = Model(np.ascontiguousarray(np.concatenate(points).reshape(-1, ORDER).T), rows["n"].to_numpy().astype(np.float64))
+    # a bounded sample of the training documents, by hash, is kept from the models to calibrate them
+    sizes = {r.lang: r["count"] for r in training.groupBy("lang").count().collect()}
+    sampled = for_calibration(sum(sizes.values()))
+    models: dict[str, Model] = {}
+
+    def learn(part: DataFrame) -> None:
+        counted = written(count_grams(part), "grams")
+        for r in counted.select("lang").distinct().orderBy("lang").collect():
+            rows = counted.where(F.col("lang") == r.lang).select("gram", "n").orderBy("gram").toArrow()
+            points = [np.frombuffer("".join(c.to_pylist()).encode("utf-32-le"), np.uint32) for c in rows["gram"].chunks]
+            models[r.lang] = Model(np.ascontiguousarray(np.concatenate(points).reshape(-1, ORDER).T), rows["n"].to_numpy().astype(np.float64))
+        forget(counted)
+
+    learn(training.where(~sampled))
+    if left := sorted(sizes.keys() - models.keys()):  # languages that only sampled documents have
+        learn(training.where(F.col("lang").isin(left)))
     known = Identifier(models)
     if not models:
         return known
-    # calibration: a bounded sample of the training documents, by hash
-    n = sum(r["count"] for r in training.groupBy("lang").count().collect())
-    share = min(1.0, CALIBRATION_DOCS / max(n, 1))
     shared = training.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who = shared.value
-            size, mean, spread = who.entropies(b.column(0).to_pylist())
-            k = np.array([who.languages.index(x) if x in who.languages else -1 for x in b.column(1).to_pylist()])
-            i = np.flatnonzero((k >= 0) & (size > 0))
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(i)), pa.array(mean[i, k[i]]), pa.array(spread[i, k[i]])], ["lang", "mean", "spread"])
-
-    sample = training.where(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= share).select("text", "lang")
-    seen = sample.mapInArrow(run, "lang string, mean double, spread double").toPandas()
-    whole = (float(seen["mean"].mean()), float(seen["mean"].std(ddof=0)), float(seen["spread"].mean())) if len(seen) else (0.0, 1e9, 0.0)
+            size, mean, spread = shared.value.entropies(b.column(0).to_pylist())
+            i = np.flatnonzero(size > 0)
+            best = mean[i].argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), *(pa.array(x) for x in (mean[i, best], spread[i, best], size[i]))], ["best", "mean", "spread", "n"])
+
+    seen = training.where(sampled).select("text").mapInArrow(lambda it: trimmed(run(it)), "best int, mean double, spread double, n double").toPandas()
+    shared.destroy()
+    measure = lambda t: (float(t["mean"].mean()), max(float(t["mean"].std(ddof=0)), 0.02), float(t["spread"].mean()))
     calibration = {}
-    for lang in models:
-        own = seen[seen["lang"] == lang]
-        # the middle, so that a few mislabelled documents don't widen the limit
+    for k, lang in enumerate(known.languages):
+        own = seen[seen["best"] == k]
+        # the middle, so that a few odd documents don't widen the measure
         mid = own[own["mean"] <= own["mean"].quantile(0.95)] if len(own) >= 20 else own
-        calibration[lang] = (float(mid["mean"].mean()), max(float(mid["mean"].std(ddof=0)), 0.02), float(mid["spread"].mean())) if len(mid) >= 5 else whole
-    return Identifier(models, calibration)
+        if len(mid) >= 5 or len(seen):
+            calibration[lang] = measure(mid if len(mid) >= 5 else seen)
+    known = Identifier(models, calibration)
+    return Identifier(models, calibration, np.sort(known.deviations(seen["best"].to_numpy(), seen["mean"].to_numpy(), seen["n"].to_numpy())))
 
 
 def _predicted(docs: DataFrame, known: Identifier, columns: list[str]) -> DataFrame:
@@ -294,7 +327,7 @@ def _predicted(docs: DataFrame, known: Identifier, columns: list[str]) -> DataFr
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     picked = docs.select(*columns)
-    return picked.mapInArrow(run, StructType([*picked.schema.fields, StructField("__hm_lang", StringType()), StructField("__hm_score", DoubleType())]))
+    return picked.mapInArrow(lambda it: trimmed(run(it)), StructType([*picked.schema.fields, StructField("__hm_lang", StringType()), StructField("__hm_score", DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -307,7 +340,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known and whose score is not below 1/2, with their columns; a null lang becomes
-    the predicted one."""
+    """The documents whose language is known and whose score is not below 1/2 (see the calibration), with their columns; a null
+    lang becomes the predicted one. An empty table stays empty; rows with a null doc_id stay or go like any other."""
     out = _predicted(docs, fit(docs), docs.columns).where((F.col("__hm_lang") != UNKNOWN) & (F.col("__hm_score") >= 0.5))
     return out.select(*(F.coalesce("lang", "__hm_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))

@@ -3,14 +3,17 @@
 1. Tokenize: one row for each piece of a document (doc_id, piece, start, length, CRC-32 of its ids), as a table.
 2. Range-sort the pieces by length; a piece's rank within its length is its place in its partition plus the counts
    of that length in the partitions before. A range partition holds few lengths, so these counts are about as many
-   as partitions plus lengths.
-3. Supersteps. Pieces of one length are interchangeable, and so are gaps of one size; both kinds are kept as runs
-   (size, count), of which there are CAPACITY at most each, however many documents. In a sweep each run of
-   pieces looks up its successor, the smallest gap that holds it; runs that meet on one gap are served by rank,
-   longest first; gaps are updated; the sweep is repeated until nothing more fits, then new sequences are opened.
-   What a sweep decides is a record: pieces [a, a + n) of length L go to sequences [s, s + n) at an offset.
-4. Each piece finds its record by binary search on (length, rank). The records are broadcast: a sweep adds at most
-   one for each pair of neighbouring runs, so their number depends on CAPACITY alone, and it is checked.
+   as partitions plus lengths. Pieces of one length are interchangeable, and so are gaps of one size, so both are
+   kept as runs: of pieces (length, first rank, count) and of gaps (size, first sequence, count).
+3. Supersteps. Runs are dealt by ranges of sizes: the pieces of over half, a quarter, an eighth ... of the capacity. All
+   ranges sweep at once, each on its executor: in order of rank, longest pieces first, each run of pieces looks up its
+   successor, the smallest gap that holds it, and a gap takes as many equal pieces as it holds. The gaps are updated; those
+   that no piece of the range fits any more go to the range of their size or the next lower one for the next superstep.
+   In superstep k range k opens sequences for what is left, as all gaps of the longer pieces have come down to it. What
+   a sweep decides is a record: pieces from rank a on go k at a time to sequences [s, s + n) at an offset.
+4. Each piece finds its record by binary search on (length, rank). The records are broadcast. Their number is bounded by
+   CAPACITY alone: a length ends within at most two runs of gaps, so there are at most 8 x CAPACITY runs of gaps, and a
+   run that is filled leaves gaps of less than half its size, so it gives at most log2(CAPACITY) records.
 """
 
 from __future__ import annotations
@@ -19,24 +22,26 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from helixmill.llm.common import forget, prepare, written
 
 CAPACITY, END_ID = 2048, 0
-#: The most records that are broadcast; beyond it the run stops with an error rather than dropping any.
-MAX_RECORDS = 4_000_000
 #: Pre-tokens whose ids a worker keeps.
 CACHE = 500_000
+#: Tasks of a superstep; what they hold is bounded by the capacity.
+TASKS = 4
 #: Text in which the split pattern of ByteLevel means the same to any engine: up to Latin Extended-B, no odd blanks.
 _ODD = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024f]")
 _LETTER, _NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_SPLIT = re.compile(rf" ?[{_LETTER}]+| ?[{_NUMBER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -100,63 +105,93 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Records (length, first rank, n, first sequence, offset) for so many pieces of each length.
-
-    Lengths are taken in bands (half to whole, a quarter to half, ... of the capacity): the longest pieces leave
-    the gaps that shorter ones fill, and within a band all runs of pieces sweep at once."""
-    left, rank = dict(counts), dict.fromkeys(counts, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # free -> runs of sequences (first, n)
-    records, sequences = [], 0
-
-    def put(length: int, first: int, n: int, free: int, new: dict) -> None:
-        records.append((length, rank[length], n, first, capacity - free))
-        rank[length] += n
-        left[length] -= n
-        if free > length:
-            new.setdefault(free - length, []).append((first, n))
-
-    high = capacity
-    while high >= 1:
-        low = high // 2
-        band = sorted((x for x in left if low < x <= high and left[x]), reverse=True)
-        while any(left[x] for x in band):
-            while True:  # sweeps
-                sizes = sorted(gaps)
-                new: dict[int, list[tuple[int, int]]] = {}
-                moved = False
-                for x in band:  # longest first: its rank decides where runs meet on a gap
-                    at = bisect_left(sizes, x)
-                    while left[x] and at < len(sizes):
-                        runs = gaps.get(sizes[at])
-                        if not runs:
-                            at += 1
-                            continue
-                        first, n = runs.pop()
-                        take = min(n, left[x])
-                        if take < n:
-                            runs.append((first + take, n - take))
-                        put(x, first, take, sizes[at], new)
-                        moved = True
-                gaps = {g: r for g, r in gaps.items() if r}
-                for g, runs in new.items():
-                    gaps.setdefault(g, []).extend(runs)
-                if not moved:
+def band(size: int, capacity: int = CAPACITY) -> int:
+    """The range of a size: 0 for over half of the capacity, 1 for over a quarter, and so on."""
+    k = 0
+    while size <= capacity >> (k + 1):
+        k += 1
+    return k
+
+
+def sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, opens_at: int | None = None) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """One sweep over runs of pieces (length, first rank, count), longest first, each into its successor, the smallest gap that holds
+    it, and runs of gaps (size, first sequence, count). With opens_at sequences from that number on are opened for what has
+    no gap. Records (length, rank, n, k, first sequence, offset): k pieces each; runs of pieces and of gaps that are left."""
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for size, first, n in gaps:
+        by_size.setdefault(size, []).append((first, n))
+    sizes = sorted(by_size)
+    records, left = [], []
+
+    def put_gap(size: int, first: int, n: int) -> None:
+        if size and n:
+            if size not in by_size:
+                by_size[size] = []
+                insort(sizes, size)
+            by_size[size].append((first, n))
+
+    for length, rank, count in sorted(pieces, reverse=True):
+        while count:
+            at = bisect_left(sizes, length)
+            if at == len(sizes):
+                if opens_at is None:
+                    left.append((length, rank, count))
                     break
-            # new sequences, for the longest that are left: as many as the rest needs at least
-            need = max(1, -(-sum(x * left[x] for x in band) // capacity))
-            for x in band:
-                n = min(left[x], need)
-                if n:
-                    new = {}
-                    put(x, sequences, n, capacity, new)
-                    sequences += n
-                    need -= n
-                    for g, runs in new.items():
-                        gaps.setdefault(g, []).extend(runs)
-                if not need:
-                    break
-        high = low
+                n = -(-count // (capacity // length))
+                put_gap(capacity, opens_at, n)
+                opens_at += n
+                continue
+            size = sizes[at]
+            first, n = by_size[size].pop()
+            if not by_size[size]:
+                del by_size[size], sizes[at]
+            k = size // length
+            full = min(n, count // k)
+            fill = [(full, k)] + ([(1, count % k)] if full < n and count % k and full == count // k else [])
+            for used, each in fill:
+                if used:
+                    records.append((length, rank, used, each, first, capacity - size))
+                    put_gap(size - each * length, first, used)
+                    rank, count, first, n = rank + used * each, count - used * each, first + used, n - used
+            put_gap(size, first, n)
+    return records, left, [(size, first, n) for size in sizes for first, n in by_size[size]]
+
+
+_STATE = "kind int, band int, size long, at long, n long, k long, sequence long, offset long"
+_PIECES, _GAPS, _RECORDS = 0, 1, 2
+
+
+def _superstep(rows: pd.DataFrame, step: int, bands: list[int], capacity: int) -> pd.DataFrame:
+    """One range of sizes in one superstep: state in, state and records out."""
+    own = int(rows["band"].iloc[0])
+    runs = {kind: list(zip(*(rows.loc[rows["kind"] == kind, c].tolist() for c in ("size", "at", "n")))) for kind in (_PIECES, _GAPS)}
+    records, left, gaps = sweep(runs[_PIECES], sorted(runs[_GAPS]), capacity, (step + 1) << 44 if own == step else None)
+    out = [(_RECORDS, own, length, rank, n, k, first, offset) for length, rank, n, k, first, offset in records]
+    out += [(_PIECES, own, length, rank, n, 0, 0, 0) for length, rank, n in left]
+    for size, first, n in gaps:
+        to = bisect_left(bands, max(own + 1, band(size, capacity)))  # the next range that has pieces
+        if to < len(bands):
+            out.append((_GAPS, bands[to], size, first, n, 0, 0, 0))
+    return pd.DataFrame(out, columns=["kind", "band", "size", "at", "n", "k", "sequence", "offset"])
+
+
+def plan(spark, counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Records (length, first rank, n, k, first sequence, offset) for so many pieces of each length. Between supersteps the driver
+    holds the runs, whose number is bounded by the capacity; it looks at none of them."""
+    bands = sorted({band(x, capacity) for x in counts})
+    if not bands:
+        return []
+    state = spark.createDataFrame([(_PIECES, band(x, capacity), x, 0, n, 0, 0, 0) for x, n in sorted(counts.items())], _STATE)
+    records = []
+
+    def at(step: int):
+        return lambda rows: _superstep(rows, step, bands, capacity)
+
+    for step in bands:
+        made = state.repartition(min(len(bands), TASKS), "band").groupBy("band").applyInPandas(at(step), _STATE).toArrow()
+        found = pc.equal(made["kind"], _RECORDS)
+        records += list(zip(*(made.filter(found)[c].to_pylist() for c in ("size", "at", "n", "k", "sequence", "offset"))))
+        state = spark.createDataFrame(made.filter(pc.invert(found)), _STATE)
     return records
 
 
@@ -187,13 +222,10 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in sorted(counts, key=lambda r: (r.length, r.part)):
         base[r.length, r.part] = total.get(r.length, 0)
         total[r.length] = base[r.length, r.part] + r.n
-    records = plan(total, capacity)
-    if len(records) > MAX_RECORDS:
-        raise ValueError(f"{len(records)} packing records; {MAX_RECORDS} is the bound for a broadcast")
     grouped: dict[int, list] = {}
-    for x, *rest in records:
+    for x, *rest in plan(spark, total, capacity):
         grouped.setdefault(x, []).append(rest)
-    by_length = {x: np.array(rows, dtype=np.int64) for x, rows in grouped.items()}  # ranks ascend as they were given out
+    by_length = {x: np.array(sorted(rows), dtype=np.int64) for x, rows in grouped.items()}
     shared = spark.sparkContext.broadcast((by_length, base))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +237,9 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 i = np.flatnonzero(length == x)
                 rows = by_length[int(x)]
                 full = rank[i] + np.array([base[int(x), int(p)] for p in part[i]], dtype=np.int64)
-                k = np.searchsorted(rows[:, 0], full, "right") - 1
-                sequence[i], offset[i] = rows[k, 2] + full - rows[k, 0], rows[k, 3]
+                own = rows[np.searchsorted(rows[:, 0], full, "right") - 1]
+                turn, place = np.divmod(full - own[:, 0], own[:, 2])
+                sequence[i], offset[i] = own[:, 3] + turn, own[:, 4] + place * int(x)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     return placed.mapInArrow(final, f"{kinds}, sequence_id long, offset long")

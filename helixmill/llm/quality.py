@@ -97,13 +97,16 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns; text without its failing lines (a text whose lines all
-    pass stays as it is, blank lines too), and n_chars, where there is one, its new length."""
-    # the random column keeps the filter above what it reads: pushed below, it would measure each text twice
-    d = measured(docs).withColumn("__z", F.rand(0)).where("__q.kept and __z >= 0")
+    """The documents that are kept, with all their columns, whatever their names; text without its failing lines (a text whose
+    lines all pass stays as it is, blank lines too), and n_chars, where there is one, its new length. A null text has too
+    few words; a null doc_id makes no difference; equal rows stay; an empty table stays empty."""
+    own = {c: "text" if c == "text" else f"__c{i}" for i, c in enumerate(docs.columns)}
+    d = measured(docs.select(*(F.col(f"`{c}`").alias(name) for c, name in own.items())))
+    # a generator keeps the filter above what it reads: a plain one, pushed below, would measure each text twice
+    d = d.select(*own.values(), F.explode(F.filter(F.array("__q"), lambda q: q["kept"])).alias("__q"))
     same = F.length(F.translate("__q.text", _BLANKS + " ", "")) == F.col("__q.word_chars")
     new = F.when(same, F.col("text")).otherwise(F.col("__q.text"))
-    return d.select(*(new.alias("text") if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return d.select(*(new.alias(c) if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(name).alias(c) for c, name in own.items()))
 
 
 _ORACLE_WORDS = "list_filter(string_split(translate(coalesce({0}, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> '')"

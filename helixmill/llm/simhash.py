@@ -26,8 +26,9 @@ from helixmill.llm.common import prepare, written
 from helixmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: (shift, bits, radius): three segments while their keys are not crowded by chance, two of 32 bits beyond.
-FEW, MANY, MANY_FROM = ((0, 21, 1), (21, 21, 1), (42, 22, 0)), ((0, 32, 2), (32, 32, 1)), 1 << 23
+#: (shift, bits, radius): three segments, of 45 lookups a fingerprint, while a key has few fingerprints by chance (32 at the
+#: bound); two of 32 bits, of 562 lookups, beyond. Both are exact.
+FEW, MANY, MANY_FROM = ((0, 21, 1), (21, 21, 1), (42, 22, 0)), ((0, 32, 2), (32, 32, 1)), 1 << 26
 CROWD = 400
 _BLOCK = 1 << 16
 

@@ -6,10 +6,12 @@ A byte goes if it is covered by a string of SPAN bytes that also starts in a doc
    have equal minimizers. Stretches of windows with one minimizer are runs; a run's tag is 32 bits of the hash.
 2. Tags go to buckets by hash, as compact blobs, and a bucket finds the tags that occur in several documents. What a
    batch has twice itself is known to be shared there and then, and reaches the bucket as one marker with a count, so
-   a tag of a third of all documents is one row a batch.
+   a tag of a third of all documents is one row a batch. Where there are more than FAN buckets, blobs go to FAN ranges of
+   buckets first and are cut up there by many at a time, so that they stay large and their number grows with the text.
 3. The runs of shared tags (most text has none) are cut from the texts, reduced to the first document of each distinct
-   string in the batch, and sent to shards by tag. Of a tag that more than HOT documents share, each window is sent
-   by its own hash instead, so that its many different surroundings spread over all shards.
+   string in the batch, and sent to shards by tag; what the others lose is decided and goes straight to their documents.
+   Of a tag that more than HOT documents share, each window is sent by its own hash instead, so that its many different
+   surroundings spread over all shards.
 4. A shard builds the suffix array of its strings by induced sorting and their permuted common prefixes; neighbours
    that share SPAN bytes are one group, and the group's smallest doc_id decides which windows go.
 5. The intervals return to their documents, and what they cover is removed.
@@ -29,13 +31,14 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from helixmill.llm.common import prepare, written
+from helixmill.llm.common import prepare, trim, trimmed, written
 from helixmill.llm.sais import permuted_lcp, suffix_array
 
 SPAN, GRAM = 50, 20
 #: Tags of a bucket and text bytes behind a shard, about; documents that make a tag hot; the most hot tags, most
-#: frequent first (they are broadcast, 4 bytes each).
-BUCKET_TAGS, SHARD_TEXT, HOT, MAX_HOT = 3_000_000, 6_000_000, 20_000, 500_000
+#: frequent first (they are broadcast, 4 bytes each); buckets that a batch deals to, and tags that are cut up at once
+#: where there are more.
+BUCKET_TAGS, SHARD_TEXT, HOT, MAX_HOT, FAN, HELD_TAGS = 1_000_000, 6_000_000, 20_000, 500_000, 512, 4_000_000
 #: Bytes that are hashed at once.
 BLOCK = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -160,33 +163,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
 
 
-def _tags(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 1. A blob for each bucket: the documents (id, hash, number of tags), their tags; markers (tag, documents);
-    and documents with tags that are known to be shared, which any bucket may pass on."""
+def _bucket(tag: np.ndarray, buckets: int) -> np.ndarray:
+    return ((_mixed(tag.astype(np.uint64) + np.uint64(55)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _tag_blobs(kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], marks: np.ndarray, marked: np.ndarray, buckets: int, per: int) -> pa.RecordBatch:
+    """A blob for each range of `per` buckets that gets anything. kinds, twice: documents (id, hash), and for each tag its
+    document, ascending, and the tag; the second time of tags that are known to be shared. marks: (tag, documents)."""
+    ranges = -(-buckets // per)
+    cut = [_split(_bucket(tag, buckets) // per, ranges) for _, _, _, tag in kinds]
+    mark_by, mark_at = _split(_bucket(marks, buckets) // per, ranges)
+    numbers, blobs = [], []
+    for r in range(ranges):
+        k, parts = mark_by[mark_at[r] : mark_at[r + 1]], []
+        for (ids, hashes, owner, tag), (by, at) in zip(kinds, cut):
+            mine = by[at[r] : at[r + 1]]  # in order of documents still
+            there, n = np.unique(owner[mine], return_counts=True)
+            parts += [ids[there], hashes[there], n.astype(np.uint32), tag[mine]]
+        if any(map(len, parts)) or len(k):
+            numbers.append(r)
+            blobs.append(_pack(*parts, marks[k].astype(np.uint32), marked[k].astype(np.uint32)))
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _tags(batches: Iterator[pa.RecordBatch], buckets: int, per: int) -> Iterator[pa.RecordBatch]:
+    """Step 1. For each range of buckets a blob: the documents (id, hash, number of tags), their tags; documents with tags that
+    are known to be shared, which any bucket may pass on; markers (tag, documents)."""
     for batch in batches:
         ids, hashes = (batch.column(k).to_numpy() for k in (0, 1))
         text, _, _, m = runs(*_bytes(batch.column(2)))
         if not len(m):
             continue
-        bucket, tag = ((m >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), m.astype(np.uint32)
         same = np.unique(ids, return_inverse=True)[1]
         whole, group, documents = _distinct_documents(m, same[text])
-        local = documents[group] > 1
-        by, at = _split(bucket, buckets)
-        marks, marked = whole[documents > 1], documents[documents > 1]
-        mark_by, mark_at = _split(((marks >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets)
-        out: list[tuple[int, bytes]] = []
-        for b in range(buckets):
-            mine = by[at[b] : at[b + 1]]
-            blobs = []
-            for part in (mine[~local[mine]], mine[local[mine]]):
-                t = text[part]
-                there, n = np.unique(t, return_counts=True)
-                o = np.argsort(t, kind="stable")
-                blobs += [ids[there], hashes[there], n.astype(np.uint32), tag[part][o]]
-            k = mark_by[mark_at[b] : mark_at[b + 1]]
-            out.append((b, _pack(*blobs, marks[k].astype(np.uint32), marked[k].astype(np.uint32))))
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
+        local, tag = documents[group] > 1, m.astype(np.uint32)
+        yield _tag_blobs([(ids, hashes, text[w], tag[w]) for w in (~local, local)], whole[documents > 1].astype(np.uint32), documents[documents > 1], buckets, per)
+
+
+def _tags_again(batches: Iterator[pa.RecordBatch], buckets: int, per: int) -> Iterator[pa.RecordBatch]:
+    """Blobs of ranges, those of a range together, to blobs of their buckets: HELD_TAGS of a range at a time."""
+
+    def out(parts: list) -> pa.RecordBatch:
+        ids, hashes, n, tags, ids2, hashes2, n2, tags2, marks, marked = (np.concatenate(x) for x in zip(*parts))
+        kinds = [(i, h, np.repeat(np.arange(len(i)), k.astype(np.int64)), t) for i, h, k, t in ((ids, hashes, n, tags), (ids2, hashes2, n2, tags2))]
+        return _tag_blobs(kinds, marks, marked, buckets, 1)
+
+    own, parts, size = None, [], 0
+    for batch in batches:
+        for r, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if parts and (r != own or size > HELD_TAGS):
+                yield out(parts)
+                parts, size = [], 0
+            own = r
+            parts.append(_unpack(blob, *_TAG_KINDS))
+            size += sum(len(parts[-1][k]) for k in (3, 7, 8))
+    if parts:
+        yield out(parts)
 
 
 _TAG_KINDS = ("<i8", "<i8", "<u4", "<u4", "<i8", "<i8", "<u4", "<u4", "<u4", "<u4")
@@ -194,11 +226,11 @@ _TAG_KINDS = ("<i8", "<i8", "<u4", "<u4", "<i8", "<i8", "<u4", "<u4", "<u4", "<u
 
 def _owned(ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, values: np.ndarray, width: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     """For each bucket of documents a blob: ids, hashes, numbers of values, values (`width` for each entry of owner, which
-    ascends). A document's bucket follows from its hash."""
+    ascends). A document's bucket follows from its id and hash, so copies spread."""
     first = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0))) if len(owner) else np.zeros(0, np.int64)
     docs = owner[first]
     n = np.diff(np.append(first, len(owner)))
-    bucket = (hashes[docs].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    bucket = (_mixed(ids[docs].astype(np.uint64) ^ hashes[docs].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     by, at = _split(bucket, buckets)
     each = np.repeat(bucket, n)
     value_by, value_at = _split(each, buckets)
@@ -257,7 +289,7 @@ def _shared(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
 def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Step 3. Rows of doc_id, hash, text, tags (a list of blobs) to blobs for shards: strings (their lengths and bytes),
     and occurrences (doc_id, hash, place, string). Of equal strings in the batch, documents after the first lose all
-    windows; that is sent as occurrences of the string -1, of so many windows."""
+    windows; these spans need no shard: they go under -1 less their bucket of documents."""
     for batch in batches:
         batch = batch.filter(pc.is_valid(batch.column(3)))
         ids, hashes = (batch.column(k).to_numpy() for k in (0, 1))
@@ -285,7 +317,14 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
         of = np.array([number.setdefault(x, len(number)) for x in cut], np.int64)
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, of, ids[text])
-        gone = ids[text] > least[of]
+        gone = np.flatnonzero(ids[text] > least[of])
+        gone = gone[np.argsort(text[gone], kind="stable")]
+        if len(gone):
+            direct = list(_owned(ids, hashes, text[gone], np.stack([first[gone], first[gone] + n_windows[gone] + SPAN - 1], 1), 2, shards))
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - b for b, _ in direct], pa.int32()), pa.array([x for _, x in direct], pa.binary())], ["shard", "blob"])
+        stays = np.ones(len(text), bool)
+        stays[gone] = False
+        text, first, of, shard = text[stays], first[stays], of[stays], shard[stays]
         distinct = list(number)
         string_shard = np.zeros(len(distinct), np.int64)
         string_shard[of] = shard.astype(np.int64)
@@ -298,7 +337,7 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
             if not len(mine):
                 continue
             here = {x: i for i, x in enumerate(mine.tolist())}
-            local = np.where(gone[occ], -n_windows[occ], [here[x] for x in of[occ].tolist()])
+            local = np.array([here[x] for x in of[occ].tolist()])
             texts = [distinct[x] for x in mine.tolist()]
             docs, which = np.unique(text[occ], return_inverse=True)
             blob = _squeezed(_pack(np.fromiter(map(len, texts), np.uint32, len(texts)), np.frombuffer(b"".join(texts), np.uint8), ids[docs], hashes[docs], which.astype(np.uint16), first[occ].astype(np.uint32), local.astype(np.int32)))
@@ -309,9 +348,12 @@ _STRING_KINDS = ("<u4", "u1", "<i8", "<i8", "<u2", "<u4", "<i4")
 
 
 def _removed(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Step 4, one shard: blobs of documents' spans, pairs of the first byte and the end of what goes."""
+    """Step 4, one shard: blobs of documents' spans, pairs of the first byte and the end of what goes. What is under a negative
+    number is such blobs already."""
+    if rows["shard"].iloc[0] < 0:
+        return pd.DataFrame({"bucket": -1 - rows["shard"], "blob": rows["blob"]})
     number: dict[bytes, int] = {}
-    ids, hashes, place, string, gone_windows = [], [], [], [], []
+    ids, hashes, place, string = [], [], [], []
     for blob in rows["blob"]:
         lengths, data, doc_ids, doc_hashes, which, first, local = _unpack(zstandard.ZstdDecompressor().decompress(blob), *_STRING_KINDS)
         raw, ends = data.tobytes(), np.cumsum(lengths.astype(np.int64)).tolist()
@@ -319,14 +361,12 @@ def _removed(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
         ids.append(doc_ids[which])
         hashes.append(doc_hashes[which])
         place.append(first.astype(np.int64))
-        string.append(np.where(local >= 0, mine[np.maximum(local, 0)], -1))
-        gone_windows.append(np.where(local < 0, -local, 0).astype(np.int64))
-    doc, key, place, string, gone_windows = (np.concatenate(x) for x in (ids, hashes, place, string, gone_windows))
-    known = string >= 0
+        string.append(mine[local])
+    doc, key, place, string = (np.concatenate(x) for x in (ids, hashes, place, string))
     strings = list(number)
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     least = np.full(len(strings), np.iinfo(np.int64).max)
-    np.minimum.at(least, string[known], doc[known])
+    np.minimum.at(least, string, doc)
     # strings end to end: bytes are 2 to 257, 1 ends a string, 0 the whole
     joined = np.frombuffer(b"\0".join(strings) + b"\0\0", np.uint8).astype(np.int32) + 2
     ends = np.cumsum(sizes + 1) - 1
@@ -344,11 +384,10 @@ def _removed(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     first_doc = np.zeros(len(joined), np.int64)
     first_doc[order] = np.repeat(group_least, np.diff(np.append(new, len(order))))
     # each occurrence's windows, in order of document and place
-    n = np.where(known, sizes[np.maximum(string, 0)] - SPAN + 1, gone_windows)
-    base = np.where(known, ends[np.maximum(string, 0)] - sizes[np.maximum(string, 0)], 0)
+    n, base = sizes[string] - SPAN + 1, ends[string] - sizes[string]
     which = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    goes = ~known[which] | (first_doc[base[which] + step] < doc[which])
+    goes = first_doc[base[which] + step] < doc[which]
     which, step = which[goes], step[goes]
     doc, key, at = doc[which], key[which], place[which] + step
     by = np.lexsort((at, key, doc))
@@ -364,6 +403,13 @@ def _removed(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     return pd.DataFrame({"bucket": pd.array([b for b, _ in out], "Int32"), "blob": [x for _, x in out]})
 
 
+def _freeing(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """_shared(); what it took is given back before the next bucket comes."""
+    out = _shared(rows, buckets)
+    trim()
+    return out
+
+
 def intervals(docs: DataFrame) -> DataFrame:
     """docs' doc_id, hash, text and spans: a blob of (first byte, end) pairs that go, in no order, overlapping maybe; null
     where nothing goes."""
@@ -373,15 +419,20 @@ def intervals(docs: DataFrame) -> DataFrame:
     usable = keyed.where(f"doc_id is not null and octet_length(text) >= {SPAN}")
     total = docs.where(f"doc_id is not null and octet_length(text) >= {SPAN}").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(8, -(-total * 2 // (SPAN - GRAM + 2) // BUCKET_TAGS)), max(8, -(-total // SHARD_TEXT))
-    entries = usable.mapInArrow(lambda it: _tags(it, buckets), "bucket int, blob binary")
-    shared = written(entries.groupBy("bucket").applyInPandas(lambda rows: _shared(rows, shards), "bucket int, tag long, documents long, blob binary"), "shared-tags")
+    per = -(-buckets // FAN)  # buckets of a range
+    entries = usable.mapInArrow(lambda it: trimmed(_tags(it, buckets, per)), "bucket int, blob binary")
+    if per > 1:  # a range is dealt to several tasks, each of which gets stretches of it
+        salted = entries.withColumn("salt", F.pmod(F.xxhash64("blob"), F.lit(-(-total // (1 << 26)) // FAN + 1)))
+        again = salted.repartition(max(FAN, total >> 26), "bucket", "salt").sortWithinPartitions("bucket").select("bucket", "blob")
+        entries = again.mapInArrow(lambda it: trimmed(_tags_again(it, buckets, per)), "bucket int, blob binary")
+    shared = written(entries.groupBy("bucket").applyInPandas(lambda rows: _freeing(rows, shards), "bucket int, tag long, documents long, blob binary"), "shared-tags")
     hot = shared.where("bucket is null").groupBy("tag").agg(F.sum("documents").alias("n")).orderBy(F.desc("n"), "tag").limit(MAX_HOT).collect()
     hot_tags = spark.sparkContext.broadcast(np.sort(np.array([r.tag for r in hot], np.int64)))
     found = "doc_id long, hash long, found binary"
     tags = shared.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInPandas(_gathered, found)
     # a left join like the last one, so that one exchange of the texts serves both
     text = keyed.join(tags.hint("shuffle_hash"), ["doc_id", "hash"], "left").select("doc_id", "hash", "text", "found")
-    strings = text.mapInArrow(lambda it: _strings(it, shards, hot_tags.value), "shard int, blob binary")
+    strings = text.mapInArrow(lambda it: trimmed(_strings(it, shards, hot_tags.value)), "shard int, blob binary")
     spans = strings.groupBy("shard").applyInPandas(lambda rows: _removed(rows, shards), "bucket int, blob binary")
     spans = spans.groupBy("bucket").applyInPandas(_gathered, found).withColumnRenamed("found", "spans")
     return keyed.join(spans.hint("shuffle_hash"), ["doc_id", "hash"], "left").select("doc_id", "hash", "text", "spans")

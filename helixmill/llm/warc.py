@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from helixmill.llm.common import new_path, prepare
+from helixmill.llm.common import new_path, passing, prepare
 
 DICTIONARY_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 #: The dictionary is trained on the first records of each archive: so many records and bytes at most.
@@ -235,6 +235,8 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     listed = write_archives(pages, folder, min_bytes).collect()  # a row for each archive
-    if not listed:
+    if listed:
+        passing(spark, folder)
+    else:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
     return read_archives(spark, [r.path for r in listed])

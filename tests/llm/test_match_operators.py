@@ -271,10 +271,11 @@ def repeated_texts():
     return texts
 
 
-@pytest.mark.parametrize("hot, block", [(20_000, 1 << 20), (2, 1 << 20), (20_000, 128)])
-def test_suffix_removal(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize("hot, block, fan", [(20_000, 1 << 20, 512), (2, 1 << 20, 512), (20_000, 128, 512), (20_000, 1 << 20, 3)])
+def test_suffix_removal(spark, monkeypatch, hot, block, fan):
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "BLOCK", block)
+    monkeypatch.setattr(suffix, "FAN", fan)  # 8 buckets in 3 ranges: tags are dealt twice
     texts = repeated_texts()
     rows = list(enumerate(texts)) + [(15, texts[15]), (15, texts[0])]  # repeated ids, equal and not
     df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows] + [(None, texts[1], "en", "s", 0)], DOCS).withColumn("hash", F.lit(1)).repartition(5)
@@ -379,6 +380,30 @@ def test_warc_reader_validates():
             list(warc.read_archive(data))
 
 
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_with_nulls_and_clashing_columns(spark):
+    import corpus_pipeline
+    from helixmill.llm.common import written
+
+    rng = random.Random(31)
+    texts = ["\n".join(words(rng, 14) + "." for _ in range(8)) for _ in range(30)]
+    df = docs(spark, [*texts, texts[0], None, ""]).union(spark.createDataFrame([(None, texts[1], None, None, None), (None, None, None, None, None), (4, texts[4], "en", "s", 0)], DOCS))
+    for c in ("id", "root", "hash", "lang_pred", "score", "spans", "length"):
+        df = df.withColumn(c, F.lit("clash"))
+    columns = df.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = written(stage(spark, df, ""), "test")
+        assert df.columns == columns and df.where("length <> 'clash'").isEmpty(), name
+    assert 25 <= df.where("doc_id is not null").select("doc_id").distinct().count() == df.where("doc_id is not null").count()
+    assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() >= df.count()
+
+
 def test_pipeline_on_the_smallest_table(spark):
     import corpus_pipeline
     from helixmill.llm.common import written
