@@ -146,10 +146,12 @@ def _sorted_set(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
-def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts by key (below n), and where each key's part begins in it."""
+def _split(key: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts by key, and where the part of each of `keys` begins and ends in it. Keys that don't occur cost
+    nothing, so what a batch does doesn't grow with the number of buckets or shards."""
     by = np.argsort(key, kind="stable")
-    return by, np.searchsorted(key[by], np.arange(n + 1))
+    ordered = key[by]
+    return by, np.searchsorted(ordered, keys), np.searchsorted(ordered, keys, "right")
 
 
 def _distinct_documents(tag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,19 +172,17 @@ def _bucket(tag: np.ndarray, buckets: int) -> np.ndarray:
 def _tag_blobs(kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], marks: np.ndarray, marked: np.ndarray, buckets: int, per: int) -> pa.RecordBatch:
     """A blob for each range of `per` buckets that gets anything. kinds, twice: documents (id, hash), and for each tag its
     document, ascending, and the tag; the second time of tags that are known to be shared. marks: (tag, documents)."""
-    ranges = -(-buckets // per)
-    cut = [_split(_bucket(tag, buckets) // per, ranges) for _, _, _, tag in kinds]
-    mark_by, mark_at = _split(_bucket(marks, buckets) // per, ranges)
-    numbers, blobs = [], []
-    for r in range(ranges):
-        k, parts = mark_by[mark_at[r] : mark_at[r + 1]], []
-        for (ids, hashes, owner, tag), (by, at) in zip(kinds, cut):
-            mine = by[at[r] : at[r + 1]]  # in order of documents still
+    keys = [_bucket(tag, buckets) // per for tag in (*(tag for _, _, _, tag in kinds), marks)]
+    there_are = np.unique(np.concatenate(keys))
+    *cut, (mark_by, mark_start, mark_stop) = (_split(key, there_are) for key in keys)
+    numbers, blobs = there_are.tolist(), []
+    for r in range(len(numbers)):
+        k, parts = mark_by[mark_start[r] : mark_stop[r]], []
+        for (ids, hashes, owner, tag), (by, start, stop) in zip(kinds, cut):
+            mine = by[start[r] : stop[r]]  # in order of documents still
             there, n = np.unique(owner[mine], return_counts=True)
             parts += [ids[there], hashes[there], n.astype(np.uint32), tag[mine]]
-        if any(map(len, parts)) or len(k):
-            numbers.append(r)
-            blobs.append(_pack(*parts, marks[k].astype(np.uint32), marked[k].astype(np.uint32)))
+        blobs.append(_pack(*parts, marks[k].astype(np.uint32), marked[k].astype(np.uint32)))
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
@@ -231,12 +231,12 @@ def _owned(ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, values: np.nd
     docs = owner[first]
     n = np.diff(np.append(first, len(owner)))
     bucket = (_mixed(ids[docs].astype(np.uint64) ^ hashes[docs].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    by, at = _split(bucket, buckets)
-    each = np.repeat(bucket, n)
-    value_by, value_at = _split(each, buckets)
-    for b in np.unique(bucket).tolist():
-        k = by[at[b] : at[b + 1]]
-        yield b, _pack(ids[docs[k]], hashes[docs[k]], (n[k] * width).astype(np.uint32), values[value_by[value_at[b] : value_at[b + 1]]].astype(np.uint32))
+    there = np.unique(bucket)
+    by, start, stop = _split(bucket, there)
+    value_by, value_start, value_stop = _split(np.repeat(bucket, n), there)
+    for i, b in enumerate(there.tolist()):
+        k = by[start[i] : stop[i]]
+        yield b, _pack(ids[docs[k]], hashes[docs[k]], (n[k] * width).astype(np.uint32), values[value_by[value_start[i] : value_stop[i]]].astype(np.uint32))
 
 
 _OWNED_KINDS = ("<i8", "<i8", "<u4", "<u4")
@@ -330,12 +330,11 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
         string_shard[of] = shard.astype(np.int64)
         for i in np.flatnonzero(string_shard == shards).tolist():  # a hot window, by itself
             string_shard[i] = int.from_bytes(hashlib.blake2b(distinct[i], digest_size=6).digest()) % shards
-        by, at = _split(string_shard, shards)
-        occ_by, occ_at = _split(string_shard[of], shards)
-        for s in range(shards):
-            mine, occ = by[at[s] : at[s + 1]], occ_by[occ_at[s] : occ_at[s + 1]]
-            if not len(mine):
-                continue
+        there = np.unique(string_shard)
+        by, start, stop = _split(string_shard, there)
+        occ_by, occ_start, occ_stop = _split(string_shard[of], there)
+        for i, s in enumerate(there.tolist()):
+            mine, occ = by[start[i] : stop[i]], occ_by[occ_start[i] : occ_stop[i]]
             here = {x: i for i, x in enumerate(mine.tolist())}
             local = np.array([here[x] for x in of[occ].tolist()])
             texts = [distinct[x] for x in mine.tolist()]
