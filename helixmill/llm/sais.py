@@ -35,18 +35,25 @@ def suffix_array(t: np.ndarray, sigma: int, ends: bool = False) -> np.ndarray:
     new = _differs(t, lms, by)
     if ends:
         new |= t[by] == 1
-    name = np.empty(n, np.int64)
-    name[by] = np.cumsum(new) - 1
     if not new.all():
-        by = lms[_by_name(name[lms])]
+        number = np.empty(n, np.int32 if n >> 31 == 0 else np.int64)
+        number[lms] = np.arange(len(lms))
+        by = lms[_by_name(number[by], new)]
     return _by_bucket(t, s, by, sigma)
 
 
-def _by_name(name: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names, whose last one occurs once and is the smallest."""
-    m = len(name)
-    by = np.argsort(name, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(name[by]) != 0)))
+def _words(t: np.ndarray) -> tuple[np.ndarray, int]:
+    """The symbols from each place on as one word, the first of them lowest, and how many there are in a word."""
+    width = 8 // t.itemsize
+    padded = np.concatenate([t, np.zeros(width - 1, t.dtype)])
+    return np.ndarray((len(t),), "<u8", padded, 0, (t.itemsize,)), width
+
+
+def _by_name(by: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names, whose last one occurs once and is the smallest. by: the places in order
+    of their names, those of one name in any order; new: whether the name differs from the one before."""
+    m = len(by)
+    first = np.flatnonzero(new)
     size = np.diff(np.append(first, m))
     rank = np.empty(m, np.int64)
     rank[by] = np.repeat(first, size)
@@ -72,35 +79,35 @@ def _by_name(name: np.ndarray) -> np.ndarray:
 def classify(t: np.ndarray) -> np.ndarray:
     """True for S suffixes."""
     n = len(t)
-    step = np.sign(np.diff(t.astype(np.int64)))
-    at = np.where(step != 0, np.arange(n - 1), n - 2)
+    place = np.arange(n - 1)
+    at = np.where(t[1:] != t[:-1], place, n - 2)
     at = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ
-    return np.append(step[at] > 0, True)
+    return np.append((t[1:] > t[:-1])[at], True)
 
 
 def _differs(t: np.ndarray, lms: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Whether each LMS substring, in order, differs from the one before it."""
-    length = np.ones(len(t), np.int64)
+    length = np.ones(len(t), np.int32 if len(t) >> 31 == 0 else np.int64)
     length[lms[:-1]] = np.diff(lms) + 1
+    words, width = _words(t)
+    low = np.array([(1 << 64 // width * k) - 1 for k in range(width + 1)], np.uint64)
     out = np.ones(len(by), bool)
-    i = np.flatnonzero(length[by[1:]] == length[by[:-1]])
-    a, b, left = by[i], by[i + 1], length[by[i]]
-    k = 0
+    long = length[by]
+    i = np.flatnonzero(long[1:] == long[:-1])
+    a, b, left = by[i], by[i + 1], long[i]
     while len(i):
-        same = t[a + k] == t[b + k]
-        k += 1
-        done = same & (left <= k)
-        out[i[done] + 1] = False
-        go = same & ~done
-        i, a, b, left = i[go], a[go], b[go], left[go]
+        same = (words[a] ^ words[b]) & low[np.minimum(left, width)] == 0
+        go = left > width
+        out[i[same & ~go] + 1] = False
+        go &= same
+        i, a, b, left = i[go], a[go] + width, b[go] + width, left[go] - width
     return out
 
 
 def _by_bucket(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     n = len(t)
-    kind = np.uint8 if sigma <= 256 else np.uint16
-    t = t.astype(kind)
     count = np.bincount(t, minlength=sigma)
+    both = t.astype(np.uint8 if sigma <= 128 else np.uint16) * 2 + s  # symbol and class, read at once
     end = np.cumsum(count)
     start = end - count
     sa = np.full(n, -1, np.int64 if n >> 31 else np.int32)
@@ -111,10 +118,9 @@ def _by_bucket(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     head, tail = start.copy(), end.copy()
     symbols = np.flatnonzero(count).tolist()
 
-    def put(q: np.ndarray, up: bool) -> None:
+    def put(q: np.ndarray, c: np.ndarray, up: bool) -> None:
         if len(q) <= 6:
-            for x in q.tolist():
-                c = t[x]
+            for x, c in zip(q.tolist(), c.tolist()):
                 if up:
                     sa[head[c]] = x
                     head[c] += 1
@@ -122,38 +128,38 @@ def _by_bucket(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.
                     tail[c] -= 1
                     sa[tail[c]] = x
             return
-        c = t[q]
         by = np.argsort(c, kind="stable")
-        c = c[by]
         n_of = np.bincount(c, minlength=sigma)
-        rank = np.arange(len(c)) - (np.cumsum(n_of) - n_of)[c]
+        before = np.cumsum(n_of) - n_of
         if up:
-            sa[head[c] + rank] = q[by]
+            sa[np.repeat(head - before, n_of) + np.arange(len(q))] = q[by]
             head[:] += n_of
         else:
-            sa[tail[c] - 1 - rank] = q[by]
+            sa[np.repeat(tail - 1 + before, n_of) - np.arange(len(q))] = q[by]
             tail[:] -= n_of
 
-    def before(p: np.ndarray, small: bool) -> np.ndarray:
+    def before(p: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
         q = p[p > 0] - 1
-        return q[s[q] == small]
+        c = both[q]
+        own = (c & 1) == small
+        return q[own], c[own] >> 1
 
     for c in symbols:
         at = start[c]
         while head[c] > at:
             p = sa[at : head[c]]
             at = int(head[c])
-            put(before(p, False), True)
+            put(*before(p, False), True)
         if many[c]:
-            put(before(sa[end[c] - many[c] : end[c]], False), True)
+            put(*before(sa[end[c] - many[c] : end[c]], False), True)
     for c in reversed(symbols):
         at = end[c]
         while tail[c] < at:
             p = sa[tail[c] : at][::-1]
             at = int(tail[c])
-            put(before(p, True), False)
+            put(*before(p, True), False)
         if head[c] > start[c]:
-            put(before(sa[start[c] : head[c]][::-1], True), False)
+            put(*before(sa[start[c] : head[c]][::-1], True), False)
     if sa[0] < 0:
         sa[0] = n - 1  # the end's own bucket
     return sa
@@ -166,31 +172,22 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, wanted: np.ndarray | None = None
     n = len(t)
     previous = np.full(n, -1, sa.dtype)
     previous[sa[1:]] = sa[:-1]
-    place = np.arange(n)
     own = np.ones(n, bool)
-    inner = (place > 0) & (previous > 0)
-    own[inner] = t[place[inner] - 1] != t[previous[inner] - 1]
-    shared = np.zeros(n, np.int64)
+    own[1:] = (previous[1:] <= 0) | (t[:-1] != t[previous[1:] - 1])
+    shared = np.zeros(n, sa.dtype)
     if wanted is None:
         i = np.flatnonzero(own & (previous >= 0))
     else:
         own[1:] |= wanted[1:] & ~wanted[:-1]
         i = np.flatnonzero(own & wanted & (previous >= 0))
-    padded = np.concatenate([t.astype(np.uint16), np.arange(4, dtype=np.uint16)])
-    words = np.ndarray((len(padded) - 3,), np.uint64, padded, 0, (2,))  # four symbols from each place on
+    words, width = _words(t)
     a, b, k = i, previous[i], 0
-    while len(i):
-        top = np.minimum(n - 1, np.maximum(a, b) + k)
-        same = (words[np.minimum(a + k, n - 1)] == words[np.minimum(b + k, n - 1)]) & (top < n - 4)
-        stop = ~same
-        j, x, y = i[stop], a[stop] + k, b[stop] + k
-        extra = np.zeros(len(j), np.int64)
-        go = np.ones(len(j), bool)
-        for step in range(5):  # the last 0 occurs once, so it ends every comparison
-            u, v = np.minimum(x + step, n - 1), np.minimum(y + step, n - 1)
-            go &= (t[u] == t[v]) & (u != v)
-            extra += go
-        shared[j] = k + extra
-        i, a, b, k = i[same], a[same], b[same], k + 4
+    while len(i):  # the last 0 occurs once, so it ends every comparison
+        other = words[a] ^ words[b]
+        go = other == 0
+        bits = other[~go]
+        shared[i[~go]] = k + np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(sa.dtype) // (64 // width)
+        i, a, b, k = i[go], a[go] + width, b[go] + width, k + width
+    place = np.arange(n, dtype=sa.dtype)
     last = np.maximum.accumulate(np.where(own, place, 0))
     return np.maximum(shared[last] - (place - last), 0)

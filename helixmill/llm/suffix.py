@@ -271,17 +271,20 @@ def _shared(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     new_doc[1:] = (tag[1:] != tag[:-1]) | (same[row[1:]] != same[row[:-1]])
     distinct = tag[first]
     documents = np.add.reduceat(new_doc, first) if len(first) else np.zeros(0, np.int64)
-    known, weight = np.unique(marks).astype(np.int64), np.zeros(0, np.int64)
+    known, weight, twice = _sorted_set(marks).astype(np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     if len(known):
         weight = np.bincount(np.searchsorted(known, marks), marked, len(known)).astype(np.int64)
         at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-        documents = documents + np.where(known[at] == distinct, weight[at], 0)
+        in_both = known[at] == distinct
+        documents = documents + np.where(in_both, weight[at], 0)
+        twice = np.zeros(len(known), bool)
+        twice[at[in_both]] = True
     keep = np.repeat(documents > 1, np.diff(np.append(first, len(tag))))
     by_row = np.sort(row[keep] << 32 | tag[keep])
     out = list(_owned(ids, hashes, by_row >> 32, by_row & 0xFFFFFFFF, 1, buckets))
     out += _owned(ids2, hashes2, np.repeat(np.arange(len(ids2)), n2.astype(np.int64)), tags2, 1, buckets)
     hot = list(zip(distinct[documents > HOT].tolist(), documents[documents > HOT].tolist()))
-    alone = ~np.isin(known, distinct) & (weight > HOT)
+    alone = ~twice & (weight > HOT)
     hot += zip(known[alone].tolist(), weight[alone].tolist())
     return pd.DataFrame({"bucket": pd.array([b for b, _ in out] + [None] * len(hot), "Int32"), "tag": pd.array([None] * len(out) + [t for t, _ in hot], "Int64"), "documents": pd.array([None] * len(out) + [d for _, d in hot], "Int64"), "blob": [x for _, x in out] + [None] * len(hot)})
 
@@ -332,11 +335,12 @@ def _strings(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) ->
             string_shard[i] = int.from_bytes(hashlib.blake2b(distinct[i], digest_size=6).digest()) % shards
         there = np.unique(string_shard)
         by, start, stop = _split(string_shard, there)
+        position = np.empty(len(by), np.int64)
+        position[by] = np.arange(len(by))
         occ_by, occ_start, occ_stop = _split(string_shard[of], there)
         for i, s in enumerate(there.tolist()):
             mine, occ = by[start[i] : stop[i]], occ_by[occ_start[i] : occ_stop[i]]
-            here = {x: i for i, x in enumerate(mine.tolist())}
-            local = np.array([here[x] for x in of[occ].tolist()])
+            local = position[of[occ]] - start[i]
             texts = [distinct[x] for x in mine.tolist()]
             docs, which = np.unique(text[occ], return_inverse=True)
             blob = _squeezed(_pack(np.fromiter(map(len, texts), np.uint32, len(texts)), np.frombuffer(b"".join(texts), np.uint8), ids[docs], hashes[docs], which.astype(np.uint16), first[occ].astype(np.uint32), local.astype(np.int32)))
@@ -366,11 +370,16 @@ def _removed(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     least = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(least, string, doc)
-    # strings end to end: bytes are 2 to 257, 1 ends a string, 0 the whole
-    joined = np.frombuffer(b"\0".join(strings) + b"\0\0", np.uint8).astype(np.int32) + 2
+    # strings end to end: the bytes that occur are 2 and more, in their order, 1 ends a string, 0 the whole
+    joined = np.frombuffer(b"\0".join(strings) + b"\0\0", np.uint8)
+    count = np.bincount(joined, minlength=256)
+    count[0] -= len(strings) + 1
+    symbol = np.cumsum(count > 0) + 1
+    sigma = int(symbol[-1]) + 1
+    joined = symbol.astype(np.uint8 if sigma <= 256 else np.uint16)[joined]
     ends = np.cumsum(sizes + 1) - 1
     joined[ends], joined[-1] = 1, 0
-    sa = suffix_array(joined, 258, ends=True)
+    sa = suffix_array(joined, sigma, ends=True)
     whole = np.zeros(len(joined), bool)  # places where a whole window starts
     whole[: ends[-1] + 1] = np.repeat(ends, sizes + 1) - np.arange(ends[-1] + 1) >= SPAN
     lcp = permuted_lcp(joined, sa, whole)
