@@ -1,14 +1,14 @@
-"""The queries op1 to op10 with production parameters, over whole tables, and their SQL where SQL can express them."""
+"""The queries op1 to op12 with production parameters, over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixmill.llm import ann, bpe, langid, packing, quality, simhash, suffix, urls, warc
+from helixmill.llm import ann, bpe, codes, langid, packing, pieces, quality, simhash, suffix, urls, warc
 from helixmill.llm.common import table
 
-RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+RANKS, TOKENIZER, PIECES = (public_tokenizers.path(f) for f in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +52,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op5_suffix_array, op6_token_counts, op7_language_id, op8_ann, op9_url_filters, op10_packing)}
-ORACLE = {"op2_quality": quality.ORACLE, "op9_url_filters": urls.ORACLE}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_warc, op4_simhash, op5_suffix_array, op6_token_counts, op7_language_id, op8_ann, op9_url_filters, op10_packing, op11_vector_codes, op12_sentencepiece)}
+ORACLE = {"op2_quality": quality.ORACLE, "op9_url_filters": urls.ORACLE, "op11_vector_codes": codes.ORACLE}
