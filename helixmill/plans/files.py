@@ -135,13 +135,22 @@ def chrom_sizes_scan(spark, d):
     return _lines(spark, _of_part(spark, d, value), "sizes", lambda p: genomic.chrom_sizes(spark, p))
 
 
-@query(f"with {_GENOME} select chrom, cast(c as bigint) as chunk, md5(substr(s, cast(c * 1000 + 1 as int), 1000)) as digest, length(substr(s, cast(c * 1000 + 1 as int), 1000)) as n from letters, (select unnest(range(0, 13)) as c)")
+#: Contigs of part's rows: 64 bases a row, half of them A, in the order of keys.
+_BASES = "translate(concat(md5(concat(cast(p_partkey as {0}), 'x')), md5(concat(cast(p_partkey as {0}), 'y'))), '0123456789abcdef', 'AACGTAATAGTAACTA')"
+_PART_LETTERS = f"letters as (select {_CHROM.format('varchar')} as chrom, string_agg({_BASES.format('varchar')}, '' order by p_partkey) as s from part group by 1)"
+
+
+def _fasta_of_part(spark, d) -> DataFrame:
+    """The lines of its FASTA file: a header before each contig's first row."""
+    p = _part(spark, d).selectExpr("p_partkey % 22 as contig", "p_partkey as line", f"{_BASES.format('string')} as value")
+    heads = p.select("contig").distinct().selectExpr("contig", "cast(-1 as bigint) as line", "concat('>chr', 1 + contig, ' of part') as value")
+    return heads.unionByName(p)
+
+
+@query(f"with {_PART_LETTERS} select chrom, c as chunk, md5(substr(s, cast(c * 1000 + 1 as int), 1000)) as digest, length(substr(s, cast(c * 1000 + 1 as int), 1000)) as n from (select *, unnest(range(0, (length(s) + 999) // 1000)) as c from letters)")
 def fasta_scan(spark, d):
-    """A genome of 22 contigs in lines of 32 bases, over several files, as chunks of 1,000 bases."""
-    lines = spark.range(1, 23).withColumnRenamed("id", "k").withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(399))))
-    bases = F.translate(F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col("i").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")
-    lines = lines.select("k", "i", F.when(F.col("i") < 0, F.concat(F.lit(">chr"), F.col("k").cast("string"), F.lit(" made up"))).otherwise(bases).alias("value"))
-    chunks = _lines(spark, lines, "fasta", lambda p: genomic.fasta_chunks(spark, p, 1000))
+    """Contigs of part's rows in lines of 64 bases, over several files, as chunks of 1,000 bases."""
+    chunks = _lines(spark, _fasta_of_part(spark, d), "fasta", lambda p: genomic.fasta_chunks(spark, p, 1000))
     return chunks.select("chrom", "chunk", F.md5("sequence").alias("digest"), F.length("sequence").cast("long").alias("n"))
 
 
@@ -254,13 +263,16 @@ def feature_table(spark, d):
 _PLACE = "cast(concat('0x', substr(md5(concat({0}, '|place')), 1, 13)) as bigint)"
 
 
-@query(f"""{_D}, pos as (select chrom, pos, strand, source from distinct_sites where source = 'R'), spans as (select distinct chrom, pos - 200 as s, pos + 201 as e from pos),
+@query(f"""{_D}, pos as (select chrom, pos, strand, source from distinct_sites where source = 'R'), spans as (select distinct chrom, greatest(pos - 200, 0) as s, pos + 201 as e from pos),
 f as (select *, case when s > max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end as is_new from spans),
 g as (select *, sum(is_new) over (partition by chrom order by s, e rows unbounded preceding) as k from f), merged as (select chrom, min(s) as s, max(e) as e from g group by chrom, k),
-tries as (select distinct chrom, pos, strand, n, attempt, 300000000 + cast(substr(chrom, 4) as bigint) as length, concat(chrom, ':', cast(pos as varchar), ':', strand, ':', cast(n as varchar), ':', cast(attempt as varchar), ':42') as k from pos, (select unnest(range(1, 3)) as n), (select unnest(range(0, 32)) as attempt) where chrom <> 'chr7'),
-drawn as (select *, {_PLACE.format('k')} % length as new from tries),
-fine as (select * from drawn c where not exists (select 1 from merged m where m.chrom = c.chrom and m.s <= c.new and c.new < m.e)),
-neg as (select chrom, strand, arg_min(new, attempt) as pos from fine group by chrom, pos, strand, n)
+sizes as (select 'chr' || cast(k as varchar) as chrom, 300000000 + k as length from range(1, 23) t(k) where k <> 7),
+edges as (select chrom, s, e from merged union all select chrom, length, length from sizes),
+runs as (select * from (select chrom, coalesce(max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding), 0) as a, s as b from edges) where a < b),
+summed as (select *, sum(b - a) over (partition by chrom order by a rows unbounded preceding) - (b - a) as before, sum(b - a) over (partition by chrom) as free from runs where chrom <> 'chr7'),
+todo as (select chrom, pos, strand, concat(chrom, ':', cast(pos as varchar), ':', strand, ':', cast(n as varchar), ':42') as k from pos, (select unnest(range(1, 3)) as n)),
+drawn as (select t.*, {_PLACE.format('k')} % cast(free as bigint) as r from todo t join (select distinct chrom, free from summed) using (chrom)),
+neg as (select d.chrom, d.strand, a + r - before as pos from drawn d asof join summed s on d.chrom = s.chrom and d.r >= s.before)
 select chrom, cast(pos as bigint) as pos, strand, 1 as label, source as source_id from pos union all select chrom, cast(pos as bigint), strand, 0, '' from neg""")
 def generated_neg(spark, d):
     """Positives from a Parquet table and two negatives for each, anywhere on chromosomes of over 2^28 bases; chr7 has no size."""
@@ -272,6 +284,38 @@ def generated_neg(spark, d):
     return out
 
 
+_SCREENED = f"""with {_PART_LETTERS}, sizes as (select chrom, length(s) as length from letters where chrom <> 'chr7'),
+points as (select concat('chr', cast(1 + p_partkey % 22 as varchar)) as chrom, (p_partkey * 13) % 4000 as pos, case p_partkey % 3 when 0 then '+' when 1 then '-' else '.' end as strand, p_name as name from part where p_size <= 2),
+mask as (select concat('chr', cast(1 + p_partkey % 22 as varchar)) as chrom, (p_partkey * 29) % 5000 as a, (p_partkey * 29) % 5000 + (p_size - 3) * 100 as b, concat('r', cast(p_partkey as varchar)) as region from part where p_size between 3 and 6 and p_partkey % 22 % 2 = 0),
+near as (select distinct chrom, unnest(range(pos - 50, pos + 51)) as p from points),
+bases as (select chrom, s, side, unnest(range(0, length(s))) as p from letters, (select unnest([false, true]) as side) where chrom <> 'chr7'),
+above as (select chrom, side, p, substr(s, cast(greatest(p - 40, 0) + 1 as int), cast(least(p, 40) as int)) as w from bases b where not exists (select 1 from near n where n.chrom = b.chrom and n.p = b.p)),
+free as (select chrom, side, p, row_number() over (partition by chrom, side order by p) - 1 as r from above where not regexp_matches(case when side then reverse(translate(w, 'ACGT', 'TGCA')) else w end, 'AATAAA|ATTAAA|AGTAAA')),
+totals as (select chrom, side, count(*) as free from free group by all),
+regions as (select m.chrom, f.side, a, b, region, min(f.r) as first, count(*) as n, greatest(1, count(*) * 1048576 // (b - a)) as weight from mask m join free f on m.chrom = f.chrom and f.p >= a and f.p < b where b - a > 1 group by m.chrom, f.side, a, b, region),
+weighted as (select *, sum(weight) over (partition by chrom, side order by a, b, region rows unbounded preceding) - weight as before, sum(weight) over (partition by chrom, side) as total from regions),
+todo as (select chrom, pos, strand, strand = '-' as side, concat(chrom, ':', cast(pos as varchar), ':', strand, ':', cast(n as varchar), ':42') as k from (select chrom, pos, strand, unnest(range(1, 3 * c + 1)) as n from (select chrom, pos, strand, count(*) as c from points group by chrom, pos, strand))),
+masked as (select t.*, w.region, first + {_PLACE.format('k')} % n as r from (select t.*, {_PLACE.format('k').replace('|place', '|region')} % cast(total as bigint) as v from todo t join (select distinct chrom, side, total from weighted) using (chrom, side)) t asof join weighted w on t.chrom = w.chrom and t.side = w.side and t.v >= w.before),
+drawn as (select chrom, side, strand, region, r from masked union all select t.chrom, t.side, t.strand, '', {_PLACE.format('k')} % free from todo t join totals using (chrom, side) where chrom not in (select chrom from mask)),
+rows as (select d.chrom, f.p as pos, d.strand, 0 as label, '' as source_id, d.region as region_id, 'neg' as notes from drawn d join free f using (chrom, side, r) union all select chrom, pos, strand, 1, name, '', '' from points),
+cut as (select rows.*, coalesce(substr(s, cast(greatest(pos - 200, 0) + 1 as int), cast(greatest(least(pos + 100, length(s)) - greatest(pos - 200, 0), 0) as int)), '') as w from rows left join letters using (chrom))
+select chrom, cast(pos as bigint) as pos, strand, label, source_id, region_id, notes, md5(case when strand = '-' then reverse(translate(w, 'ACGT', 'TGCA')) else w end) as digest from cut"""
+
+
+@query(_SCREENED)
+def generated_screened(spark, d):
+    """Three negatives for each positive, with a mask on half of the chromosomes, some of its regions empty or one base wide, and without
+    motifs before them; the genome comes from a FASTA file of part's bases. The SQL goes through every base."""
+    p = _part(spark, d)
+    chrom = _CHROM.format("string")
+    points = p.where("p_size <= 2").selectExpr(f"{chrom} as chrom", "(p_partkey * 13) % 4000 as pos", "case p_partkey % 3 when 0 then '+' when 1 then '-' else '.' end as strand", "p_name as name")
+    mask = p.where("p_size between 3 and 6 and p_partkey % 22 % 2 = 0").selectExpr(f"{chrom} as chrom", "(p_partkey * 29) % 5000 as start", "(p_partkey * 29) % 5000 + (p_size - 3) * 100 as end", "concat('r', p_partkey) as region")
+    chunks = _lines(spark, _fasta_of_part(spark, d), "fasta", lambda path: genomic.fasta_chunks(spark, path, 1000))
+    sizes = chunks.where("chrom <> 'chr7'").groupBy("chrom").agg(F.sum(F.length("sequence")).cast("long").alias("length"))
+    out = pipelines.generated(points, sizes, chunks, mask, k=3, distance=50, motif_aware=True, size=1000)
+    return out.select(*KEYS, "label", "source_id", "region_id", "notes", F.md5("sequence").alias("digest"))
+
+
 @query(f"{with_('sites')}, n as (select cast(2 * count(distinct (chrom, pos, strand)) as bigint) as t from sites where source = 'R') select unnest(['window', 'random', 'motif']) as bucket, unnest([t // 2, cast(floor(0.35 * t) as bigint), t - t // 2 - cast(floor(0.35 * t) as bigint)]) as target from n")
 def bucket_targets(spark, d):
     return spark.createDataFrame(list(sampling.bucket_targets(_positives(spark, d).count()).items()), "bucket string, target long")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from helixmill.functions import sequence as seq
 from helixmill.functions.ids import negative_id, positive_id
-from helixmill.operators import intervals, metrics, rows, sampling
+from helixmill.operators import free_space, intervals, metrics, rows, sampling
 from helixmill.plans.stages import held
 from helixmill.sources import genomic
 
@@ -160,34 +160,37 @@ def drawn_in_rounds(todo: DataFrame, keys: list[str], draw: Callable[[DataFrame]
     return done
 
 
-def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = None, mask: DataFrame | None = None, k: int = 1, distance: int = 200, up: int = 200, down: int = 100, motif_aware: bool = False, reach: int = 40, motifs: tuple = seq.UPSTREAM_MOTIFS, attempts: int = 32, most: int = 5000, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
-    """Positive points (chrom, pos, strand, name) and k negatives for each, anywhere on its chromosome or in the mask's regions
-    there, outside the buffers of `distance` around positives, drawn in rounds. Points on chromosomes without a size get none,
-    nor do those with a null. Without a genome sequences are empty and motifs aren't asked for."""
-    buffers = held(intervals.merged(points.select("chrom", (F.col("pos") - distance).alias("start"), (F.col("pos") + distance + 1).alias("end")), ["chrom"]))
-    todo = points.select(*SITE).na.drop().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(sizes.select("chrom", "length"), "chrom").distinct()
-    if mask is not None:
-        own = Window.partitionBy("chrom")
-        m = held(mask.select("chrom", "start", "end", "region").withColumns({"r": F.row_number().over(own.orderBy("start", "end", "region")) - 1, "n_r": F.count("*").over(own)}))
-
-    def draw(tries: DataFrame) -> DataFrame:
-        key = F.concat_ws(":", *(F.col(c).cast("string") for c in (*SITE, "n", "attempt")), F.lit(str(seed)))
-        if mask is None:
-            drawn = tries.withColumns({"new": sampling.place_number(key, "place", F.col("length")), "region": F.lit("")})
-        else:
-            of = m.select("chrom", "n_r").distinct()
-            drawn = tries.join(of, "chrom", "left").withColumn("r", F.when(F.col("n_r") > 0, sampling.whole_number(key, "region", F.col("n_r")))).join(m.drop("n_r"), ["chrom", "r"], "left")
-            lo, width = F.coalesce("start", F.lit(0)), F.coalesce(F.col("end") - F.col("start"), F.col("length"))
-            drawn = drawn.withColumns({"new": lo + sampling.place_number(key, "place", width), "region": F.coalesce("region", F.lit(""))})
-        fine = intervals.outside(drawn.select(*SITE, "n", "attempt", "new", "region"), buffers, ["chrom"], "new")
-        if motif_aware and chunks is not None:
-            at = fine.select("chrom", F.col("pos").alias("own"), F.col("new").alias("pos"), "strand", "n", "attempt", "region")
-            seen = genomic.windows(at, chunks, F.col("pos") - reach, F.col("pos"), size)
-            fine = seen.where(seq.upstream_motif(F.col("dna"), reach, F.col("strand"), reach, motifs)).select("chrom", F.col("own").alias("pos"), "strand", "n", "attempt", F.col("pos").alias("new"), "region")
-        return fine
-
-    done = drawn_in_rounds(todo, [*SITE, "n"], draw, attempts, most)
-    neg = done.select("chrom", F.col("new").alias("pos"), "strand", F.lit(0).alias("label"), F.lit("").alias("source_id"), F.col("region").alias("region_id"), F.lit("motif" if motif_aware and chunks is not None else "").alias("notes"))
+def generated(points: DataFrame, sizes: DataFrame, chunks: DataFrame | None = None, mask: DataFrame | None = None, k: int = 1, distance: int = 200, up: int = 200, down: int = 100, motif_aware: bool = False, reach: int = 40, motifs: tuple = seq.UPSTREAM_MOTIFS, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
+    """Positive points (chrom, pos, strand, name) and k negatives for each row of them, anywhere on its chromosome outside the buffers of `distance` around positives. On a
+    chromosome that the mask has regions of, negatives lie in one of these: every region wider than one place is as likely, and in it every place,
+    but for what is covered. With motif_aware no negative has one of the motifs in the `reach` bases before it (read on its strand).
+
+    Each negative is drawn once, by rank among the free places (operators.free_space), so it is found however little is free. Points get no negative if
+    their chromosome has no size over 0 or no free place, if the mask's regions there have none, or if they hold a null. Negatives may repeat. Without a
+    genome sequences are empty and motifs aren't asked for."""
+    screened = motif_aware and chunks is not None
+    keys = ["chrom", "minus"] if screened else ["chrom"]
+    sided = (lambda t: t.withColumn("minus", F.explode(F.array(F.lit(False), F.lit(True))))) if screened else (lambda t: t)
+    spans = sided(points.select("chrom", (F.col("pos") - distance).alias("start"), (F.col("pos") + distance + 1).alias("end")))
+    if screened:  # a hit covers the places that have it within their reach
+        for minus in (False, True):
+            own = tuple(m.upper().replace("U", "T")[::-1].translate(str.maketrans("ACGT", "TGCA")) for m in motifs) if minus else motifs
+            hits = genomic.motif_hits(chunks, own, size)
+            spans = spans.unionByName(hits.select("chrom", F.lit(minus).alias("minus"), (F.col("at") + F.col("n")).alias("start"), (F.col("at") + reach + 1).alias("end")).where("start < end"))
+    runs = held(free_space.free_runs(sided(sizes.select("chrom", "length")), spans, keys))
+    # equal points draw for themselves
+    todo = points.select(*SITE).na.drop().groupBy(*SITE).count().withColumn("n", F.explode(F.sequence(F.lit(1), F.col("count") * k)))
+    todo = todo.select(*SITE, "n", *([(F.col("strand") == "-").alias("minus")] if screened else []))
+    key = F.concat_ws(":", *(F.col(c).cast("string") for c in (*SITE, "n")), F.lit(str(seed)))
+    if mask is None:
+        done = free_space.drawn(todo, runs, keys, key, "place", "new").withColumn("region", F.lit(""))
+    else:
+        regions = sided(mask.select("chrom", "start", "end", F.coalesce("region", F.lit("")).alias("region")))
+        weighted = held(free_space.weighted_regions(regions, runs, keys))
+        own = mask.where("chrom is not null").select("chrom").distinct()
+        whole = free_space.drawn(todo.join(own, "chrom", "left_anti"), runs, keys, key, "place", "new").withColumn("region", F.lit(""))
+        done = whole.unionByName(free_space.drawn_in_regions(todo.join(own, "chrom", "left_semi"), weighted, runs, keys, key, "new"))
+    neg = done.select("chrom", F.col("new").alias("pos"), "strand", F.lit(0).alias("label"), F.lit("").alias("source_id"), F.col("region").alias("region_id"), F.lit("neg").alias("notes"))
     pos = points.select(*SITE, F.lit(1).alias("label"), F.col("name").alias("source_id"), F.lit("").alias("region_id"), F.lit("").alias("notes"))
     both = pos.unionByName(neg)
     both = genomic.generator_windows(both, chunks, up, down, size) if chunks is not None else both.withColumn("sequence", F.lit(""))

@@ -199,13 +199,37 @@ def fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame
 
 def windows(points: DataFrame, chunks: DataFrame, start: Column, end: Column, size: int = CHUNK) -> DataFrame:
     """points with dna: bases [start, end) of their chrom, cut off at the contig's ends; empty where the contig is unknown.
-    Points meet the chunks they touch by an equi-join; only coordinates are shuffled with the chunks."""
-    p = points.withColumns({"__row": F.monotonically_increasing_id(), "__from": F.greatest(start, F.lit(0)), "__to": end})
-    need = p.where("__to > __from").select("__row", F.col("chrom"), "__from", "__to", F.explode(F.sequence(F.floor(F.col("__from") / size), F.floor((F.col("__to") - 1) / size))).alias("chunk"))
+    Windows meet the chunks they touch by an equi-join; only coordinates are shuffled with the chunks. Each window is made once, and points
+    get it by its coordinates, so nothing depends on how rows are numbered."""
+    p = points.withColumns({"__from": F.greatest(start, F.lit(0)), "__to": end})
+    need = p.where("__to > __from").select("chrom", "__from", "__to").distinct()
+    need = need.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__from") / size), F.floor((F.col("__to") - 1) / size))))
     lo = F.greatest("__from", F.col("chunk") * size)
     piece = F.substring(F.col("__s"), (lo - F.col("chunk") * size + 1).cast("int"), (F.col("__to") - lo).cast("int"))
-    got = need.join(chunks.withColumnRenamed("sequence", "__s"), ["chrom", "chunk"]).groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("dna"))
-    return p.join(got, "__row", "left").withColumn("dna", F.coalesce("dna", F.lit(""))).drop("__row", "__from", "__to")
+    got = need.join(chunks.select("chrom", "chunk", F.col("sequence").alias("__s")), ["chrom", "chunk"]).groupBy(F.col("chrom").alias("__chrom"), F.col("__from").alias("__f"), F.col("__to").alias("__t"))
+    got = got.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("dna"))
+    on = (F.col("chrom") == F.col("__chrom")) & (F.col("__from") == F.col("__f")) & (F.col("__to") == F.col("__t"))
+    return p.join(got, on, "left").withColumn("dna", F.coalesce("dna", F.lit(""))).drop("__chrom", "__from", "__to", "__f", "__t")
+
+
+def motif_hits(chunks: DataFrame, motifs: tuple[str, ...], size: int = CHUNK) -> DataFrame:
+    """chrom, at, n: each place (of the first base, from 0) where a motif of n bases lies, overlapping ones too; upper and lower case and U and T are equal.
+    A chunk borrows the bases that it needs from the next one's beginning. The text is cut before every hit, so positions are sums of lengths."""
+    wanted = {m.upper().replace("U", "T") for m in motifs if m}
+    longest = max(map(len, wanted), default=1)
+    if longest > size:
+        raise ValueError(f"motifs of at most a chunk of {size} bases")
+    s = chunks.select("chrom", "chunk", F.translate(F.upper("sequence"), "U", "T").alias("s"))
+    heads = s.select(F.col("chrom").alias("__c"), (F.col("chunk") - 1).alias("__k"), F.substring("s", 1, longest - 1).alias("head"))
+    s = s.join(heads, (F.col("chrom") == F.col("__c")) & (F.col("chunk") == F.col("__k")), "left").select("chrom", "chunk", F.length("s").alias("own"), F.concat("s", F.coalesce("head", F.lit(""))).alias("s"))
+    out = None
+    for n in sorted(set(map(len, wanted))):
+        some = "|".join(sorted(m for m in wanted if len(m) == n))
+        t = s.select("chrom", "chunk", "own", F.col("s").rlike(f"^(?:{some})").alias("begins"), F.posexplode(F.split("s", f"(?={some})")).alias("i", "piece"))
+        before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("chrom", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        t = t.withColumn("before", before).where((F.col("i") > 0) | F.col("begins")).where("before < own").select("chrom", (F.col("chunk") * size + F.col("before")).alias("at"), F.lit(n).alias("n"))
+        out = t if out is None else out.unionByName(t)
+    return out if out is not None else s.select("chrom", F.col("chunk").alias("at"), F.lit(0).alias("n")).where("false")
 
 
 def pipeline_windows(points: DataFrame, chunks: DataFrame, left: int = 101, size: int = CHUNK, right: int = 102) -> DataFrame:
