@@ -111,10 +111,11 @@ def neighbours(df: DataFrame, keys: list[str], tol: int, pos: str = "pos", tile:
 
 def merged(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", tile: int = TILE) -> DataFrame:
     """keys, start, end: half-open spans merged where the next starts at or before the highest end so far. Spans with a null
-    key merge among themselves; those with a null start or end are left out."""
-    t = _whole(spans.na.drop(subset=[start, end]), keys).withColumn("tile", _tile(F.col(start), tile))
+    key merge among themselves; those with a null start or end are left out. Spans of one start become one before the rest, so the order is
+    that of the starts alone, however often a span is repeated."""
+    t = _whole(spans.na.drop(subset=[start, end]), keys).groupBy("__k", start).agg(F.max(end).alias(end)).withColumn("tile", _tile(F.col(start), tile))
     reach = t.groupBy("__k", "tile").agg(F.max(end).alias("__hi")).withColumn("__before", F.max("__hi").over(_earlier())).drop("__hi")
-    inside = Window.partitionBy("__k", "tile").orderBy(start, end)
+    inside = Window.partitionBy("__k", "tile").orderBy(start)
     t = t.join(reach, ["__k", "tile"]).withColumn("__high", F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), "__before"))
     t = t.withColumn("__new", F.when(F.col("__high").isNull() | (F.col(start) > F.col("__high")), F.col(start)))
     opened = t.groupBy("__k", "tile").agg(F.max("__new").alias("__last")).withColumn("__open", F.max("__last").over(_earlier())).drop("__last")

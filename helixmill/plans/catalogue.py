@@ -328,11 +328,15 @@ def window_shift_neg(spark, d):
     return sampling.first_attempt(intervals.clear_of(fine, pos.withColumnRenamed("pos", "site").select("chrom", F.col("site").alias("new_pos")), ["chrom"], 50, "new_pos"), KEYS)
 
 
-def _uniform_sql(tries: int, motif: str) -> str:
-    return f"""{_POSITIVES}, usable as (select *, row_number() over (order by utr_id) - 1 as u_no, count(*) over () as n_u from utrs where u_end - u_start > 203 + 120),
-draws as (select i, attempt, concat(cast(i as varchar), ':', cast(attempt as varchar)) as k from (select unnest(range(0, 2000)) as i), (select unnest(range(0, {tries})) as attempt)),
+#: How many negatives of a kind are drawn, by the number of positives n.
+_TARGETS = {"random": "cast(floor(0.35::double * (2 * n)) as bigint)", "motif": "n - cast(floor(0.35::double * (2 * n)) as bigint)"}
+
+
+def _uniform_sql(tries: int, kind: str, motif: str) -> str:
+    return f"""{_POSITIVES}, blocked as (select distinct chrom, unnest(range(pos - 50, pos + 51)) as pos from positives), usable as (select *, row_number() over (order by utr_id) - 1 as u_no from utrs where u_end - u_start > 203 + 120),
+draws as (select i, attempt, (select count(*) from usable) as n_u, concat(cast(i as varchar), ':', cast(attempt as varchar)) as k from (select unnest(range(0, {_TARGETS[kind]})) as i from (select count(*) as n from positives)), (select unnest(range(0, {tries})) as attempt)),
 placed as (select i, attempt, chrom, strand, utr_id, u_start + 102 + {_HEX.format('k', 'place')} % (u_end - u_start - 203) as pos from draws join usable on u_no = {_HEX.format('k', 'utr')} % n_u),
-fine as (select * from placed m where not exists (select 1 from positives p where p.chrom = m.chrom and p.pos between m.pos - 50 and m.pos + 50){motif})
+fine as (select * from placed m where not exists (select 1 from blocked p where p.chrom = m.chrom and p.pos = m.pos){motif})
 select cast(i as bigint) as i, cast(min(attempt) as int) as attempt, arg_min(chrom, attempt) as chrom, cast(arg_min(pos, attempt) as bigint) as pos, arg_min(strand, attempt) as strand, arg_min(utr_id, attempt) as utr_id from fine group by i"""
 
 
@@ -341,8 +345,10 @@ _AROUND = "translate(concat(md5(concat(cast(utr_id as {0}), ':', cast({1}pos as
 _MOTIF_SQL = f" and (regexp_matches({_AROUND.format('varchar', 'm.')}, 'AATAAA|ATTAAA|AGTAAA|TATAAA|CATAAA|GATAAA|AATACA|AATAGA|AATATA|AATGAA|ACTAAA|AAGAAA') or regexp_matches(reverse(translate({_AROUND.format('varchar', 'm.')}, 'ACGT', 'TGCA')), 'AATAAA|ATTAAA|AGTAAA|TATAAA|CATAAA|GATAAA|AATACA|AATAGA|AATATA|AATGAA|ACTAAA|AAGAAA'))"
 
 
-def _uniform(spark, d, tries: int, target: int = 2000):
-    """target draws of a UTR (weighted by record) and a place in it, a few tries each."""
+def _uniform(spark, d, tries: int, kind: str):
+    """As many draws of a UTR (weighted by record) and a place in it as the positives' bucket asks for, a few tries each."""
+    positives = held(_positives(spark, d))
+    target = sampling.bucket_targets(positives.count())[kind]
     utrs = load(spark, d, "utrs").where(F.col("u_end") - F.col("u_start") > 203 + 2 * 60)
     numbered = sampling.numbered(utrs, ["utr_id"], "u_no")
     n = utrs.agg(F.count("*").alias("n_u"))
@@ -350,18 +356,18 @@ def _uniform(spark, d, tries: int, target: int = 2000):
     key = F.concat_ws(":", F.col("i").cast("string"), F.col("attempt").cast("string"))
     draws = draws.crossJoin(F.broadcast(n)).withColumn("u_no", sampling.whole_number(key, "utr", F.col("n_u"))).withColumn("place", F.conv(F.substring(sampling.draw(key, "place"), 1, 7), 16, 10).cast("long"))
     placed = draws.join(numbered, "u_no").withColumn("pos", F.col("u_start") + 102 + F.col("place") % (F.col("u_end") - F.col("u_start") - 203))
-    return intervals.clear_of(placed.select("i", "attempt", "chrom", "pos", "strand", "utr_id"), _positives(spark, d), ["chrom"], 50)
+    return intervals.clear_of(placed.select("i", "attempt", "chrom", "pos", "strand", "utr_id"), positives, ["chrom"], 50)
 
 
-@query(_uniform_sql(4, ""))
+@query(_uniform_sql(4, "random", ""))
 def uniform_utr_neg(spark, d):
-    return sampling.first_attempt(_uniform(spark, d, 4), ["i"])
+    return sampling.first_attempt(_uniform(spark, d, 4, "random"), ["i"])
 
 
-@query(_uniform_sql(8, _MOTIF_SQL))
+@query(_uniform_sql(8, "motif", _MOTIF_SQL))
 def motif_neg(spark, d):
     """As uniform_utr_neg, of places whose (made-up) surroundings hold a hexamer on either strand."""
-    return sampling.first_attempt(_uniform(spark, d, 8).where(seq.has_hexamer(F.expr(_AROUND.format("string", "")))), ["i"])
+    return sampling.first_attempt(_uniform(spark, d, 8, "motif").where(seq.has_hexamer(F.expr(_AROUND.format("string", "")))), ["i"])
 
 
 @query(f"""{_BUFFERS}, pos as (select distinct chrom, pos, strand from sites where source = 'R'),

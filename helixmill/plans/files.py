@@ -10,7 +10,7 @@ from helixmill.functions import sequence as seq
 from helixmill.operators import intervals, rows, sampling
 from helixmill.plans import pipelines
 from helixmill.plans.adapters import load, with_
-from helixmill.plans.catalogue import _D, _GENOME, _PARTS, KEYS, _distinct, _genome, _parts, _positives, _sites, query
+from helixmill.plans.catalogue import _D, _GENOME, _PARTS, _TARGETS, KEYS, _distinct, _genome, _parts, _positives, _sites, query
 from helixmill.plans.stages import held, new_path, remove
 from helixmill.sources import genomic
 
@@ -316,7 +316,53 @@ def generated_screened(spark, d):
     return out.select(*KEYS, "label", "source_id", "region_id", "notes", F.md5("sequence").alias("digest"))
 
 
-@query(f"{with_('sites')}, n as (select cast(2 * count(distinct (chrom, pos, strand)) as bigint) as t from sites where source = 'R') select unnest(['window', 'random', 'motif']) as bucket, unnest([t // 2, cast(floor(0.35 * t) as bigint), t - t // 2 - cast(floor(0.35 * t) as bigint)]) as target from n")
+_WHOLE = "cast(concat('0x', substr(md5(concat({0}, '|{1}')), 1, {2})) as bigint)"
+_MOTIFS = "AATAAA|ATTAAA|AGTAAA|TATAAA|CATAAA|GATAAA|AATACA|AATAGA|AATATA|AATGAA|ACTAAA|AAGAAA"
+
+
+def _drawn_sql(name: str, tries: int, bound: int, target: str, taken: str, motif: bool) -> str:
+    """One bucket: all the draws that it may make, the first attempt of each that passes, each site once, the first `target`."""
+    k, cut = "concat(cast(i as varchar), ':', cast(attempt as varchar), ':42')", "greatest(greatest(new - 50, u_start), 0)"
+    near = f"substr(s, cast({cut} + 1 as int), cast(greatest(least(new + 50, u_end) - {cut}, 0) as int))"
+    heard = f" where regexp_matches(concat({near}, '-', reverse(translate({near}, 'ACGT', 'TGCA'))), '{_MOTIFS}')" if motif else ""
+    return f"""{name}_drawn as (select i, attempt, (select count(*) from usable) as n_u, {k} as k from (select unnest(range(0, {bound} * ({target}))) as i from n), (select unnest(range(0, {tries})) as attempt)),
+{name}_placed as (select i, attempt, chrom, strand, gene_name, u_start, u_end, u_start + 60 + {_WHOLE.format('k', name + '-place', 7)} % 134217728 % (u_end - u_start - 119) as new from {name}_drawn join usable on u_no = {_WHOLE.format('k', name + '-utr', 13)} % n_u),
+{name}_clear as (select p.* from {name}_placed p anti join blocked b on p.chrom = b.chrom and p.new = b.pos),
+{name}_fine as (select c.* from {name}_clear c left join letters using (chrom){heard}),
+{name}_first as (select i, arg_min(struct_pack(chrom := chrom, pos := new, strand := strand, gene_name := gene_name), attempt) as v from {name}_fine group by i),
+{name}_free as (select v.chrom as chrom, v.pos as pos, v.strand as strand, min(i) as i, arg_min(v.gene_name, i) as gene_name from {name}_first anti join ({taken}) t on v.chrom = t.chrom and v.pos = t.pos and v.strand = t.strand group by all),
+{name} as (select chrom, pos, strand, gene_name from {name}_free order by i limit (select {target} from n))"""
+
+
+_NEGATIVES = f"""with {_PART_LETTERS}, size as (select 64 * (count(*) // 22) as l from part),
+positives as (select {_CHROM.format('varchar')} as chrom, (p_partkey * 97) % l + p_size * 30 as pos, case when p_partkey % 2 = 0 then '+' else '-' end as strand from part, size where p_size between 8 and 20),
+usable as (select *, row_number() over (order by chrom, u_start, u_end, strand, gene_name) - 1 as u_no from (select {_CHROM.format('varchar')} as chrom, case when p_partkey % 2 = 0 then '+' else '-' end as strand, (p_partkey * 97) % l as u_start, (p_partkey * 97) % l + p_size * 60 as u_end, concat('G', cast(p_partkey as varchar)) as gene_name from part, size) where u_end - u_start > 64 + 120),
+n as (select count(*) as n from positives), sites as (select distinct chrom, pos, strand from positives), blocked as (select distinct chrom, unnest(range(pos - 50, pos + 51)) as pos from sites),
+own as (select s.chrom, s.pos, s.strand, arg_min(struct_pack(s := u_start, e := u_end, g := gene_name), u_no) as u from sites s join usable u on s.chrom = u.chrom and s.strand = u.strand and s.pos between u_start and u_end group by all),
+tries as (select own.*, attempt, concat(chrom, ':', cast(pos as varchar), ':', strand, ':', cast(attempt as varchar), ':42') as k from own, (select unnest(range(0, 6)) as attempt)),
+moved as (select *, pos + (case when {_WHOLE.format('k', 'side', 7)} % 2 = 0 then 1 else -1 end) * (100 + {_WHOLE.format('k', 'offset', 7)} % 301) as new from tries),
+kept as (select m.* from moved m anti join blocked b on m.chrom = b.chrom and m.new = b.pos where m.new >= m.u.s + 60 and m.new <= m.u.e - 60),
+firsts as (select chrom, pos, strand, arg_min(struct_pack(new := new, g := u.g), attempt) as v from kept group by chrom, pos, strand),
+ranked as (select *, row_number() over (order by md5(concat(chrom, ':', cast(pos as varchar), ':', strand, ':42|42'))) as rank from firsts),
+shifted as (select chrom, v.new as pos, strand, min(v.g) as gene_name from ranked, n where rank <= n group by all),
+{_drawn_sql('random', 4, 20, _TARGETS['random'], 'select * from shifted', False)},
+{_drawn_sql('motif', 8, 40, _TARGETS['motif'], 'select * from shifted union all select * from random', True)},
+every as (select *, 0 as bucket from shifted union all select *, 1 from random union all select *, 2 from motif)
+select chrom, cast(pos as bigint) as pos, strand, gene_name, cast(bucket as int) as bucket from every"""
+
+
+@query(_NEGATIVES)
+def negatives_in_buckets(spark, d):
+    """Twice as many negatives as positives in three buckets, on the contigs of part's bases. The SQL makes every draw that a bucket may make."""
+    p = _part(spark, d)
+    chrom, side, size = _CHROM.format("string"), "case when p_partkey % 2 = 0 then '+' else '-' end", 64 * (p.count() // 22)
+    pos = p.where("p_size between 8 and 20").selectExpr(f"{chrom} as chrom", f"(p_partkey * 97) % {size} + p_size * 30 as pos", f"{side} as strand")
+    utrs = p.selectExpr(f"{chrom} as chrom", f"{side} as strand", f"(p_partkey * 97) % {size} as u_start", f"(p_partkey * 97) % {size} + p_size * 60 as u_end", "concat('G', p_partkey) as gene_name")
+    chunks = _lines(spark, _fasta_of_part(spark, d), "fasta", lambda path: genomic.fasta_chunks(spark, path, 1000))
+    return pipelines.negative_sites(pos, utrs, chunks, 64, size=1000)
+
+
+@query(f"{with_('sites')}, n as (select cast(2 * count(distinct (chrom, pos, strand)) as bigint) as t from sites where source = 'R') select unnest(['window', 'random', 'motif']) as bucket, unnest([t // 2, cast(floor(0.35::double * t) as bigint), t - t // 2 - cast(floor(0.35::double * t) as bigint)]) as target from n")
 def bucket_targets(spark, d):
     return spark.createDataFrame(list(sampling.bucket_targets(_positives(spark, d).count()).items()), "bucket string, target long")
 

@@ -68,39 +68,37 @@ def sequence_length(pos: DataFrame) -> int:
     return first or WINDOW
 
 
-def negatives(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
-    """Twice as many negatives as positives in three buckets: windows shifted inside the positive's UTR, places uniform in
-    UTRs, and such places with a hexamer nearby. The last two draw in rounds for
-    what is missing, 20 and 40 times their target at most; a bucket that falls short isn't filled up by another. A site is
-    taken once, earlier buckets first. Windows are as long as the positives' sequences. Draws are by hash: the same rows on
-    every run."""
+def negative_sites(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, length: int, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
+    """chrom, pos, strand, gene_name, bucket: places for twice as many negatives as positives, in three buckets: windows shifted inside the positive's UTR
+    (0), places uniform in UTRs (1), and such places with a hexamer nearby (2). The last two draw in rounds for what is missing, 20 and 40 times their target at
+    most; a bucket that falls short isn't filled up by another. A site is taken once, earlier buckets first, then smaller draws. Each round's finds and what
+    earlier buckets took are written, so a round reads them and no plan grows. Draws are by hash: the same rows on every run."""
     pos = held(pos)
-    n = pos.count()
-    want = sampling.bucket_targets(n)
-    length = sequence_length(pos)
+    want = sampling.bucket_targets(pos.count())
     margin = max(60, length // 2 + 1)
     p = pos.select(*SITE).distinct()
     long = held(sampling.numbered(utrs.where(F.col("u_end") - F.col("u_start") > length + 120), ["chrom", "u_start", "u_end", "strand", "gene_name"], "u_no"))
+    n_utrs = long.count()
     key = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c), F.lit(str(seed)))
 
     own = intervals.containing(p, long, ["chrom", "strand"], "pos", "u_start", "u_end").groupBy(*SITE).agg(F.min_by(F.struct("u_start", "u_end", "gene_name"), "u_no").alias("u"))
     k = key(*SITE, "attempt")
     moved = own.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("new", F.col("pos") + F.when(sampling.whole_number(k, "side", 2) == 0, 1).otherwise(-1) * (100 + sampling.whole_number(k, "offset", 301)))
     moved = moved.where((F.col("new") >= F.col("u.u_start") + margin) & (F.col("new") <= F.col("u.u_end") - margin)).select(*SITE, "attempt", "new", F.col("u.gene_name").alias("gene_name"))
-    sites = p.select("chrom", F.col("pos").alias("new"))
-    shifted = held(sampling.first_attempt(intervals.clear_of(moved, sites, ["chrom"], 50, "new"), SITE))
-    shifted = sampling.hash_rank(shifted.withColumn("key", key(*SITE)), "key", seed).where(F.col("rank") <= want["window"]).select("chrom", F.col("new").alias("pos"), "strand", "gene_name", F.lit("window_shift").alias("source"), F.lit(0).alias("bucket"))
+    sites = held(p.select("chrom", F.col("pos").alias("new")))
+    shifted = sampling.first_attempt(intervals.clear_of(moved, sites, ["chrom"], 50, "new"), SITE)
+    shifted = sampling.first_rows(shifted.withColumn("key", key(*SITE)), "key", want["window"], seed).select("chrom", F.col("new").alias("pos"), "strand", "gene_name")
+    shifted = held(rows.keep_first(shifted, SITE, ["gene_name"]))
 
     def uniform(name: str, tries: int, start: int, stop: int) -> DataFrame:
-        n_u = long.agg(F.count("*").alias("n_u"))
-        draws = pos.sparkSession.range(start, stop).withColumnRenamed("id", "i").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).crossJoin(F.broadcast(n_u)).where("n_u > 0")
+        draws = pos.sparkSession.range(start, stop).withColumnRenamed("id", "i").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
         kk = key("i", "attempt")
-        placed = draws.withColumn("u_no", sampling.whole_number(kk, f"{name}-utr", F.col("n_u"))).withColumn("at", sampling.whole_number(kk, f"{name}-place", 1 << 27)).join(long, "u_no")
+        placed = draws.withColumn("u_no", sampling.place_number(kk, f"{name}-utr", F.lit(n_utrs))).withColumn("at", sampling.whole_number(kk, f"{name}-place", 1 << 27)).join(long, "u_no")
         placed = placed.withColumn("new", F.col("u_start") + margin + F.col("at") % (F.col("u_end") - F.col("u_start") - 2 * margin + 1)).select("i", "attempt", "chrom", "new", "strand", "gene_name", "u_start", "u_end")
         return intervals.clear_of(placed, sites, ["chrom"], 50, "new")
 
-    def bucket(name: str, tries: int, bound: int, source: str, number: int, before: DataFrame) -> DataFrame:
-        target, stop, found, n_found = want[name], 0, None, 0
+    def bucket(name: str, tries: int, bound: int, before: DataFrame) -> DataFrame:
+        target, stop, found, n_found = want[name] if n_utrs else 0, 0, None, 0
         while n_found < target and stop < bound * target:
             start, stop = stop, min(max(2 * target, 2 * stop), bound * target)
             t = uniform(name, tries, start, stop)
@@ -110,12 +108,22 @@ def negatives(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, seed: int = 42
             t = sampling.first_attempt(t.drop("u_start", "u_end"), ["i"]).withColumnRenamed("new", "pos").join(before.select(*SITE), SITE, "left_anti")
             found = held(rows.keep_first(t if found is None else found.unionByName(t), SITE, ["i"]))
             n_found = found.count()
-        first = found.orderBy("i").limit(target) if found is not None else pos.sparkSession.createDataFrame([], "chrom string, pos long, strand string, gene_name string")
-        return held(first.select(*SITE, "gene_name", F.lit(source).alias("source"), F.lit(number).alias("bucket")))
+        if found is None:
+            return shifted.where("false")
+        if n_found > target:  # the draws' order decides: numbered by ranges of it, not sorted in one task
+            found = sampling.numbered(found, ["i"], "no").where(F.col("no") < target)
+        return held(found.select(*SITE, "gene_name"))
+
+    plain = bucket("random", 4, 20, shifted)
+    motif = bucket("motif", 8, 40, shifted.unionByName(plain))
+    every = [t.withColumn("bucket", F.lit(b)) for b, t in enumerate((shifted, plain, motif))]
+    return every[0].unionByName(every[1]).unionByName(every[2])
 
-    plain = bucket("random", 4, 20, "random_utr", 1, shifted)
-    motif = bucket("motif", 8, 40, "motif_matched", 2, shifted.unionByName(plain))
-    every = held(rows.keep_first(shifted.unionByName(plain).unionByName(motif), SITE, ["bucket", "gene_name"]).drop("bucket"))
+
+def negatives(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, seed: int = 42, size: int = genomic.CHUNK) -> DataFrame:
+    """negative_sites() with ids and sequences as long as the positives', in the columns of a dataset; their source is `negative`."""
+    length = sequence_length(pos)
+    every = held(negative_sites(pos, utrs, chunks, length, seed, size)).drop("bucket").withColumn("source", F.lit("negative"))
     out = genomic.pipeline_windows(every, chunks, length // 2, size, length - length // 2)
     return out.select(negative_id(F.col("chrom"), F.col("pos"), F.col("strand"), F.col("gene_name")).alias("id"), *SITE, "gene_name", "source", "sequence", F.lit(0).alias("label"))
 

@@ -99,8 +99,9 @@ def test_negatives_fill_dense_buckets(spark, tmp_path):
     sites = [("chr1", p, "+", "N1", "A", "ACGT") for p in range(150, 4800, 108)]
     pos = spark.createDataFrame(sites, "chrom string, pos long, strand string, gene_name string, source string, sequence string")
     utrs = spark.createDataFrame([("chr1", "+", 100, 4800, "N1")], "chrom string, strand string, u_start long, u_end long, gene_name string")
-    neg = pipelines.negatives(pos, utrs, chunks, size=512).collect()
-    n = len([r for r in neg if r.source == "random_utr"])
+    assert {r.source for r in pipelines.negatives(pos, utrs, chunks, size=512).collect()} == {"negative"}
+    neg = pipelines.negative_sites(pos, utrs, chunks, 4, size=512).collect()
+    n = len([r for r in neg if r.bucket == 1])
     assert n == int(0.35 * 2 * len(sites)) and len({r.pos for r in neg}) == len(neg)
     assert all(abs(r.pos - p) > 50 for r in neg for _, p, *_ in sites)
 
