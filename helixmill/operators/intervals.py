@@ -74,11 +74,40 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], pos: str, start: st
     return out.select("__l.*", F.when(found.isNotNull(), F.struct(*fields)).alias("asof"))
 
 
+#: Bins of spans: those of a level are 8 times as wide as those of the one below.
+LEVELS = 16
+
+
+def _width(level: Column, tile: int) -> Column:
+    return F.call_function("shiftleft", F.lit(tile).cast("long"), (3 * level).cast("int"))
+
+
+def level_of(start: Column, last: Column, tile: int) -> Column:
+    """The lowest level whose bins are wider than the span, so that it touches two bins at most, whatever its length."""
+    out = F.lit(0)
+    for k in range(LEVELS):
+        out = out + (last - start >= tile << 3 * k).cast("int")
+    return out
+
+
+def laid(spans: DataFrame, start: Column, last: Column, tile: int) -> DataFrame:
+    """spans with __level and __tile: a row for each bin (one or two) that a span from start to last touches."""
+    t = spans.withColumn("__level", level_of(start, last, tile))
+    w = _width(F.col("__level"), tile)
+    return t.withColumn("__tile", F.explode(F.sequence(F.floor(start / w), F.floor(last / w))))
+
+
+def asking(points: DataFrame, levels: DataFrame, pos: str, tile: int) -> DataFrame:
+    """points with __level and __tile: a row for each level that has spans, LEVELS and one at most, so that the levels are broadcast."""
+    return points.crossJoin(F.broadcast(levels)).withColumn("__tile", F.floor(F.col(pos) / _width(F.col("__level"), tile)))
+
+
 def containing(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, start: str, end: str, tile: int = 1 << 12) -> DataFrame:
-    """Inner join of points and the spans with start <= pos <= end: spans are laid over the tiles that they touch."""
-    s = spans.where(F.col(end) >= F.col(start)).withColumn("__tile", F.explode(F.sequence(_tile(F.col(start), tile), _tile(F.col(end), tile))))
-    p = points.withColumn("__tile", _tile(F.col(pos), tile))
-    return p.join(s, [*keys, "__tile"]).where((F.col(start) <= F.col(pos)) & (F.col(pos) <= F.col(end))).drop("__tile")
+    """Inner join of points and the spans with start <= pos <= end. A span lies in one or two bins of the level that fits its length, and a point
+    asks one bin of each level that has spans; rows with a null key or position match nothing."""
+    s = laid(spans.where(F.col(end) >= F.col(start)), F.col(start), F.col(end), tile)
+    p = asking(points, s.select("__level").distinct(), pos, tile)
+    return p.join(s, [*keys, "__level", "__tile"]).where((F.col(start) <= F.col(pos)) & (F.col(pos) <= F.col(end))).drop("__level", "__tile")
 
 
 def band_pairs(a: DataFrame, b: DataFrame, keys: list[str], tol: int, pos: str = "pos") -> DataFrame:
@@ -124,25 +153,28 @@ def merged(spans: DataFrame, keys: list[str], start: str = "start", end: str = "
 
 
 def outside(points: DataFrame, spans: DataFrame, keys: list[str], pos: str = "pos", tile: int = 1 << 12) -> DataFrame:
-    """Anti-join: the points in none of the half-open spans."""
+    """Anti-join: the points in none of the half-open spans, which lie in bins as in containing(). Those that are in one are told by keys and position, so
+    points stay as they are, equal ones and ones with nulls too."""
+    s = spans.where(F.col("end") > F.col("start")).select(*keys, F.col("start").alias("__start"), (F.col("end") - 1).alias("__last"))
+    asked = points.select(*keys, F.col(pos).alias("__pos")).distinct()
     own = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
-    s = spans.where(F.col("end") > F.col("start")).select(*own, F.col("start").alias("__start"), F.col("end").alias("__end"))
-    s = s.withColumn("__span", F.explode(F.sequence(_tile(F.col("__start"), tile), _tile(F.col("__end") - 1, tile))))
-    p = points.withColumn("__tile", _tile(F.col(pos), tile))
-    on = [F.col(k) == F.col(f"__key{i}") for i, k in enumerate(keys)] + [F.col("__tile") == F.col("__span"), F.col("__start") <= F.col(pos), F.col(pos) < F.col("__end")]
-    return p.join(s, on, "left_anti").drop("__tile")
+    hit = containing(asked, s, keys, "__pos", "__start", "__last", tile).select(*own, "__pos").distinct()
+    on = [F.col(k) == F.col(f"__key{i}") for i, k in enumerate(keys)] + [F.col(pos) == F.col("__pos")]
+    return points.join(hit, on, "left_anti")
 
 
 def lifted(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """points (chrom, pos, strand) through chain blocks (src_chrom, src_start, src_end, dst_chrom, dst_start, dst_strand,
     score): the block of the highest score decides, then the first by target; points in none are dropped. On a minus
     block positions run backwards from dst_start and the strand flips."""
-    p = points.withColumnRenamed("chrom", "src_chrom").withColumn("__row", F.monotonically_increasing_id())
+    rest = [c for c in points.columns if c not in ("chrom", "pos", "strand")]
+    p = points.groupBy(F.col("chrom").alias("src_chrom"), "pos", "strand", *rest).agg(F.count("*").alias("__copies"))  # equal points go the same way
     b = blocks.withColumn("__last", F.col("src_end") - 1)
     hit = containing(p, b, ["src_chrom"], "pos", "src_start", "__last")
     away = F.col("pos") - F.col("src_start")
     to = F.when(F.col("dst_strand") == "-", F.col("dst_start") - away).otherwise(F.col("dst_start") + away)
     turned = F.when(F.col("dst_strand") == "-", F.translate("strand", "+-", "-+")).otherwise(F.col("strand"))
-    rest = [c for c in points.columns if c not in ("chrom", "pos", "strand")]
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("dst_chrom").alias("chrom"), to.alias("pos"), turned.alias("strand"), F.col("src_chrom"), F.col("pos").alias("src_pos"), *rest)).alias("b")
-    return hit.groupBy("__row").agg(best).select("b.chrom", "b.pos", "b.strand", "b.src_chrom", "b.src_pos", *(F.col(f"b.{c}").alias(c) for c in rest))
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("dst_chrom").alias("chrom"), to.alias("pos"), turned.alias("strand"), F.col("pos").alias("src_pos"))).alias("b")
+    found = hit.groupBy("src_chrom", F.col("pos").alias("__pos"), F.col("strand").alias("__strand"), *rest, "__copies").agg(best)
+    out = found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return out.select("b.chrom", "b.pos", "b.strand", "src_chrom", "b.src_pos", *rest)

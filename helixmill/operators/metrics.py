@@ -1,14 +1,14 @@
 """Classification metrics from (label, prob) rows, and batches.
 
-Scores are counted by value before anything is ordered; cumulative sums run in blocks of scores whose totals are a short
-table, so neither many rows nor many distinct scores meet in one task.
+Scores are counted by value before anything is ordered; cumulative sums run in ranges of scores with measured borders, whose totals are a
+short table, so neither many rows nor many distinct scores meet in one task, however close the scores are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCKS = 1024
+from helixmill.plans.stages import held
 
 
 def thresholded(df: DataFrame, label: str = "label", prob: str = "prob", at: float = 0.5) -> DataFrame:
@@ -20,8 +20,10 @@ def thresholded(df: DataFrame, label: str = "label", prob: str = "prob", at: flo
 
 def ranked(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     """One row: auroc (ties count half) and auprc (average precision, stepwise); null without both classes."""
-    by = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(F.col(prob).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).withColumn("block", F.floor(F.col("s") * BLOCKS))
-    before = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    by = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).groupBy(F.col(prob).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    # held with the range that a score fell into: the ranges that are summed up are the ranges that are read again
+    by = held(by.repartitionByRange(F.desc("s")).withColumn("block", F.spark_partition_id()))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = by.groupBy("block").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn")).select("block", F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("n0"))
     here = Window.partitionBy("block").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     t = by.join(blocks, "block").select("p", "n", (F.col("p0") + F.sum("p").over(here)).alias("tp"), (F.col("n0") + F.sum("n").over(here)).alias("fp"))
