@@ -29,19 +29,17 @@ TOP, QUERY_STEP = 10, 100
 #: as far as these go: to 40,000, which is to 178 million vectors; beyond, lists get longer.
 SAMPLE, MAX_FLOATS = 40_000, 1 << 24
 REPLICAS, BOUNDARY = 4, 1.12
-MIN_PROBES, MAX_PROBES, RATIO = 12, 96, 1.6
+#: Lists that a query reads: within the ratio, at least and at most so many; of very many lists one in PROBED at most.
+MIN_PROBES, MAX_PROBES, PROBED, RATIO = 12, 96, 64, 1.6
 DEGREE, BEAM = 24, 128
 BLOCK = 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vector: one row for each vec_id that takes part. Rows with a null id, or a vector that is null, zero,
-    or holds null or non-finite components, don't, nor do vectors not of the commonest length (of equally common
-    ones the longest). Repeated rows count once; of an id with different vectors the smallest counts."""
+    """vec_id, vector, size (its length): one row for each vec_id that takes part. Rows with a null id, or a vector that is null, zero, or holds
+    null or non-finite components, don't. Repeated rows count once; of an id with different vectors the smallest counts."""
     fine = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
-    v = vectors.where(fine).groupBy("vec_id").agg(F.min("embedding").alias("vector")).withColumn("size", F.size("vector"))
-    size = v.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).limit(1).select(F.col("size").alias("common"))
-    return v.join(F.broadcast(size), F.col("size") == F.col("common")).select("vec_id", "vector")
+    return vectors.where(fine).groupBy("vec_id").agg(F.min("embedding").alias("vector")).withColumn("size", F.size("vector"))
 
 
 def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
@@ -127,15 +125,21 @@ def _sized(df: DataFrame, key: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, score: for each usable vec_id divisible by `step`, its `top` nearest found among all other
-    usable vectors by Euclidean distance in double precision, nearest first, ties to the smaller vec_id."""
+    usable vectors of its length by Euclidean distance in double precision, nearest first, ties to the smaller vec_id. Vectors of different lengths
+    have no distance; each length has an index of its own, one after the other. Fewer than `top` others give as many rows; no vectors give none."""
     spark = vectors.sparkSession
     prepare(spark)
     base = written(usable(vectors), "vectors")
-    empty = "query_id long, rank int, vec_id long, score double"
-    n = base.count()
-    if not n:
-        return spark.createDataFrame([], empty)
-    dimension = base.select(F.size("vector")).first()[0]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size, n in sorted(tuple(r) for r in base.groupBy("size").count().collect()):
+        if n > 1:
+            out = out.unionByName(_nearest(base.where(F.col("size") == size).select("vec_id", "vector"), size, top, step))
+    return out
+
+
+def _nearest(base: DataFrame, dimension: int, top: int, step: int) -> DataFrame:
+    """nearest() of a table of usable vectors of one length."""
+    spark = base.sparkSession
     # equal vectors: one entry with its smallest ids; the limit applies before the shuffle too
     copy = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     entries = written(base.withColumn("k", copy).where(F.col("k") <= top + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
@@ -147,6 +151,7 @@ def nearest(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataF
         sample = _matrix(entries.select("vector").limit(64).toArrow().column(0).combine_chunks())
     lists = max(1, min(MAX_FLOATS // dimension, len(sample), round(3 * math.sqrt(n))))
     shared = spark.sparkContext.broadcast(Graph(centroids(sample, lists)))
+    most = max(MAX_PROBES, lists // PROBED)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
@@ -173,8 +178,8 @@ def nearest(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataF
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids, d = g.search(_matrix(part.column(1)), BEAM)
-                within = (d <= RATIO * d[:, :1]) & (np.arange(ids.shape[1]) < MAX_PROBES)
+                ids, d = g.search(_matrix(part.column(1)), max(BEAM, most + most // 3))
+                within = (d <= RATIO * d[:, :1]) & (np.arange(ids.shape[1]) < most)
                 within[:, :MIN_PROBES] = np.isfinite(d[:, :MIN_PROBES])
                 again = np.nonzero(within)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[within].astype(np.int32)), *(c.take(pa.array(again)) for c in part.columns)], ["list", "query_id", "vector"])

@@ -426,3 +426,24 @@ def test_pipeline_on_the_smallest_table(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert out.select("doc_id").distinct().count() == docs.count() <= first
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_nearest_neighbours_of_each_length(spark):
+    rows = [(0, [1.0, 2.0]), (3, [1.0, 2.5]), (100, [4.0, 6.0, 1.0]), (7, [4.0, 6.0, 3.0]), (200, [9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df).collect())
+    assert got == [(0, 1, 3, 0.5), (100, 1, 7, 2.0)]
+
+
+def test_more_lists_are_read_where_there_are_more(spark, monkeypatch):
+    """With few lists read by default, one in PROBED of them is."""
+    v = np.random.default_rng(3).normal(size=(1200, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    for name, value in (("MIN_PROBES", 1), ("MAX_PROBES", 1), ("RATIO", 1e9), ("PROBED", 1)):
+        monkeypatch.setattr(ann, name, value)
+    x, found = v.astype(np.float64), 0
+    for r in ann.nearest(df).collect():
+        d = np.sqrt(((x - x[r.query_id]) ** 2).sum(1))
+        d[r.query_id] = np.inf
+        found += r.vec_id in np.lexsort((np.arange(1200), d))[:10]
+    assert found == 120  # all lists are read
