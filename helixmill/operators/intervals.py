@@ -43,18 +43,42 @@ def islands(df: DataFrame, keys: list[str], pos: str = "pos", tol: int = 12, til
     return t.join(starts, ["__k", "tile"]).withColumn("cluster_start", F.coalesce(here, "__open")).drop("__k", "tile", "__before", "__prev", "__new", "__open")
 
 
-def representatives(df: DataFrame, keys: list[str], order: list[str], pos: str = "pos", sources: str | None = None) -> DataFrame:
+def representatives(df: DataFrame, keys: list[str], order: list[str], pos: str = "pos", sources: str | None = None, tile: int = TILE) -> DataFrame:
     """Of each cluster the row nearest to its median position, ties by position, then by `order`; with n_sites, and, where
-    `sources` names a column, in it the sources of all its rows."""
+    `sources` names a column, in it the sources of all its rows.
+
+    A cluster narrower than a tile has at most `tile` positions, whose counts give its median in one task. Wider ones, of which a genome holds no more than
+    it has tiles, so that they are broadcast, get theirs by rank (wide_medians), and their rows are only ever summed up before a shuffle."""
     t = _whole(df, [*keys, "cluster_start"])
     names = [sources_of(F.col(sources)).alias("__sources")] if sources else []
-    middle = t.groupBy("__k").agg(F.median(pos).alias("__median"), F.count("*").alias("n_sites"), *names)
     more = ["n_sites", *(["__sources"] if sources else [])]
-    best = t.join(middle, "__k").groupBy("__k").agg(F.min(F.struct(F.abs(F.col(pos) - F.col("__median")).alias("__d"), F.col(pos).alias("__p"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), *df.columns, *more)).alias("__best"))
+    wide = t.groupBy("__k").agg(F.min(pos).alias("__lo"), F.max(pos).alias("__hi")).where(F.col("__hi") - F.col("__lo") >= tile).select("__k")
+    narrow = t.join(F.broadcast(wide), "__k", "left_anti")
+    middle = narrow.groupBy("__k").agg(F.median(pos).alias("__median"), F.count("*").alias("n_sites"), *names)
+    broad = t.join(F.broadcast(wide), "__k", "left_semi")
+    broad_middle = broad.groupBy("__k").agg(F.count("*").alias("n_sites"), *names).join(wide_medians(broad, pos, tile), "__k")
+    near = narrow.join(middle, "__k").unionByName(broad.join(F.broadcast(broad_middle), "__k"))
+    best = near.groupBy("__k").agg(F.min(F.struct(F.abs(F.col(pos) - F.col("__median")).alias("__d"), F.col(pos).alias("__p"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), *df.columns, *more)).alias("__best"))
     of = lambda c: F.col("__best.__sources" if c == sources else f"__best.{c}").alias(c)
     return best.select(*(of(c) for c in [*keys, "cluster_start", "n_sites"]), *(of(c) for c in df.columns if c not in (*keys, "cluster_start")))
 
 
+def wide_medians(df: DataFrame, pos: str, tile: int) -> DataFrame:
+    """__k, __median: the exact median position of each __k by rank: rows are counted by tile, the tiles that hold the middle ranks are found from the
+    counts, and only these tiles' positions are counted singly. No task has more than a tile's positions, or a row for each tile of a __k."""
+    t = df.withColumn("__t", _tile(F.col(pos), tile))
+    counts = t.groupBy("__k", "__t").agg(F.count("*").alias("__n"))
+    all_ = Window.partitionBy("__k")
+    earlier = all_.orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"__base": F.coalesce(F.sum("__n").over(earlier), F.lit(0)), "__all": F.sum("__n").over(all_)})
+    ranks = counts.withColumn("__r", F.explode(F.array_distinct(F.array(F.expr("(__all - 1) div 2"), F.expr("__all div 2"))))).where("__r >= __base and __r < __base + __n")
+    # one or two tiles a __k
+    own = t.join(F.broadcast(ranks.select("__k", "__t").distinct()), ["__k", "__t"], "left_semi").groupBy("__k", "__t", pos).agg(F.count("*").alias("__c"))
+    own = own.withColumn("__b", F.coalesce(F.sum("__c").over(Window.partitionBy("__k", "__t").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    hit = own.join(F.broadcast(ranks.select("__k", "__t", "__r", "__base")), ["__k", "__t"]).where("__r >= __base + __b and __r < __base + __b + __c")
+    return hit.groupBy("__k").agg(F.avg(pos).alias("__median"))
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], pos: str, start: str, take: list[str], order: list[str], tile: int = TILE) -> DataFrame:
     """left with a struct `asof` of `take` from the last row of right, by (start, *order), whose start is at or before pos;
     null where there is none. A null key or position matches nothing, but its row stays; rows of right with one are left

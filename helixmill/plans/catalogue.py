@@ -83,7 +83,7 @@ def cluster_nearby(spark, d):
 def cluster_per_class(spark, d):
     t = _sites(spark, d).withColumn("label", (F.col("source") == "R").cast("int")).groupBy(*KEYS, "label", "source").agg(F.min("sequence").alias("sequence"))
     keys = ["chrom", "strand", "label"]
-    return intervals.representatives(intervals.islands(t, keys), keys, ORDER).select(*keys, "cluster_start", "n_sites", "pos", "sequence")
+    return intervals.representatives(held(intervals.islands(held(t), keys)), keys, ORDER).select(*keys, "cluster_start", "n_sites", "pos", "sequence")
 
 
 @query(f"""{_D}, ranked as (select *, row_number() over (partition by sequence order by chrom, pos, strand, source) as rn, count(*) over (partition by sequence) as n from distinct_sites),
