@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from helixmill.functions import sequence as seq
-from helixmill.functions.ids import positive_id
+from helixmill.functions.ids import negative_id, positive_id
 from helixmill.operators import intervals, metrics, rows, sampling
 from helixmill.plans import pipelines
 from helixmill.plans.adapters import load, with_
@@ -234,6 +234,11 @@ def label_conflict_drop_pos(spark, d):
     return rows.label_conflicts(_labelled(spark, d), "drop_pos")
 
 
+@query(f"{_LABELLED} select * from labelled")
+def label_conflict_keep_both(spark, d):
+    return rows.label_conflicts(_labelled(spark, d), "keep_both")
+
+
 @query(f"{_LABELLED} select label, sequence, min(chrom || ':' || lpad(cast(pos as varchar), 9, '0') || ':' || strand) as at from labelled group by label, sequence")
 def within_label_dedup(spark, d):
     at = F.concat_ws(":", "chrom", F.lpad(F.col("pos").cast("string"), 9, "0"), "strand")
@@ -638,6 +643,13 @@ def positive_ids(spark, d):
     return _distinct(spark, d).select(*KEYS, positive_id(F.col("chrom"), F.col("pos"), F.col("strand"), F.col("sequence")).alias("id"))
 
 
+@query()
+def negative_ids(spark, d):
+    """BLAKE2b ids of sites with their gene, which may be null; as for positive_ids no SQL gives them, and tests compare with hashlib."""
+    gene = F.nullif(F.col("source"), F.lit("N"))
+    return _distinct(spark, d).select(*KEYS, gene.alias("gene_name"), negative_id(F.col("chrom"), F.col("pos"), F.col("strand"), gene).alias("id"))
+
+
 @query("select 'R' as source, count(*) as n_rows, count(distinct p_brand) as n_distinct from part union all select coalesce(nullif(trim(p_type), ''), 'none'), count(*), count(distinct p_brand) from part group by 1")
 def source_counts(spark, d):
     """Counts by source with a default for missing names."""

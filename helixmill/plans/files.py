@@ -260,6 +260,15 @@ def feature_table(spark, d):
     return pipelines.site_features(t, chunks, chunks.select(F.col("chrom").alias("contig")).distinct(), size=1024)
 
 
+@query("select concat('G', cast(p_partkey as varchar)) as gene_id, p_partkey * 3 as start_1based, p_partkey * 3 + p_size - 25 as end_1based from part where p_size >= 25 and p_partkey % 7 <> 0 and p_partkey % 11 <> 0")
+def feature_rows(spark, d):
+    """Of features of which many end before they start, lack a contig or a strand, those that the feature table takes."""
+    t = _part(spark, d).selectExpr("if(p_partkey % 7 = 0, null, 'chr1') as chrom", "p_partkey * 3 as start", "p_partkey * 3 + p_size - 25 as end", "if(p_partkey % 11 = 0, null, '+') as strand", "'x' as score", "'gene' as feature", "concat('G', p_partkey) as gene_id", "'' as gene_name", "'' as transcript_id", "'' as transcript_biotype")
+    chunks = _genome(spark, 1024)
+    out = pipelines.site_features(t, chunks, chunks.select(F.col("chrom").alias("contig")).distinct(), size=1024)
+    return out.select("gene_id", F.col("Start_1based").alias("start_1based"), F.col("End_1based").alias("end_1based"))
+
+
 _PLACE = "cast(concat('0x', substr(md5(concat({0}, '|place')), 1, 13)) as bigint)"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from helixmill.functions import sequence as seq
-from helixmill.operators import intervals
+from helixmill.operators import intervals, sampling
 from helixmill.operators.rows import shaped
 
 BED6 = "chrom string, start long, `end` long, name string, score string, strand string"
@@ -82,8 +82,8 @@ def bed_points(spark: SparkSession, path: str, prefixed: bool = True, primary_on
 def bed_regions(spark: SparkSession, path: str, prefixed: bool = True, primary_only: bool = False, skip_alt: bool = False) -> DataFrame:
     """chrom, start, end, region: its name, or region_k where it has none, for the k-th kept line (from 0)."""
     t = _kept(bed(spark, path), prefixed, primary_only, skip_alt)
-    k = F.row_number().over(Window.orderBy("line")) - 1  # a mask file: regions, not rows of a corpus
-    return t.withColumn("region", F.coalesce(F.nullif(F.col("name"), F.lit("")), F.concat(F.lit("region_"), k.cast("string")))).select("chrom", "start", "end", "region")
+    t = sampling.numbered(t, ["line"], "k")  # by ranges of lines, not in one task
+    return t.withColumn("region", F.coalesce(F.nullif(F.col("name"), F.lit("")), F.concat(F.lit("region_"), F.col("k").cast("string")))).select("chrom", "start", "end", "region")
 
 
 # What rows of a BED file are called among features.

@@ -122,3 +122,15 @@ def test_cleavage_positions(spark):
 
 def test_blake2b(spark):
     assert one(spark, "chr1|5|+|ACGT", blake2b64) == hashlib.blake2b(b"chr1|5|+|ACGT", digest_size=8).hexdigest()
+
+
+def test_ids_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    from helixmill.functions.ids import negative_id, positive_id
+
+    df = spark.createDataFrame([("chr1", 5, "+", "ACGT", "G1"), ("chr2", 6, "-", "T", None)], "c string, p long, s string, q string, g string")
+    c = [F.col(x) for x in "cpsqg"]
+    got = df.select(positive_id(c[0], c[1], c[2], c[3]).alias("a"), negative_id(c[0], c[1], c[2], c[4]).alias("b")).collect()
+    of = lambda text: hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
+    assert [tuple(r) for r in got] == [(of("chr1|5|+|ACGT"), of("chr1:5:+:G1")), (of("chr2|6|-|T"), of("chr2:6:-:"))]
