@@ -52,7 +52,7 @@ def representatives(df: DataFrame, keys: list[str], order: list[str], pos: str =
     t = _whole(df, [*keys, "cluster_start"])
     names = [sources_of(F.col(sources)).alias("__sources")] if sources else []
     more = ["n_sites", *(["__sources"] if sources else [])]
-    wide = t.groupBy("__k").agg(F.min(pos).alias("__lo"), F.max(pos).alias("__hi")).where(F.col("__hi") - F.col("__lo") >= tile).select("__k")
+    wide = t.where(F.col(pos) - F.col("cluster_start") >= tile).select("__k").distinct()
     narrow = t.join(F.broadcast(wide), "__k", "left_anti")
     middle = narrow.groupBy("__k").agg(F.median(pos).alias("__median"), F.count("*").alias("n_sites"), *names)
     broad = t.join(F.broadcast(wide), "__k", "left_semi")
@@ -180,7 +180,7 @@ def outside(points: DataFrame, spans: DataFrame, keys: list[str], pos: str = "po
     """Anti-join: the points in none of the half-open spans, which lie in bins as in containing(). Those that are in one are told by keys and position, so
     points stay as they are, equal ones and ones with nulls too."""
     s = spans.where(F.col("end") > F.col("start")).select(*keys, F.col("start").alias("__start"), (F.col("end") - 1).alias("__last"))
-    asked = points.select(*keys, F.col(pos).alias("__pos")).distinct()
+    asked = points.select(*keys, F.col(pos).alias("__pos"))
     own = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
     hit = containing(asked, s, keys, "__pos", "__start", "__last", tile).select(*own, "__pos").distinct()
     on = [F.col(k) == F.col(f"__key{i}") for i, k in enumerate(keys)] + [F.col(pos) == F.col("__pos")]
