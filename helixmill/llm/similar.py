@@ -14,7 +14,12 @@ What is sent is 52 bytes a table: 24 tables for 200,000 fingerprints, 52 for 12
 shingles are one fingerprint from the start. Keys that more than CROWD fingerprints share are linked by a search
 through the group that compares new members only with those not reached yet, so a group of near copies gives as many
 links as it has members, and the groups, not the members, are compared across keys. A part sends one link for each
-member of a group, to its smallest. One task holds the shingle hashes of a component of candidates, 8 bytes each.
+member of a group, to its smallest.
+
+A task that verifies holds the shingle hashes, 8 bytes each, of a whole component of candidates if they are at most PART, else of
+one or two blocks of it: a large component is dealt into blocks twice, by two hashes, and what the blocks find joins nearly all of a
+group of near copies. The texts outside the component's largest group then meet every block of it, so each pair of texts
+that isn't linked through others by then is compared, in tasks of the same bound.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from helixmill.llm.common import prepare, trimmed, written
 from helixmill.llm.components import components
@@ -39,6 +44,8 @@ DIFFERING, MISSED, MOST_BITS = 0.15, 0.01, 0.21
 #: Words of 64 bits of a fingerprint that are compared, whatever the number of rows.
 COMPARED = 5
 MIN_BITS, SHARD_ROWS, CROWD = 20, 250_000, 64
+#: Shingles of a block of a component of candidates.
+PART = 1 << 21
 #: Fingerprints that are dealt at once.
 HELD = 1 << 15
 _BLOCK = 1 << 16
@@ -233,20 +240,20 @@ def _grouped(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, id, text), those of a root together: (id, least), the smallest id that an id is linked with, if smaller."""
+    """(key, id, text), those of a key together: (id, least), the smallest id of the key that an id is linked with, if smaller."""
 
     def out(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         ids = np.array(sorted(sets), np.int64)
         least = ids[_grouped([sets[i] for i in ids.tolist()])] if len(ids) else ids
         return pa.RecordBatch.from_arrays([pa.array(ids[least < ids]), pa.array(least[least < ids])], ["id", "least"])
 
-    root, sets = None, {}
+    key, sets = None, {}
     for b in batches:
-        for r, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
-            if r != root:
+        for k, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+            if k != key:
                 if len(sets) > 1:
                     yield out(sets)
-                root, sets = r, {}
+                key, sets = k, {}
             if i not in sets:
                 sets[i] = shingles(text.as_py() or b"")
     if len(sets) > 1:
@@ -280,37 +287,80 @@ def _dealt(batches: Iterator[pa.RecordBatch], bits: int, tables: int, words: int
         yield from out(*map(np.concatenate, zip(*held)))
 
 
+def _compared(keyed: DataFrame) -> DataFrame:
+    """(key, id, text): the links (id, least) of each key's texts."""
+    together = keyed.select("key", "id", "text").repartition("key").sortWithinPartitions("key")
+    return written(together.mapInArrow(lambda it: trimmed(_verified(it)), "id long, least long"), "wide-alike")
+
+
+def _alike(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members: (root, id, n) of the components of candidates; texts: (root, id, text). Returns (id, least) for each id that isn't
+    the smallest of its group of linked texts."""
+    big = written(members.groupBy("root").agg(F.ceil(F.sum("n") / PART).alias("parts")).where("parts > 1"), "wide-big")
+    if big.isEmpty():
+        return _compared(texts.withColumnRenamed("root", "key"))
+
+    def block(k: int, parts: str) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(k)), F.col(parts))
+
+    texts = texts.join(big, "root", "left")
+    twice = F.array(*(F.array("root", F.lit(k).cast("long"), block(k, "parts")) for k in (1, 2)))
+    once = F.array(F.array("root", F.lit(0).cast("long"), F.lit(0).cast("long")))
+    first = _compared(texts.withColumn("key", F.explode(F.when(F.col("parts").isNull(), once).otherwise(twice))))
+    mine = written(members.select("root", "id", "n").join(big, "root"), "wide-mine")
+    small = first.join(mine.select("id"), "id", "left_anti")
+    links = first.join(mine.select("id"), "id", "left_semi").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    found = components(links)
+    labels = found.select(F.col("node").alias("id"), F.col("root").alias("label"))
+    mine = mine.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    groups = mine.groupBy("root", "label").agg(F.sum("n").alias("s")).groupBy("root").agg(F.max(F.struct("s", "label")).alias("most"), F.sum("s").alias("s"))
+    rest = groups.select("root", F.col("most.label").alias("most"), F.ceil((F.col("s") - F.col("most.s")) / PART).alias("others")).where("others > 0")
+    mine = written(mine.join(rest, "root").select("id", "root", "parts", "others", (F.col("label") != F.col("most")).alias("other")), "wide-rest")
+    if not mine.isEmpty():
+        all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        met = F.transform(all_of("others"), lambda b: F.array("root", b, block(1, "parts")))
+        asks = F.transform(all_of("parts"), lambda b: F.array("root", block(3, "others"), b))
+        keys = mine.select("id", F.array_distinct(F.when(F.col("other"), F.concat(met, asks)).otherwise(met)).alias("keys"))
+        again = _compared(texts.select("id", "text").join(keys, "id").withColumn("key", F.explode("keys")))
+        found = components(links.union(again.select("id", "least")))
+    return small.union(found.select("node", "root"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each group of linked documents the one of the smallest doc_id (then of the smallest text hash; one of equal rows;
     null doc_ids last), with all columns. Texts without words are copies of each other; an empty table stays empty."""
     spark = docs.sparkSession
     prepare(spark)
+    columns = docs.columns
+    docs = docs.toDF(*(c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(columns)))
     bits, tables, words, top = shape(docs.count())
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps = np.zeros(b.num_rows, np.uint64), []
+            ids, sizes, fps = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
             for k, x in enumerate(b.column(2).cast(pa.binary())):
                 h = shingles(x.as_py() or b"")
                 ids[k] = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+                sizes[k] = len(h)
                 fps.append(fingerprint(h, words).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids.view(np.int64)), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids.view(np.int64)), pa.array(sizes), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "id", "n", "words"])
 
-    made = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lambda it: trimmed(prints(it)), "doc_id long, text_hash long, id long, words array<long>")
+    made = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lambda it: trimmed(prints(it)), "doc_id long, text_hash long, id long, n long, words array<long>")
     made = written(made, "wide-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash"))
-    once = written(made.groupBy("id").agg(first.alias("first"), F.min("words").alias("words")), "wide-once")
+    once = written(made.groupBy("id").agg(first.alias("first"), F.min("n").alias("n"), F.min("words").alias("words")), "wide-once")
     dealt = once.select("id", "words").mapInArrow(lambda it: trimmed(_dealt(it, bits, tables, words, top)), "part int, blob binary")
     most = round(MOST_BITS * 64 * COMPARED)
     links = dealt.groupBy("part").applyInPandas(lambda rows: _linked(rows["blob"].tolist(), bits - top, COMPARED, most), "u long, v long")
     found = components(links)
     members = found.select("node", "root").union(found.select(F.col("root").alias("node"), "root").distinct())
-    members = once.join(members, F.col("id") == F.col("node")).select("root", "id", F.col("first.doc_id").alias("__hm_id"), F.col("first.text_hash").alias("__hm_hash"))
+    members = once.join(members, F.col("id") == F.col("node")).select("root", "id", "n", F.col("first.doc_id").alias("__hm_id"), F.col("first.text_hash").alias("__hm_hash"))
+    members = written(members, "wide-members")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__hm_text"))
     texts = texts.join(members, F.col("doc_id").eqNullSafe(F.col("__hm_id")) & (F.col("__hm_text") == F.col("__hm_hash"))).select("root", "id", "text")
-    alike = written(texts.repartition("root").sortWithinPartitions("root").mapInArrow(lambda it: trimmed(_verified(it)), "id long, least long"), "wide-alike")
+    alike = _alike(members, texts)
     rooted = once.select("id", "first").join(alike, "id", "left").select(F.coalesce("least", "id").alias("root"), "first")
     keep = rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("__hm_id"), F.col("k.text_hash").alias("__hm_hash"))
     keyed = docs.withColumn("__hm_text", F.xxhash64("text"))
     kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("__hm_id")) & (F.col("__hm_text") == F.col("__hm_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hm_text"]).drop("__hm_text")
+    return kept.dropDuplicates(["doc_id", "__hm_text"]).drop("__hm_text").toDF(*columns)

@@ -156,6 +156,42 @@ def test_similar_documents(spark, monkeypatch, crowd, rows):
     assert all(len(shingles(texts[0]) & shingles(texts[k])) / len(shingles(texts[0]) | shingles(texts[k])) >= 0.8 for k in range(6))
 
 
+@pytest.mark.parametrize("part", [700, 5_000])
+def test_large_components_in_blocks(spark, monkeypatch, part):
+    """One component of candidates: a chain whose neighbours alone are linked, a group of near copies, and texts that are near them but
+    not linked. In blocks the kept documents are the same as by brute force over all pairs."""
+    monkeypatch.setattr(similar, "PART", part)
+    rng = random.Random(5)
+    vocabulary = words(rng, 3000).split()
+    base = [rng.choice(vocabulary) for _ in range(204)]
+    chain = [base]
+    for k in range(12):
+        w = list(chain[-1])
+        w[16 * k : 16 * k + 16] = ["c%d_%d" % (k, i) for i in range(16)]
+        chain.append(w)
+    copies = [[*base[:p], "copy%d" % p, *base[p + 1 :]] for p in range(3, 200, 3)]
+    apart = [[*base[: 204 - n], *("a%d_%d" % (n, i) for i in range(n))] for n in (22, 30, 40, 60)]
+    texts = [" ".join(w) for w in (*chain, *copies, *apart)]
+    rng.shuffle(texts)
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for i, x in enumerate(label):
+        least.setdefault(x, i)
+    hashes = [similar.shingles(t.encode()) for t in texts]
+    members = spark.createDataFrame([(1, 10 * i, len(h)) for i, h in enumerate(hashes)] + [(2, 5, 1), (2, 6, 1)], "root long, id long, n long")
+    rows = spark.createDataFrame([(1, 10 * i, t) for i, t in enumerate(texts)] + [(2, 6, "same"), (2, 5, "same")], "root long, id long, text string")
+    got = {r.id: r.least for r in similar._alike(members, rows).collect()}
+    assert got == {6: 5} | {10 * i: 10 * least[x] for i, x in enumerate(label) if least[x] != i}
+    assert len(least) > 2
+    df = docs(spark, texts).withColumn("__hm_id", F.lit("clash"))
+    assert similar.one_of_each(df).columns == df.columns
+    assert sorted(r.doc_id for r in similar.one_of_each(df).collect()) == sorted(least.values())
+
+
 def threshold_pairs(changed, n=60):
     """Pairs of texts of 300 shingles, of which the last `changed` differ, so of similarity (300 - c) / (300 + c)."""
     rng = random.Random(8)
