@@ -17,11 +17,12 @@ from helixmill.sources import genomic
 _CHROM = "concat('chr', cast(1 + p_partkey % 22 as {0}))"
 
 
-def _lines(spark: SparkSession, lines: DataFrame, name: str, read) -> DataFrame:
-    """read(path) of the column value of lines, written in the order of the other columns, as a held table."""
+def _lines(spark: SparkSession, lines: DataFrame, name: str, read, together: int | None = None) -> DataFrame:
+    """read(path) of the column value of lines, written in the order of the other columns, as a held table. Rows alike in the first
+    `together` of these columns come into one file."""
     order = [c for c in lines.columns if c != "value"]
     path = new_path(spark, name)
-    lines.repartitionByRange(3, *order).sortWithinPartitions(*order).select("value").write.text(path)
+    lines.repartitionByRange(3, *order[:together]).sortWithinPartitions(*order).select("value").write.text(path)
     out = held(read(path))
     remove(spark, path)
     return out
@@ -154,6 +155,24 @@ def fasta_scan(spark, d):
     return chunks.select("chrom", "chunk", F.md5("sequence").alias("digest"), F.length("sequence").cast("long").alias("n"))
 
 
+#: Windows of 20 bases before and 30 after places of part's contigs; some run over a contig's end, some lie beyond it.
+_PLACES = ("{0} as chrom", "cast(p_partkey * 3 as bigint) as pos", "case when p_partkey % 2 = 0 then '+' else '-' end as strand")
+_WINDOWS_SQL = f"with {_PART_LETTERS}, p as (select p_partkey, {', '.join(_PLACES).format(_CHROM.format('varchar'))} from part), w as (select p.*, coalesce(substr(s, cast(greatest(pos - 20, 0) + 1 as int), cast(pos + 30 - greatest(pos - 20, 0) as int)), '') as dna from p left join letters using (chrom)) select p_partkey, chrom, pos, strand, case strand when '-' then reverse(translate(dna, 'ACGT', 'TGCA')) else dna end as sequence from w"
+
+
+@query(_WINDOWS_SQL)
+def fasta_windows(spark, d):
+    """By an index into the FASTA files of part's contigs; only the windows' bytes are read."""
+    points = _part(spark, d).selectExpr("p_partkey", *(x.format(_CHROM.format("string")) for x in _PLACES))
+    return _lines(spark, _fasta_of_part(spark, d), "fasta", lambda p: genomic.pipeline_windows(points, held(genomic.fasta_index(spark, p)), 20, right=30), 1)
+
+
+@query(f"with {_PART_LETTERS} select chrom, cast(length(s) as bigint) as bases, cast(64 as bigint) as line_bases, cast(65 as bigint) as line_width from letters")
+def fasta_index(spark, d):
+    """The index of the FASTA files of part's contigs, but for where each lies, which depends on how contigs are dealt to files."""
+    return _lines(spark, _fasta_of_part(spark, d), "fasta", lambda p: genomic.fasta_index(spark, p), 1).select("chrom", "bases", "line_bases", "line_width")
+
+
 @query("""with t as (select *, p_partkey * 100 as a, case when p_partkey % 3 = 0 then '-' else '+' end as s from part)
 select concat('chr', cast(p_partkey as varchar)) as src_chrom, a as src_start, a + 10 as src_end, 'chr1' as dst_chrom, case s when '+' then a + 7 else 1000000 - 1 - (a + 7) end as dst_start, s as dst_strand, cast(p_size as bigint) as score from t
 union all select concat('chr', cast(p_partkey as varchar)), a + 15, a + 15 + p_size, 'chr1', case s when '+' then a + 7 + 13 else 1000000 - 1 - (a + 7 + 13) end, s, p_size from t""")

@@ -1,7 +1,7 @@
 """Readers for BED, GTF, PAS tables, chromosome sizes, chain files and FASTA, and writers.
 
 Whole-line comments are skipped; a # inside a line stays. All readers are Spark's own, so any path that Spark reads will
-do, .gz included. FASTA and chain records span lines, which Spark splits over tasks; a line gets its number in the
+do, .gz included; only windows by an index into a FASTA file read its bytes themselves. FASTA and chain records span lines, which Spark splits over tasks; a line gets its number in the
 file by its place in its partition plus the lines of the partitions before.
 """
 
@@ -198,17 +198,96 @@ def fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame
     return parts.select("chrom", "chunk", F.array_join(F.transform("parts", lambda x: x["p"]), "").alias("sequence"))
 
 
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, bases, offset, line_bases, line_width, file: where each contig's bases lie in its file, as a .fai index has it. One pass
+    over the text, best written once and read for every later question. A contig lies in one file; of contigs of one name the first
+    counts. Lines of a contig but its last are equally long; where they aren't, and for compressed files, the query fails."""
+    t = spark.read.option("lineSep", "\n").text(path).withColumn("file", F.col("_metadata.file_path"))
+    t = numbered(t).withColumns({"tile": F.floor(F.col("line") / 4096), "w": F.octet_length("value") + 1, "value": F.rtrim("value", F.lit("\r"))})
+    head = F.col("value").startswith(">")
+    mark = F.when(head, F.struct("line", F.split(F.substring("value", 2, 1 << 20), r"\s+")[0].alias("chrom")))
+    earlier = Window.partitionBy("file").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = t.groupBy("file", "tile").agg(F.max(mark).alias("l"), F.sum("w").alias("s"))  # a row for 4096 lines
+    tiles = tiles.select("file", "tile", F.max("l").over(earlier).alias("open"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("file", "tile").orderBy("line")
+    t = t.withColumn("own", F.max(mark).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.coalesce(F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = t.join(tiles, ["file", "tile"]).withColumn("contig", F.coalesce("own", "open")).where("contig is not null")
+    some = ~head & (F.col("value") != "")
+    line = F.when(some, F.struct("line", F.length("value").cast("long").alias("b"), F.col("w").cast("long").alias("w"), (F.col("base") + F.col("before")).alias("at")))
+    g = t.groupBy("file", "contig").agg(F.min(line).alias("f"), F.max(line).alias("l"), F.count(line).alias("k"), F.sum(line["b"]).alias("b"), F.sum(line["w"]).alias("w"), F.max(line["b"]).alias("most"), F.max(line["w"] - line["b"]).alias("odd"))
+    alike = (F.col("b") - F.col("l.b") == (F.col("k") - 1) * F.col("f.b")) & (F.col("w") - F.col("l.w") == (F.col("k") - 1) * F.col("f.w")) & (F.col("most") == F.col("f.b"))
+    fine = F.col("f").isNull() | (alike & (F.col("l.line") - F.col("f.line") + 1 == F.col("k")) & (F.col("odd") <= 2))
+    fine &= ~F.col("file").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
+    bases = F.when(fine, F.coalesce("b", F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("no index for contig "), F.col("contig.chrom"), F.lit(" of "), F.col("file"))))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    found = F.struct("file", zero("f.at").alias("offset"), bases.cast("long").alias("bases"), zero("f.b").alias("line_bases"), zero("f.w").alias("line_width"))
+    return g.groupBy(F.col("contig.chrom").alias("chrom")).agg(F.min(F.struct("contig.line", found.alias("x"))).alias("i")).select("chrom", *(f"i.x.{c}" for c in ("bases", "offset", "line_bases", "line_width", "file")))
+
+
+def fai(spark: SparkSession, fasta: str) -> DataFrame:
+    """The columns of fasta_index from the index file beside `fasta` (its name and .fai), as other tools write it."""
+    t = spark.read.csv(f"{fasta}.fai", sep="\t", schema="chrom string, bases long, offset long, line_bases long, line_width long")
+    return t.withColumn("file", F.lit(fasta))
+
+
+#: Bytes between two ranges that are read along rather than skipped, and bytes of one read of several ranges.
+RANGE_GAP, RANGE_MOST = 1 << 14, 1 << 23
+
+
+def fasta_ranges(need: DataFrame, index: DataFrame) -> DataFrame:
+    """need: distinct (chrom, __from, __to), not below 0. Returns them, cut off at the contig's end, with dna and n_read, the bytes that were read for
+    this and the ranges that follow close by. Ranges are sorted by file and place, so a task reads forward in a few
+    files; nothing but coordinates is shuffled. Files are opened by pyarrow, so they must be where it can read."""
+    n = need.join(index, "chrom").withColumn("end", F.least("__to", "bases")).where("__from < end")
+    place = lambda c: F.col("offset") + F.floor(c / F.col("line_bases")) * F.col("line_width") + c % F.col("line_bases")
+    n = n.select("chrom", "__from", "__to", "file", place(F.col("__from")).cast("long").alias("first"), (place(F.col("end") - 1) + 1).cast("long").alias("stop"))
+
+    def read(batches):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        name = stream = None
+        for b in batches:
+            files, first, stop = (b.column(k).to_pylist() for k in (3, 4, 5))
+            dna, cost, k = [], [], 0
+            while k < len(files):
+                e, to = k + 1, stop[k]
+                while e < len(files) and files[e] == files[k] and first[e] <= to + RANGE_GAP and max(to, stop[e]) - first[k] <= RANGE_MOST:
+                    to, e = max(to, stop[e]), e + 1
+                if files[k] != name:
+                    if stream:
+                        stream.close()
+                    name = files[k]
+                    where, own = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                    stream = where.open_input_file(own)
+                data = stream.read_at(to - first[k], first[k])
+                dna += [data[first[i] - first[k] : stop[i] - first[k]].translate(None, b"\r\n").decode("utf-8", "replace") for i in range(k, e)]
+                cost += [len(data)] + [0] * (e - k - 1)
+                k = e
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(dna, pa.string()), pa.array(cost, pa.int64())], ["chrom", "__from", "__to", "dna", "n_read"])
+        if stream:
+            stream.close()
+
+    return n.repartitionByRange("file", "first").sortWithinPartitions("file", "first").mapInArrow(read, "chrom string, __from long, __to long, dna string, n_read long")
+
+
 def windows(points: DataFrame, chunks: DataFrame, start: Column, end: Column, size: int = CHUNK) -> DataFrame:
-    """points with dna: bases [start, end) of their chrom, cut off at the contig's ends; empty where the contig is unknown.
+    """points with dna: bases [start, end) of their chrom, cut off at the contig's ends; empty where the contig is unknown. chunks: the
+    genome's chunks, or its index, by which only the bytes of the windows are read.
     Windows meet the chunks they touch by an equi-join; only coordinates are shuffled with the chunks. Each window is made once, and points
     get it by its coordinates, so nothing depends on how rows are numbered."""
-    p = points.withColumns({"__from": F.greatest(start, F.lit(0)), "__to": end})
+    p = points.withColumns({"__from": F.greatest(start, F.lit(0)).cast("long"), "__to": end.cast("long")})
     need = p.where("__to > __from").select("chrom", "__from", "__to").distinct()
-    need = need.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__from") / size), F.floor((F.col("__to") - 1) / size))))
-    lo = F.greatest("__from", F.col("chunk") * size)
-    piece = F.substring(F.col("__s"), (lo - F.col("chunk") * size + 1).cast("int"), (F.col("__to") - lo).cast("int"))
-    got = need.join(chunks.select("chrom", "chunk", F.col("sequence").alias("__s")), ["chrom", "chunk"]).groupBy(F.col("chrom").alias("__chrom"), F.col("__from").alias("__f"), F.col("__to").alias("__t"))
-    got = got.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("dna"))
+    if "line_bases" in chunks.columns:
+        got = fasta_ranges(need, chunks).select(F.col("chrom").alias("__chrom"), F.col("__from").alias("__f"), F.col("__to").alias("__t"), "dna")
+    else:
+        need = need.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__from") / size), F.floor((F.col("__to") - 1) / size))))
+        lo = F.greatest("__from", F.col("chunk") * size)
+        piece = F.substring(F.col("__s"), (lo - F.col("chunk") * size + 1).cast("int"), (F.col("__to") - lo).cast("int"))
+        got = need.join(chunks.select("chrom", "chunk", F.col("sequence").alias("__s")), ["chrom", "chunk"]).groupBy(F.col("chrom").alias("__chrom"), F.col("__from").alias("__f"), F.col("__to").alias("__t"))
+        got = got.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("dna"))
     on = (F.col("chrom") == F.col("__chrom")) & (F.col("__from") == F.col("__f")) & (F.col("__to") == F.col("__t"))
     return p.join(got, on, "left").withColumn("dna", F.coalesce("dna", F.lit(""))).drop("__chrom", "__from", "__to", "__f", "__t")
 

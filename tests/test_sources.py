@@ -55,6 +55,37 @@ def test_fasta_windows(spark, tmp_path):
     assert {len(r.sequence) for r in genomic.feature_windows(points.where("pos = 300"), chunks, size=128).collect()} == {100}
 
 
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_fasta_by_index(spark, tmp_path, newline):
+    genome = {c: "".join(RNG.choice("ACGTacgtN") for _ in range(n)) for c, n in (("chr1", 300_000), ("chr2", 120), ("chr3", 1), ("chr4", 0), ("chr5", 61))}
+    text = "".join(f">{c} note{newline}" + "".join(s[i : i + 60] + newline for i in range(0, len(s), 60)) for c, s in genome.items())
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    path = write(folder, "g.fa", text + newline + f">chr1 again{newline}AC")
+    index = genomic.fasta_index(spark, path)
+    got = {r.chrom: r for r in index.collect()}
+    assert {c: r.bases for c, r in got.items()} == {c: len(s) for c, s in genome.items()}
+    assert all(got[c].offset == text.index(f">{c} ") + len(f">{c} note{newline}") for c in genome if c != "chr4")
+    places = [("chr1", a, b) for a, b in ((0, 1), (59, 61), (60, 60), (61, 59), (-5, 3), (299_990, 300_020), (150_000, 150_203), (400_000, 400_010))]
+    places += [("chr2", 0, 200), ("chr2", 119, 120), ("chr3", 0, 9), ("chr4", 0, 9), ("chr5", 60, 61), ("chr9", 0, 5), (None, 0, 5)]
+    points = spark.createDataFrame([*places, places[0]], "chrom string, a long, b long")
+    want = sorted((c or "", a, b, genome.get(c, "")[max(a, 0) : b] if b > a else "") for c, a, b in [*places, places[0]])
+    rows = genomic.windows(points, index, F.col("a"), F.col("b")).collect()
+    assert sorted((r.chrom or "", r.a, r.b, r.dna) for r in rows) == want
+    need = points.where("b > a and a >= 0").selectExpr("chrom", "a as __from", "b as __to").distinct()
+    read = genomic.fasta_ranges(need, index).agg(F.sum("n_read")).first()[0]
+    assert 0 < read < len(text) / 10
+    write(folder, "g.fa.fai", "".join(f"{r.chrom}\t{r.bases}\t{r.offset}\t{r.line_bases}\t{r.line_width}\n" for r in got.values()))
+    by_file = genomic.fai(spark, path).withColumn("file", F.lit(got["chr1"].file))
+    assert sorted((r.chrom or "", r.a, r.b, r.dna) for r in genomic.windows(points, by_file, F.col("a"), F.col("b")).collect()) == want
+
+
+@pytest.mark.parametrize("name, lines", [("g.fa", ">a\nACG\nAC\nACG\n"), ("g.fa", ">a\nAC\nACG\n"), ("g.fa", ">a\nAC\n\nAC\n"), ("g.fa.gz", ">a\nAC\n")])
+def test_fasta_without_an_index(spark, tmp_path, name, lines):
+    with pytest.raises(Exception, match="no index for contig a"):
+        genomic.fasta_index(spark, write(tmp_path, name, lines)).collect()
+
+
 def test_chain_and_sizes(spark, tmp_path):
     p = write(tmp_path, "a.chain", "chain 100 chr1 1000 + 10 60 chr2 2000 + 100 160 1\n20 5 15\n25\n\nchain 7 chr1 1000 + 500 510 chr3 300 - 20 30 2\n10\n")
     got = sorted(tuple(r) for r in genomic.chain_blocks(spark, p).collect())
