@@ -148,7 +148,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """For each context limit: documents and tokens in all, the documents longer than it, and the tokens left
-    after truncation. Exact for every limit; the limits are the caller's few values, so they are broadcast."""
+    after truncation. Exact for every limit; the limits are the caller's few values, so they are broadcast. An empty histogram
+    gives no rows."""
     wanted = F.broadcast(histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long"))
     cut = F.col("docs") * (F.col("n_tokens") - F.col("context_limit"))
     over = F.col("n_tokens") > F.col("context_limit")

@@ -101,5 +101,10 @@ def trimmed(batches: Iterable) -> Iterator:
         trim()
 
 
+def own_names(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs with all columns but `keep` named by their place, so that none clashes with a name that an operator adds."""
+    return docs.toDF(*(c if c in keep else f"__c{i}" for i, c in enumerate(docs.columns)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from helixmill.llm.common import forget, prepare, trimmed, written
+from helixmill.llm.common import forget, own_names, prepare, trimmed, written
 
 ORDER = 5
 #: Labelled documents used to calibrate, and the most that they are of all; the part of such documents to be rejected.
@@ -342,5 +342,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is known and whose score is not below 1/2 (see the calibration), with their columns; a null
     lang becomes the predicted one. An empty table stays empty; rows with a null doc_id stay or go like any other."""
+    columns, docs = docs.columns, own_names(docs, "doc_id", "text", "lang")
     out = _predicted(docs, fit(docs), docs.columns).where((F.col("__hm_lang") != UNKNOWN) & (F.col("__hm_score") >= 0.5))
-    return out.select(*(F.coalesce("lang", "__hm_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    return out.select(*(F.coalesce("lang", "__hm_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns)).toDF(*columns)

@@ -246,7 +246,9 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """pieces() as a table, then pack()."""
+    """pieces() as a table, then pack(). A null text counts as empty, of one token; rows of a null doc_id and repeated rows are packed like
+    any other, each for itself; ties are interchangeable, so their places are any of the best. A text of any length is
+    cut into pieces. An empty table gives no rows."""
     made = written(pieces(docs, tokenizer, capacity), "packing-pieces")
     out = pack(made, capacity)
     forget(made)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from helixmill.llm.common import prepare, written
+from helixmill.llm.common import own_names, prepare, written
 from helixmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -120,11 +120,12 @@ def components_of(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest doc_id (then of the smallest text hash; one of equal rows),
-    with all columns."""
+    """One document of each component, that of the smallest doc_id (then of the smallest text hash; one of equal rows;
+    null doc_ids last), with all columns. An empty table stays empty."""
+    columns, docs = docs.columns, own_names(docs, "doc_id", "text")
     prints = written(fingerprints(docs), "prints")
     first = labelled(prints).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("k"))
     first = first.select(F.col("k.doc_id").alias("__hm_id"), F.col("k.text_hash").alias("__hm_hash"))
     keyed = docs.withColumn("__hm_text", F.xxhash64("text"))
     kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__hm_id")) & (F.col("__hm_text") == F.col("__hm_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hm_text"]).drop("__hm_text")
+    return kept.dropDuplicates(["doc_id", "__hm_text"]).drop("__hm_text").toDF(*columns)

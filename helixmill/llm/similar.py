@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from helixmill.llm.common import prepare, trimmed, written
+from helixmill.llm.common import own_names, prepare, trimmed, written
 from helixmill.llm.components import components
 
 SHINGLE, SEED = 5, 42
@@ -332,7 +332,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     columns = docs.columns
-    docs = docs.toDF(*(c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(columns)))
+    docs = own_names(docs, "doc_id", "text")
     bits, tables, words, top = shape(docs.count())
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

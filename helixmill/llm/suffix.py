@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from helixmill.llm.common import prepare, trim, trimmed, written
+from helixmill.llm.common import own_names, prepare, trim, trimmed, written
 from helixmill.llm.sais import permuted_lcp, suffix_array
 
 SPAN, GRAM = 50, 20
@@ -486,7 +486,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut out of text (a character of which a part goes, goes), n_chars, where there is
-    one, its new length. Documents that lose their whole text go; those that had none stay."""
+    one, its new length. Documents that lose their whole text go; those that had none stay. A document with a null doc_id neither
+    removes nor loses anything, nor do rows of one doc_id remove each other's text; repeated rows stay, each cut
+    alike. An empty table stays empty."""
+    columns, docs = docs.columns, own_names(docs, "doc_id", "text", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -501,4 +504,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__hm_own", F.xxhash64("text"))
     both = keyed.join(cut, (F.col("doc_id") == F.col("__hm_id")) & (F.col("__hm_own") == F.col("__hm_hash")), "left").where("__hm_cut is null or __hm_text <> ''")
     new = F.when(F.col("__hm_cut"), F.col("__hm_text")).otherwise(F.col("text"))
-    return both.select(*(new.alias("text") if c == "text" else F.when(F.col("__hm_cut"), F.length("__hm_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return both.select(*(new.alias("text") if c == "text" else F.when(F.col("__hm_cut"), F.length("__hm_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns)).toDF(*columns)

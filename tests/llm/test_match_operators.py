@@ -113,6 +113,25 @@ def test_simhash_documents(spark):
     assert simhash.components_of(df.where("false")).collect() == []
 
 
+def test_simhash_of_long_texts_and_clashing_columns(spark):
+    rng = random.Random(12)
+    long = " ".join(words(rng, 1000) for _ in range(60))
+    texts = [long, long + " end", words(rng, 50), "w" * 500_000, " " * 100_000]
+    df = clashing(docs(spark, texts))
+    got = {r.doc_id: r for r in simhash.components_of(df).collect()}
+    assert all(got[i].fingerprint == format(plain_fingerprint(t), "016x") for i, t in enumerate(texts)) and got[1].component_id == 0
+    for one_of_each in (simhash.one_of_each, similar.one_of_each):
+        kept = one_of_each(df)
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id, r["__hm_id"]) for r in kept.collect()) == [(i, "__hm_id") for i in (0, 2, 3, 4)]
+        assert one_of_each(df.where("false")).collect() == []
+
+
+def clashing(df):
+    """With columns named as the operators might name theirs."""
+    return df.select("*", *(F.lit(c).alias(c) for c in ("__hm_id", "__hm_hash", "__hm_text", "__hm_cut", "__hm_own", "fp", "root", "id", "n")))
+
+
 def shingles(t):
     w = t.lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
@@ -322,8 +341,13 @@ def test_suffix_removal(spark, monkeypatch, hot, block, fan):
 
 def test_suffix_removal_keeps_documents(spark):
     texts = repeated_texts()
-    df = docs(spark, texts)
-    kept = {r.doc_id: r.text for r in suffix.without_repeats(df).collect()}
+    df = clashing(docs(spark, texts))
+    out = suffix.without_repeats(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert {(r["__hm_id"], r["__hm_text"], r["__hm_cut"]) for r in got} == {("__hm_id", "__hm_text", "__hm_cut")}
+    assert all(r.n_chars == len(r.text) for r in got if r.text and r.text != texts[r.doc_id])
+    kept = {r.doc_id: r.text for r in got}
     for d, n, removed, _, digest in plain_removal(list(enumerate(texts))):
         if n and removed == n:
             assert d not in kept

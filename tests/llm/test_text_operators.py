@@ -238,7 +238,7 @@ def test_language_id_ties_repeats_long_and_clashing_columns(spark):
     assert len({tuple(r) for r in got if r.doc_id == 7 and r.lang_pred == "aa"}) >= 1
     twin = [(i, "same words here " * 20, "pq"[i % 2], "s", 0) for i in range(40)]
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame(twin, DOCS)).collect()} <= {"p", "q"}
-    clash = spark.createDataFrame(corpora(), DOCS).withColumn("__q", F.lit(3))
+    clash = spark.createDataFrame(corpora(), DOCS).withColumns({c: F.lit(c) for c in ("__q", "__hm_lang", "__hm_score")})
     assert langid.accepted(clash).columns == clash.columns and langid.accepted(clash.where("false")).collect() == []
     assert langid.accepted(spark.createDataFrame([(None, corpora()[0][1], None, "s", 0), *corpora()], DOCS)).where("doc_id is null").count() == 1
 
@@ -396,3 +396,4 @@ def test_packing(spark):
         assert at <= 64
     assert len(by) <= -(-sum(r.length for r in got) // 64) * 1.05 + 1
     assert packing.pack_documents(docs(spark, []), JSON).collect() == []
+    assert bpe.at_limits(spark.createDataFrame([], "n_tokens long, docs long"), [3]).collect() == []
