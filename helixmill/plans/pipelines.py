@@ -226,9 +226,15 @@ def model_windows(df: DataFrame, width: int = 203, stride: int = 100) -> DataFra
 
 def scored(samples: DataFrame, predict: Callable[[list[str]], "pd.DataFrame"], text: str = "tokens", batch: int = 128) -> DataFrame:
     """samples with prob, from predict(texts) -> a frame of two logits, in Arrow batches. The model is the caller's."""
+    return _scored(samples, lambda: predict, text, batch)
+
+
+def _scored(samples: DataFrame, model: Callable[[], Callable], text: str, batch: int) -> DataFrame:
+    """model() makes predict, once in each task."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = model()
         for pdf in parts:
             logits = pd.concat([predict(pdf[text].iloc[i : i + batch].tolist()) for i in range(0, len(pdf), batch)], ignore_index=True) if len(pdf) else pd.DataFrame({0: [], 1: []})
             yield pdf.assign(l0=logits.iloc[:, 0].to_numpy("float64"), l1=logits.iloc[:, 1].to_numpy("float64"))
@@ -237,6 +243,21 @@ def scored(samples: DataFrame, predict: Callable[[list[str]], "pd.DataFrame"], t
     return out.withColumn("prob", seq.positive_probability(F.col("l0"), F.col("l1"))).drop("l0", "l1")
 
 
+def scored_by_model(samples: DataFrame, path: str, load: Callable[[bytes], Callable[[list[str]], "pd.DataFrame"]], text: str = "tokens", batch: int = 128, most: int = 1 << 30) -> DataFrame:
+    """samples with prob, by the model in the one file at path (or in the folder path), of at most `most` bytes: Spark reads it, its size is checked before its
+    content is read, and it reaches each executor once, as a broadcast. load(content) -> predict is called once in each task. Texts are dealt to
+    batches by their length, so that those of a batch need little padding; a null text comes to predict as an empty one. ValueError unless there is
+    exactly one file, within the bound."""
+    spark = samples.sparkSession
+    files = spark.read.format("binaryFile").load(path)
+    found = files.select("path", "length").take(2)
+    if len(found) != 1 or found[0]["length"] > most:
+        raise ValueError(f"one model file of at most {most} bytes: {path} has {[f['length'] for f in found]}")
+    content = spark.sparkContext.broadcast(bytes(files.select("content").first()[0]))
+    own = samples.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).sortWithinPartitions(F.length("__text"))
+    return _scored(own, lambda: load(content.value), "__text", batch).drop("__text")
+
+
 def evaluated(scores: DataFrame) -> DataFrame:
     return metrics.thresholded(scores).crossJoin(metrics.ranked(scores))
 

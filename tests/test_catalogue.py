@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from helixmill.plans import catalogue, files  # noqa: F401  files registers its queries
+from helixmill.plans import catalogue, datasets, files  # noqa: F401  both register their queries
 
 DATA = "/root/testdata/sf0.001"
 
