@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models (operator 7).
 
 Symbols are lower-cased letters; a run of anything else is one word boundary (0). A gram is a symbol with the four
-before it in the same word, filled up with boundaries. Training counts the grams of all training documents; the
-model of a language is built from all its grams, none left out, and kept as sorted arrays of 64-bit hashes. So it grows
+before it in the same word, filled up with boundaries. Training counts the grams of the training documents, but for those
+held back to calibrate (CALIBRATION_DOCS of them, at most a share of CALIBRATION_SHARE); the model of a language is built from all its grams, none left out, and kept as sorted arrays of 64-bit hashes. So it grows
 with the distinct grams of five letters, not with the documents. A text gets the language of the lowest cross-entropy
 per symbol.
 

@@ -9,12 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOSS = 50, 50, 30
-#: A line fails as boilerplate if it holds one of these, lower-cased.
-BOILERPLATE = ("all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "sign up for our newsletter", "terms of service", "terms of use")
+#: A line fails as boilerplate if it holds one of these, lower-cased; or, in any language, by its form: a copyright sign, more
+#: than two digits in three word characters, or an address among fewer words than ADDRESS_LINE.
+BOILERPLATE = (
+    *("all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "sign up for our newsletter", "terms of service", "terms of use"),
+    *("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen"),
+    *("tous droits réservés", "politique de confidentialité", "mentions légales"),
+    *("todos los derechos reservados", "política de privacidad", "aviso legal"),
+)
+ADDRESS_LINE = 8
 #: A line of fewer words needs a terminal mark.
 SHORT_LINE = 5
 _BLANKS, _SPACES = "\t\n\x0b\x0c\r", "     "
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS, _DIGITS, _ADDRESS = "#*$%&|<>", "0123456789", ("://", "www.")
 
 
 def words_of(text: Column) -> Column:
@@ -26,6 +33,10 @@ def _count(line: str, chars: str) -> str:
     return f"(length({line}) - length(translate({line}, '{chars}', '')))"
 
 
+def _addressed(line: str) -> str:
+    return " or ".join(f"contains({line}, '{a}')" for a in _ADDRESS)
+
+
 #: SQL: whether any of the phrases is in the lower-cased text `low`.
 _PHRASES = " or ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
 
@@ -34,8 +45,8 @@ def _fails(line: str) -> str:
     """SQL: whether a line fails.
     Navigation: separators | > » • are a fifth of its words or more, or it is a short line without a terminal
     mark. Punctuation: symbols are a tenth of its word characters or more, or a doubled exclamation mark comes
-    with every third word or more. Boilerplate: one of the phrases, or a line of code braces.
-    What a whole text lacks (__s symbols, __b phrases) isn't looked for in its lines."""
+    with every third word or more. Boilerplate: one of the phrases or forms, or a line of code braces.
+    What a whole text lacks (__s symbols, __b phrases, __f forms) isn't looked for in its lines."""
     odd = " or ".join(f"contains({line}, '{c}')" for c in ("\\t", "\\u000b", "\\f", "\\r"))
     plain = f"if({odd}, translate({line}, '\\t\\u000b\\f\\r', '    '), {line})"
     words = "greatest(size(filter(v.w, w -> w <> '')), 1)"
@@ -48,6 +59,8 @@ def _fails(line: str) -> str:
         f" or (__s > 0 and 10 * {_count(line, _SYMBOLS)} >= {chars})"
         f" or (contains({line}, '!!') and 3 * {bangs} >= {words})"
         f" or (__b and exists(array(lower({line})), low -> {_PHRASES}))"
+        f" or (__f.sign and contains({line}, '©')) or (__f.digits and 3 * {_count(line, _DIGITS)} > 2 * {chars})"
+        f" or (__f.address and {words} < {ADDRESS_LINE} and ({_addressed(line)}))"
         f" or ((contains({line}, '{{') or contains({line}, '}}')) and {_count(line, '{}')} > 1)"
     )
     # v: the line's words, cut once
@@ -69,7 +82,8 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("__w", words_of(F.col("text"))).withColumn("__l", F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _BLANKS + " ", "")) > 0))
     symbols = (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long")
-    d = d.withColumns({"__s": symbols, "__b": F.expr(_PHRASES.replace("low,", "lower(text),"))})
+    forms = f"struct(contains(text, '©') as sign, {_addressed('text')} as address, text rlike '[0-9]' as digits)"
+    d = d.withColumns({"__s": symbols, "__b": F.expr(_PHRASES.replace("low,", "lower(text),")), "__f": F.expr(forms)})
     hashes = F.expr("if(size(__w) >= 3, transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])), cast(array() as array<bigint>))")
     d = d.select(
         *docs.columns,
@@ -122,7 +136,8 @@ def _oracle_fails(x: str) -> str:
         f" or ({words} < {SHORT_LINE} and not regexp_matches(rtrim(translate({x}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), '[.!?:;\"”…]$'))"
         f" or 10 * {n(_SYMBOLS)} >= {_ORACLE_CHARS.format(x)}"
         f" or (contains({x}, '!!') and 3 * (length({x}) - length(replace({x}, '!!', ''))) >= 2 * {words})"
-        f" or {phrases} or {n('{}')} > 1"
+        f" or {phrases} or {n('{}')} > 1 or contains({x}, '©') or 3 * {n(_DIGITS)} > 2 * {_ORACLE_CHARS.format(x)}"
+        f" or ({words} < {ADDRESS_LINE} and ({_addressed(x)}))"
     )
 
 

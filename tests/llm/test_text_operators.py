@@ -101,6 +101,24 @@ def test_quality_verdicts(spark):
     assert kept[0].text == clean and kept[2].text == clean and kept[2].n_chars == len(clean) and 1 not in kept
 
 
+def test_boilerplate_by_form_in_any_language(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghü") for _ in range(6)) for _ in range(n)) + "."
+    clean = prose(60) + "\n" + prose(40) + " www.example.org/a " + prose(9) + "\n" + prose(5) + " 2024 1999."
+    bad = ["© 2024 " + prose(12), "Siehe bitte hier: https://example.org/impressum", "voir www.example.org", "12.03.2024, 14:55:01.", prose(6) + " ALLE Rechte Vorbehalten " + prose(3), prose(4) + " Política de Privacidad."]
+    texts = [clean, *(clean + "\n" + x for x in bad), *("\n".join([prose(60)] + [x] * 200) for x in bad), None, ""]
+    table = docs(spark, texts)
+    kept = {r.doc_id: r.text for r in quality.cleaned(table).collect()}
+    assert kept == {i: clean for i in range(len(bad) + 1)}
+    connection = duckdb.connect()
+    connection.register("documents", table.toPandas())
+    judged = quality.judge(table)
+    by_sql = connection.sql(f"select {', '.join(judged.columns)} from ({quality.ORACLE})").fetchall()
+    assert sorted(map(str, by_sql)) == sorted(str(tuple(r)) for r in judged.collect())
+
+
 def test_quality_of_odd_tables(spark):
     prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) + "." for i in range(3000))
     df = docs(spark, [prose, prose, None, ""]).union(spark.createDataFrame([(None, prose, None, None, None)], DOCS))
