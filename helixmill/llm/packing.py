@@ -31,11 +31,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from helixmill.llm.common import forget, prepare, written
+from helixmill.llm.common import forget, prepare, trimmed, written
 
 CAPACITY, END_ID = 2048, 0
 #: Pre-tokens whose ids a worker keeps.
 CACHE = 500_000
+#: Code points whose pre-tokens a worker holds at once; a longer text comes alone.
+SLICE = 1 << 21
 #: Tasks of a superstep; what they hold is bounded by the capacity.
 TASKS = 4
 #: Text in which the split pattern of ByteLevel means the same to any engine: up to Latin Extended-B, no odd blanks.
@@ -80,6 +82,18 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def slices(texts: list[str], size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(start, stop) of consecutive texts of together at most `size` code points, or of one longer text."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        if i > start and total + len(t) > size:
+            yield start, i
+            start, total = i, 0
+        total += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: whole ones of capacity, what is over in the first."""
     first = n % capacity or min(n, capacity)
@@ -95,14 +109,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         enc = encoder(tokenizer)
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
-            for d, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()])):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            made = (ids for start, stop in slices(texts) for ids in enc.encode(texts[start:stop]))
+            for d, ids in zip(b.column(0).to_pylist(), made):
                 ids += END_ID.to_bytes(4, "little")
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     for r, v in zip(rows, (d, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
                         r.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: trimmed(run(it)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def band(size: int, capacity: int = CAPACITY) -> int:
@@ -215,7 +231,7 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 ranks.append(seen[x])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(ranks), pa.int32()), pa.array(ranks, pa.int64())], [*columns, "part", "rank"])
 
-    placed = written(cut_up.select(*columns).repartitionByRange("length", "doc_id", "piece").mapInArrow(ranked, f"{kinds}, part int, rank long"), "packing-ranked")
+    placed = written(cut_up.select(*columns).repartitionByRange("length", "doc_id", "piece").mapInArrow(lambda it: trimmed(ranked(it)), f"{kinds}, part int, rank long"), "packing-ranked")
     # a range partition is a stretch of (length, doc_id, piece): the counts are about partitions + lengths
     counts = placed.groupBy("length", "part").agg(F.count("*").alias("n")).collect()
     base, total = {}, {}
@@ -242,7 +258,7 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[i], offset[i] = own[:, 3] + turn, own[:, 4] + place * int(x)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    return placed.mapInArrow(final, f"{kinds}, sequence_id long, offset long")
+    return placed.mapInArrow(lambda it: trimmed(final(it)), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

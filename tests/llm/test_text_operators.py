@@ -101,6 +101,16 @@ def test_quality_verdicts(spark):
     assert kept[0].text == clean and kept[2].text == clean and kept[2].n_chars == len(clean) and 1 not in kept
 
 
+def test_slices_hold_every_text_once():
+    rng = random.Random(4)
+    texts = ["x" * rng.choice([0, 1, 5, 30]) for _ in range(200)]
+    for size in (1, 7, 29, 10**6):
+        found = list(packing.slices(texts, size))
+        assert [i for a, b in found for i in range(a, b)] == list(range(200))
+        assert all(b - a == 1 or sum(map(len, texts[a:b])) <= size for a, b in found)
+    assert list(packing.slices([])) == [] and list(packing.slices([""])) == [(0, 1)]
+
+
 def test_boilerplate_by_form_in_any_language(spark):
     import duckdb
 
