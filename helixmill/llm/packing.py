@@ -37,7 +37,7 @@ CAPACITY, END_ID = 2048, 0
 #: Pre-tokens whose ids a worker keeps.
 CACHE = 500_000
 #: Code points whose pre-tokens a worker holds at once; a longer text comes alone.
-SLICE = 1 << 21
+SLICE = 1 << 22
 #: Tasks of a superstep; what they hold is bounded by the capacity.
 TASKS = 4
 #: Text in which the split pattern of ByteLevel means the same to any engine: up to Latin Extended-B, no odd blanks.
