@@ -134,6 +134,49 @@ def containing(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, s
     return p.join(s, [*keys, "__level", "__tile"]).where((F.col(start) <= F.col(pos)) & (F.col(pos) <= F.col(end))).drop("__level", "__tile")
 
 
+#: Nodes of least_covering(): those of a level are 2 ** NODE_BITS times as wide as those of the one below; points ask no level above NODE_TOP.
+NODE_BITS, NODE_TOP = 2, 6
+
+
+def _noded(spans: DataFrame, keys: list[str], top: bool) -> DataFrame:
+    """keys, __level, __node and the value columns: a row for each node of the fewest that make up the span from __s up to __e, which is left out.
+    Of a level these are at most six. With top only the nodes of levels above NODE_TOP, else only the others."""
+    fan = 1 << NODE_BITS
+    highest = f"(length(bin(__e - __s)) - 1) div {NODE_BITS}"
+    levels = f"if({highest} > {NODE_TOP}, sequence({NODE_TOP + 1}, cast({highest} as int)), array())" if top else f"sequence(0, least({NODE_TOP}, cast({highest} as int)))"
+    t = spans.withColumn("__level", F.explode(F.expr(levels)))
+    # the whole nodes of this level and of the one above
+    for name, up in (("", 0), ("1", 1)):
+        t = t.withColumn(f"__l{name}", F.expr(f"-shiftright(-__s, {NODE_BITS} * (__level + {up}))")).withColumn(f"__r{name}", F.expr(f"shiftright(__e, {NODE_BITS} * (__level + {up}))"))
+    run = lambda a, b: f"if({a} < {b}, sequence({a}, {b} - 1), cast(array() as array<bigint>))"
+    nodes = f"if(__l1 < __r1, concat({run('__l', f'{fan} * __l1')}, {run(f'{fan} * __r1', '__r')}), {run('__l', '__r')})"
+    return t.withColumn("__node", F.explode(F.expr(nodes))).drop("__s", "__e", "__l", "__r", "__l1", "__r1")
+
+
+def least_covering(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, start: str, end: str, **values: Column) -> DataFrame:
+    """keys, pos and the columns `values`: for each distinct place of points that lies in a span (start <= pos <= end) the least of each value among
+    all spans that hold it; nulls are passed over. Rows with a null key or position match nothing.
+
+    Pairs of points and spans are never made, so depth costs nothing: a span becomes the few nodes of a tree over positions that make it up, of a node only the
+    least values stay, summed up before the shuffle, and a place asks the nodes above it, one of each level in use. Levels above NODE_TOP are asked
+    by nodes of that level and not by places, so that no node is asked by more places than it is wide there."""
+    least = [F.min(v).alias(v) for v in values]
+    own = [F.col(c).cast("long") for c in (start, end)]
+    s = spans.na.drop(subset=[*keys, start, end]).where(own[1] >= own[0]).select(*keys, own[0].alias("__s"), (own[1] + 1).alias("__e"), *(v.alias(name) for name, v in values.items()))
+    places = points.select(*keys, pos).na.drop().distinct()
+    node = lambda of, level: F.expr(f"shiftright({of}, {NODE_BITS} * cast({level} as int))")
+    low, high = _noded(s, keys, False), _noded(s, keys, True).groupBy(*keys, "__level", "__node").agg(*least)
+    wide = points.select(*keys, node(f"cast({pos} as bigint)", NODE_TOP).alias("__top")).na.drop().distinct()
+    above = s.agg(F.max(F.expr(f"(length(bin(__e - __s)) - 1) div {NODE_BITS}")).alias("__highest"))  # one row
+    asked = wide.crossJoin(F.broadcast(above)).where(F.col("__highest") > NODE_TOP)
+    asked = asked.withColumn("__level", F.explode(F.expr(f"sequence({NODE_TOP + 1}, cast(__highest as int))"))).withColumn("__node", node("__top", f"(__level - {NODE_TOP})"))
+    down = asked.join(high, [*keys, "__level", "__node"]).select(*keys, F.lit(NODE_TOP).alias("__level"), F.col("__top").alias("__node"), *values)
+    nodes = low.unionByName(down).groupBy(*keys, "__level", "__node").agg(*least)
+    asks = places.crossJoin(F.broadcast(above)).where("__highest is not null").withColumn("__level", F.explode(F.expr(f"sequence(0, cast(least(__highest, {NODE_TOP}) as int))"))).drop("__highest")
+    asks = asks.withColumn("__node", node(f"cast({pos} as bigint)", "__level"))
+    return asks.join(nodes, [*keys, "__level", "__node"]).groupBy(*keys, pos).agg(*least)
+
+
 def band_pairs(a: DataFrame, b: DataFrame, keys: list[str], tol: int, pos: str = "pos") -> DataFrame:
     """keys, pos_a, pos_b: pairs at most tol apart. Bins of tol + 1, each row of a looks into three."""
     width = tol + 1

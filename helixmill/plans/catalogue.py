@@ -107,8 +107,8 @@ def _asof(spark, d):
 
 
 def _first_containing(sites, genes):
-    hit = intervals.containing(sites.select(*KEYS), genes, ["chrom"], "pos", "g_start", "g_end")
-    return hit.groupBy(*KEYS).agg(F.min_by("gene_id", "ord").alias("inside"))
+    hit = intervals.least_covering(sites, genes.where("ord is not null"), ["chrom"], "pos", "g_start", "g_end", __first=F.struct("ord", "gene_id"))
+    return hit.select("chrom", "pos", F.col("__first.gene_id").alias("inside"))
 
 
 @query(f"{_ASOF} select chrom, pos, strand, case when pos <= g_end then gene_id end as gene_id from near")
@@ -119,20 +119,20 @@ def gene_asof(spark, d):
 @query(f"{_ASOF} select s.chrom, s.pos, s.strand, coalesce(i.gene_id, '') as gene_id from distinct_sites s left join inside i using (chrom, pos, strand)")
 def gene_fallback(spark, d):
     sites = _distinct(spark, d).select(*KEYS)
-    return sites.join(_first_containing(sites, load(spark, d, "genes")), KEYS, "left").select(*KEYS, F.coalesce("inside", F.lit("")).alias("gene_id"))
+    return sites.join(_first_containing(sites, load(spark, d, "genes")), ["chrom", "pos"], "left").select(*KEYS, F.coalesce("inside", F.lit("")).alias("gene_id"))
 
 
 @query(f"{_ASOF} select n.chrom, n.pos, n.strand, coalesce(case when n.pos <= n.g_end then n.gene_id end, i.gene_id, '') as gene_id from near n left join inside i using (chrom, pos, strand)")
 def annotate_full(spark, d):
     near = held(_asof(spark, d).select(*KEYS, "near"))
     missed = _first_containing(near.where("near is null"), load(spark, d, "genes"))
-    return near.join(missed, KEYS, "left").select(*KEYS, F.coalesce("near", "inside", F.lit("")).alias("gene_id"))
+    return near.join(missed, ["chrom", "pos"], "left").select(*KEYS, F.coalesce("near", "inside", F.lit("")).alias("gene_id"))
 
 
 @query(f"""{with_('sites', 'distinct_sites', 'utrs')} select s.chrom, s.pos, s.strand, min(u.utr_id) as utr_id from distinct_sites s join utrs u on s.chrom = u.chrom and s.strand = u.strand and s.pos between u.u_start and u.u_end group by all""")
 def containing_utr(spark, d):
-    hit = intervals.containing(_distinct(spark, d).select(*KEYS), load(spark, d, "utrs"), ["chrom", "strand"], "pos", "u_start", "u_end")
-    return hit.groupBy(*KEYS).agg(F.min("utr_id").alias("utr_id"))
+    hit = intervals.least_covering(_sites(spark, d), load(spark, d, "utrs"), ["chrom", "strand"], "pos", "u_start", "u_end", utr_id=F.col("utr_id"))
+    return hit.where("utr_id is not null").select(*KEYS, "utr_id")
 
 
 # -- overlaps ---------------------------------------------------------------------------------------------------------
