@@ -324,7 +324,7 @@ def window_shift_neg(spark, d):
     margin = max(60, 203 // 2 + 1)
     pos = _positives(spark, d)
     long = load(spark, d, "utrs").where(F.col("u_end") - F.col("u_start") > 203 + 2 * 60)
-    own = intervals.containing(pos, long, ["chrom", "strand"], "pos", "u_start", "u_end").groupBy(*KEYS).agg(F.min_by(F.struct("u_start", "u_end"), "utr_id").alias("u"))
+    own = intervals.least_covering(pos, long, ["chrom", "strand"], "pos", "u_start", "u_end", u=F.struct("utr_id", "u_start", "u_end"))
     tries = own.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(5))))
     key = F.concat_ws(":", "chrom", F.col("pos").cast("string"), "strand", F.col("attempt").cast("string"))
     side = F.when(sampling.whole_number(key, "side", 2) == 0, 1).otherwise(-1)

@@ -55,5 +55,5 @@ def deep(spark, folder, n=400):
 
 def test_no_row_for_each_pair(spark, tmp_path):
     d = deep(spark, tmp_path)
-    for name in ("gene_fallback", "containing_utr", "liftover"):
+    for name in ("gene_fallback", "containing_utr", "liftover", "window_shift_neg"):
         assert most_rows(catalogue.QUERIES[name](spark, d)) < 20_000, name
