@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from helixmill.functions import sequence as seq
 from helixmill.functions.ids import negative_id, positive_id
-from helixmill.operators import intervals, metrics, rows, sampling
+from helixmill.operators import free_space, intervals, metrics, rows, sampling
 from helixmill.plans import pipelines
 from helixmill.plans.adapters import load, with_
 from helixmill.plans.stages import held
@@ -385,14 +385,18 @@ placed as (select *, {_HEX.format('k', 'whole')} % 100000 as new_pos from late),
 every as (select * from fine union all select * from placed c where not exists (select 1 from merged m where m.chrom = c.chrom and m."start" <= c.new_pos and c.new_pos < m."end"))
 select chrom, pos, strand, cast(min(attempt) as int) as attempt, cast(arg_min(new_pos, attempt) as bigint) as new_pos from every group by chrom, pos, strand""")
 def whole_chrom_neg(spark, d):
-    """A place anywhere on the positive's chromosome outside the merged buffers; the first of 5,000 draws that is, in rounds."""
-    buffers = held(_buffers(spark, d))
+    """A place anywhere on the positive's chromosome outside the merged buffers; the first of 5,000 draws that is, in rounds. Draws are looked up among the
+    free runs, and chromosomes without a free place, where each draw would fail, make none."""
+    pos = held(_positives(spark, d))
+    sizes = pos.select("chrom", F.lit(100000).cast("long").alias("length")).distinct()
+    runs = held(free_space.free_runs(sizes, _buffers(spark, d), ["chrom"]).select("chrom", "start", (F.col("end") - 1).alias("last")))
 
     def draw(tries):
         key = F.concat_ws(":", "chrom", F.col("pos").cast("string"), "strand", F.col("attempt").cast("string"))
-        return intervals.outside(tries.withColumn("new_pos", sampling.whole_number(key, "whole", 100000)), buffers, ["chrom"], "new_pos")
+        drawn = tries.withColumn("new_pos", sampling.whole_number(key, "whole", 100000))
+        return intervals.containing(drawn, runs, ["chrom"], "new_pos", "start", "last", 64).drop("start", "last")
 
-    return pipelines.drawn_in_rounds(_positives(spark, d), KEYS, draw)
+    return pipelines.drawn_in_rounds(pos.join(runs.select("chrom").distinct(), "chrom", "left_semi"), KEYS, draw)
 
 
 @query(f"""{_D} select chrom, pos, strand, case when source = 'R' then 1 else 0 end as label, case when source = 'N' then 'unknown' else source end as source, upper(sequence) as sequence from distinct_sites""")
