@@ -8,7 +8,6 @@ file by its place in its partition plus the lines of the partitions before.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from helixmill.functions import sequence as seq
 from helixmill.operators import intervals, sampling
@@ -150,9 +149,8 @@ def chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 def chain_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The aligned blocks of a chain file: src_chrom, src_start, src_end (half-open), dst_chrom, dst_start, dst_strand, score.
-    On a minus target dst_start is the forward position of the block's first base. Each chain is put together in one
-    task; a chain is as long as its own lines, whatever the file."""
-    schema = StructType([StructField(n, t) for n, t in (("src_chrom", StringType()), ("src_start", LongType()), ("src_end", LongType()), ("dst_chrom", StringType()), ("dst_start", LongType()), ("dst_strand", StringType()), ("score", LongType()))])
+    On a minus target dst_start is the forward position of the block's first base. A chain's blocks lie where the sums
+    of the sizes and gaps before them say, which run over the chain's own lines, whatever the file."""
     t = numbered(spark.read.text(path)).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
     t = t.withColumn("tile", F.floor(F.col("line") / CHUNK))
     last = F.max(F.when(F.col("value").startswith("chain"), F.col("line")))
@@ -160,21 +158,18 @@ def chain_blocks(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("tile").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("own", F.max(F.when(F.col("value").startswith("chain"), F.col("line"))).over(inside)).join(carried, "tile").withColumn("chain", F.coalesce("own", "open"))
 
-    def blocks(pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values("line")["value"].tolist()
-        h, out = rows[0].split(), []
-        score, src, src_at, dst, dst_size, dst_strand, dst_at = int(h[1]), h[2], int(h[5]), h[7], int(h[8]), h[9], int(h[10])
-        for line in rows[1:]:
-            size, *gap = map(int, line.split())
-            first = dst_at if dst_strand == "+" else dst_size - 1 - dst_at
-            out.append((src, src_at, src_at + size, dst, first, dst_strand, score))
-            if gap:
-                src_at, dst_at = src_at + size + gap[0], dst_at + size + gap[1]
-        return pd.DataFrame(out, columns=schema.names)
-
-    return t.where("chain is not null").select("chain", "line", "value").groupBy("chain").applyInPandas(blocks, schema)
+    f = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    t = t.where("chain is not null").select("chain", "line", f.alias("f"), (F.col("line") == F.col("chain")).alias("is_head"))
+    number = lambda i: F.col("f")[i].cast("long")
+    moves = ~F.col("is_head") & (F.size("f") > 1)
+    t = t.withColumns({"src_step": F.when(moves, number(0) + number(1)), "dst_step": F.when(moves, number(0) + number(2)), "h": F.when(F.col("is_head"), F.col("f"))})
+    before = Window.partitionBy("chain").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    gone = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    t = t.withColumns({"head": F.first("h", ignorenulls=True).over(before), "src_gone": gone("src_step"), "dst_gone": gone("dst_step")}).where(~F.col("is_head"))
+    h = F.col("head")
+    src, dst = h[5].cast("long") + F.col("src_gone"), h[10].cast("long") + F.col("dst_gone")
+    first = F.when(h[9] == "+", dst).otherwise(h[8].cast("long") - 1 - dst)
+    return t.select(h[2].alias("src_chrom"), src.alias("src_start"), (src + number(0)).alias("src_end"), h[7].alias("dst_chrom"), first.alias("dst_start"), h[9].alias("dst_strand"), h[1].cast("long").alias("score"))
 
 
 def fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
