@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The motifs that are searched for.
@@ -21,10 +23,15 @@ def upper_acgtn(seq: Column) -> Column:
     return F.regexp_replace(F.upper(seq), "[^ACGTN]", "N")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: inside a lambda function it would be computed again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def kmers(seq: Column, k: int = 6, pad: str = "N") -> Column:
     """The k-mers of the cleaned sequence at stride 1; one padded k-mer where it is shorter than k."""
-    s = clean(seq)
-    return F.when(F.length(s) < k, F.array(F.rpad(s, k, pad))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - k, F.lit(0))), lambda i: F.substring(s, i + 1, F.lit(k))))
+    many = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - k, F.lit(0))), lambda i: F.substring(s, i + 1, F.lit(k)))
+    return _bound(clean(seq), lambda s: F.when(F.length(s) < k, F.array(F.rpad(s, k, pad))).otherwise(many(s)))
 
 
 def kmer_text(seq: Column, k: int = 6) -> Column:
@@ -42,11 +49,13 @@ def kmer_tokens(seq: Column, max_length: int, k: int = 6, first: str = "[CLS]",
 
 
 def sliding_windows(seq: Column, width: int = 300, stride: int = 100) -> Column:
-    """Windows of the cleaned sequence: none of an empty one, itself where it fits, else each whole window."""
-    s = clean(seq)
-    n = F.length(s)
-    many = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)), F.lit(stride)), lambda i: F.substring(s, i + 1, F.lit(width)))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= width, F.array(s)).otherwise(many)
+    """Windows of the cleaned sequence: none of an empty one, itself where it fits, else each whole window. The sequence is cleaned once and cut
+    into pieces of the stride, of which windows are put together, so that the work grows with the length and not with its square."""
+    pieces = lambda s: F.regexp_extract_all(s, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    starts = lambda s: F.sequence(F.lit(0), F.greatest(F.length(s) - width, F.lit(0)), F.lit(stride))
+    one = lambda p, i: F.substring(F.array_join(F.slice(p, (i / stride).cast("int") + 1, F.lit(-(-width // stride))), ""), 1, width)
+    many = lambda s: _bound(pieces(s), lambda p: F.transform(starts(s), lambda i: one(p, i)))
+    return _bound(clean(seq), lambda s: F.when(s == "", F.array().cast("array<string>")).when(F.length(s) <= width, F.array(s)).otherwise(many(s)))
 
 
 def centered_window(seq: Column, width: int, center: Column) -> Column:
