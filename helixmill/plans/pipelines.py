@@ -31,9 +31,8 @@ def annotated_sites(sites: DataFrame, genes: DataFrame, chunks: DataFrame, sourc
     near = intervals.asof(sites.select(*SITE), g, keys, "pos", "g_start", ["g_end", *names], ["g_end", "gene_id"])
     hit = F.col("asof.g_end") >= F.col("pos")
     near = held(near.select(*SITE, F.when(hit, F.struct(*(F.col(f"asof.{n}").alias(n) for n in names))).alias("near")))
-    missed = near.where("near is null").select(*SITE).distinct()
-    inside = intervals.containing(missed, g, keys, "pos", "g_start", "g_end").groupBy(*SITE).agg(F.min_by(F.struct(*names), "ord").alias("inside"))
-    both = near.join(inside, SITE, "left")
+    inside = intervals.least_covering(near.where("near is null"), g.where("ord is not null"), keys, "pos", "g_start", "g_end", inside=F.struct("ord", *names))
+    both = near.join(inside, [*keys, "pos"], "left")
     named = both.select(*SITE, *(F.coalesce(F.col(f"near.{n}"), F.col(f"inside.{n}"), F.lit("")).alias(n) for n in names), F.lit(source).alias("source"))
     return genomic.pipeline_windows(named, chunks, size=size)
 
@@ -81,7 +80,7 @@ def negative_sites(pos: DataFrame, utrs: DataFrame, chunks: DataFrame, length: i
     n_utrs = long.count()
     key = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c), F.lit(str(seed)))
 
-    own = intervals.containing(p, long, ["chrom", "strand"], "pos", "u_start", "u_end").groupBy(*SITE).agg(F.min_by(F.struct("u_start", "u_end", "gene_name"), "u_no").alias("u"))
+    own = intervals.least_covering(p, long, ["chrom", "strand"], "pos", "u_start", "u_end", u=F.struct("u_no", "u_start", "u_end", "gene_name"))
     k = key(*SITE, "attempt")
     moved = own.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("new", F.col("pos") + F.when(sampling.whole_number(k, "side", 2) == 0, 1).otherwise(-1) * (100 + sampling.whole_number(k, "offset", 301)))
     moved = moved.where((F.col("new") >= F.col("u.u_start") + margin) & (F.col("new") <= F.col("u.u_end") - margin)).select(*SITE, "attempt", "new", F.col("u.gene_name").alias("gene_name"))
