@@ -44,9 +44,8 @@ def merged(sites: DataFrame, leading: str) -> DataFrame:
 def with_gene(sites: DataFrame, genes: DataFrame) -> DataFrame:
     near = intervals.asof(sites, genes, ["chrom"], "pos", "g_start", ["g_end", "gene_id"], ["g_end", "gene_id"])
     near = held(near.withColumn("near", F.when(F.col("pos") <= F.col("asof.g_end"), F.col("asof.gene_id"))).drop("asof"))
-    hit = intervals.containing(near.where("near is null").select(*SITE), genes, ["chrom"], "pos", "g_start", "g_end")
-    inside = hit.groupBy(*SITE).agg(F.min_by("gene_id", "ord").alias("inside"))
-    return near.join(inside, SITE, "left").withColumn("gene_id", F.coalesce("near", "inside", F.lit(""))).drop("near", "inside")
+    inside = intervals.least_covering(near.where("near is null"), genes.where("ord is not null"), ["chrom"], "pos", "g_start", "g_end", inside=F.struct("ord", "gene_id"))
+    return near.join(inside, ["chrom", "pos"], "left").withColumn("gene_id", F.coalesce("near", "inside.gene_id", F.lit(""))).drop("near", "inside")
 
 
 def with_split(sites: DataFrame, names: DataFrame, held_out: float | list[str]) -> DataFrame:
