@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import intervals
 from helixmill.plans import catalogue
+from helixmill.sources import genomic
 
 SPANS = "chrom string, s long, e long, v long, w string"
 
@@ -57,3 +58,15 @@ def test_no_row_for_each_pair(spark, tmp_path):
     d = deep(spark, tmp_path)
     for name in ("gene_fallback", "containing_utr", "liftover", "window_shift_neg"):
         assert most_rows(catalogue.QUERIES[name](spark, d)) < 20_000, name
+
+
+def test_overlaps_meet_in_tasks(spark):
+    """Every a overlaps every b: the pairs come from tasks by node, none of which holds all spans, and each comes once."""
+    a = spark.range(300).selectExpr("'a' as chrom", "id as a_start", "id + 40 as a_end", "id as x")
+    b = spark.range(200).selectExpr("'a' as chrom", "id - 1000 as b_start", "id + 5000 as b_end", "id as y")
+    b = b.unionByName(spark.range(200, 210).selectExpr("'a' as chrom", "300 + id as b_start", "301 + id as b_end", "id as y"))
+    df = genomic.overlapping(a, b)
+    pairs = [(r.x, r.y) for r in df.collect()]
+    assert sorted(pairs) == [(x, y) for x in range(300) for y in range(210) if y < 200 or x < 301 + y and 300 + y < x + 40]
+    joins = [line for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in j and "__node" in j for j in joins) == 2 and not any("BroadcastHashJoin" in j for j in joins)
