@@ -89,7 +89,8 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
         one = distinct.select(_xor(_key(F.col("fp"), s, b).bitwiseOR(tag(k)), ball(b, r)).alias("key"), F.col("fp").alias("u"))
         probes = one if probes is None else probes.union(one)
     table = index.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("v"))
-    found = probes.join(table, "key").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)).select("u", "v")
+    # merge: the planner's estimate doesn't know how many rows a ball makes, so it would send them all through the driver for a broadcast
+    found = probes.join(table.hint("merge"), "key").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)).select("u", "v")
     # those that would look up a crowded key: their own key lies in its ball
     near = None
     for k, (s, b, r) in enumerate(segments):
@@ -98,7 +99,7 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     dense = written(index.join(near.distinct(), "key", "left_semi").select("fp").distinct(), "dense")
     points = dense.select("fp", _xor(F.col("fp"), ball(64, 2)).alias("point"))
     hubs = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("m")).where("v < m").select("point", "v")
-    stars = points.join(hubs, "point").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    stars = points.join(hubs.hint("merge"), "point").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return found.union(stars).distinct()
 
 
