@@ -70,3 +70,37 @@ def test_overlaps_meet_in_tasks(spark):
     assert sorted(pairs) == [(x, y) for x in range(300) for y in range(210) if y < 200 or x < 301 + y and 300 + y < x + 40]
     joins = [line for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Join" in line]
     assert sum("SortMergeJoin" in j and "__node" in j for j in joins) == 2 and not any("BroadcastHashJoin" in j for j in joins)
+
+
+def shuffled_rows(df):
+    """The rows that all exchanges of the plan wrote. df is computed for it."""
+    df.collect()
+
+    def walk(node):
+        name, own = node.getClass().getSimpleName(), node.metrics().get("shuffleRecordsWritten")
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        children = node.children()
+        return (own.get().value() if own.isDefined() else 0) + sum(walk(c) for c in inner + [children.apply(i) for i in range(children.size())])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_overlaps_shuffle_a_span_once(spark):
+    """Short spans and genes of up to three bins' length: the many short ones go through a shuffle once, with few more rows for those that cross bins."""
+    a = spark.range(4000).selectExpr("'a' as chrom", "id * 53 % 40000 as a_start", "id * 53 % 40000 + 40 as a_end", "id as x")
+    b = spark.range(50).selectExpr("'a' as chrom", "id * 97 % 40000 as b_start", "id * 97 % 40000 + 60 * (1 + id) as b_end", "id as y")
+    df = genomic.overlapping(a, b)
+    assert 4050 <= shuffled_rows(df) < 1.1 * 4000 + 4 * 50 + 20
+    want = {(x, y) for x in range(4000) for y in range(50) if x * 53 % 40000 < y * 97 % 40000 + 60 * (1 + y) and y * 97 % 40000 < x * 53 % 40000 + 40}
+    got = [(r.x, r.y) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want) > 5000
+
+
+def test_overlaps_of_any_length(spark):
+    """Lengths of many levels on both sides, wide ones among few, and places near the ends of a long."""
+    draw = random.Random(8)
+    for lengths_a, lengths_b in (((1, 40, 4096, 4097, 10**6), (1, 60, 3000, 40_000, 10**9)), ((40,), (10**12, 2**60)), ((2**60, 5), (7,)), ((10**5,), (1, 2))):
+        sides = [[(draw.choice(("a", "b", None)), s, s + draw.choice(lengths), i) for i, s in enumerate(draw.choice((draw.randrange(-9000, 90_000), -(2**61), 2**61)) for _ in range(90))] for lengths in (lengths_a, lengths_b)]
+        a, b = (spark.createDataFrame(rows + [("a", 9, 9, -1), ("a", 9, 3, -1), ("a", None, 9, -1), ("a", 9, None, -1)], f"chrom string, {n}_start long, {n}_end long, {v} long") for rows, n, v in zip(sides, "ab", "xy"))
+        got = sorted((r.x, r.y) for r in genomic.overlapping(a, b).select("x", "y").collect())
+        assert got == sorted((x, y) for c, s, e, x in sides[0] for k, t, f, y in sides[1] if c is not None and c == k and s < f and t < e) and got
